@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +56,16 @@ def inverse_mod_2_64(r: int) -> int:
     return pow(r, -1, 1 << 64)
 
 
+@lru_cache(maxsize=8)
+def _powers(r: int, n: int) -> np.ndarray:
+    out = np.full(n, r, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def powers(r: int, n: int) -> np.ndarray:
     """r**0 .. r**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), r, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
+    return _powers(r, 1 << max(n - 1, 1).bit_length())[:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,85 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, jaccard, langid
+from matchloom.llm import common, decontaminate, jaccard, langid, packing, secrets
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, which is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+t AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS win
+  FROM (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM t),
+d AS (
+  SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes)),
+hits AS (SELECT doc_id, item_id, i, n FROM d JOIN t USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.size(secrets.of_kind(F.col("spans"), r.kind)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    base = F.filter("spans", lambda s: s["kind_order"] < len(secrets.BASE_RULES))
+    return found.select("doc_id", *n, F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
+
+
+def _spans_sql() -> str:
+    """The same spans by regular expressions alone, over all texts."""
+    parts = []
+    for order, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES):
+        regex = r.regex.replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {order} AS k, '{r.kind}' AS kind, unnest(range(1, len(m) + 1)) AS i,
+    list_transform(m, lambda x: len(x)) AS sizes, list_transform(t, lambda x: len(x)) AS tested, {r.least} AS least,
+    list_transform(regexp_split_to_array(text, '{regex}'), lambda x: len(x)) AS gaps
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '{regex}') AS m, regexp_extract_all(text, '{regex}', {r.group}) AS t FROM docs)""")
+    return " UNION ALL ".join(parts)
+
+
+def op9_sql() -> str:
+    n = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_spans_sql()}),
+s AS (
+  SELECT doc_id, k, kind, list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i-1]), 0) AS a, list_sum(gaps[1:i]) + list_sum(sizes[1:i]) AS e
+  FROM m WHERE tested[i] >= least),
+g AS (
+  SELECT doc_id, {n}, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY a, k) FILTER (k < {len(secrets.BASE_RULES)}) AS base,
+    string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY a, k) AS spans
+  FROM s GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN g USING (doc_id)
+"""
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +123,15 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.node = d.doc_id GR
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op9_secret_scan": op9_secret_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op9_secret_scan": op9_sql(),
     "op10_ngram_jaccard": OP10_SQL,
 }

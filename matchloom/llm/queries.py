@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, decontaminate, jaccard, langid, packing, secrets
+from matchloom.llm import common, decontaminate, jaccard, langid, packing, secrets, toxicity, urls
 
 
 def vocabulary(name: str) -> str:
@@ -47,6 +47,67 @@ FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: The rules of the contract.
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urls.judged(pages, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("reputation", 6).alias("reputation"))
+
+
+def op3_sql() -> str:
+    def level(name: str, above: str, keys: str, join: str) -> str:
+        return f"""
+{name}_u AS (SELECT u.*, a.mean FROM (SELECT {keys}, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY {keys}) u JOIN {above} a {join}),
+{name}_k AS (
+  SELECT 1 / greatest(0.001, least(0.5, coalesce(sum(power(good - n * mean, 2) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0), 0.5))) - 1 AS k FROM {name}_u),
+{name}_p AS (SELECT {keys}, good + k * mean AS alpha, n - good + k * (1 - mean) AS beta FROM {name}_u, {name}_k),
+{name} AS (SELECT {keys}, alpha / (alpha + beta) AS mean, sqrt(alpha * beta / (power(alpha + beta, 2) * (alpha + beta + 1))) AS sd FROM {name}_p)"""
+
+    fits = " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{what[{i}]}}"
+        for i, r in sorted(enumerate(URL_RULES), key=lambda x: (-len(x[1].text), x[1].text))
+    )
+    texts, verdicts = [f"'{r.text}'" for r in URL_RULES], [f"'{r.verdict}'" for r in URL_RULES]
+    long = ", ".join(f"'{x}'" for x in urls.LONG_SUFFIXES)
+    return rf"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS (SELECT *, CASE {fits.format(what=texts)} END AS rule, CASE {fits.format(what=verdicts)} END AS ruled FROM p),
+h AS (
+  SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS name, count(ruled) AS n, count(*) FILTER (ruled = 'allow') AS good
+  FROM j GROUP BY host),
+hosts AS (
+  SELECT host, n, good,
+    CASE WHEN regexp_matches(name, '^[0-9.]+$|^\[') THEN name WHEN two IN ({long}) THEN two ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix,
+    CASE WHEN regexp_matches(name, '^[0-9.]+$|^\[') THEN name WHEN two IN ({long}) THEN CASE WHEN three = '' THEN two ELSE three END WHEN two = '' THEN name ELSE two END AS domain
+  FROM (SELECT *, regexp_extract(name, '([^.]*\.[^.]*)$', 1) AS two, regexp_extract(name, '([^.]*\.[^.]*\.[^.]*)$', 1) AS three FROM h)),
+total AS (SELECT (sum(good) + 1.0) / (sum(n) + 2.0) AS mean FROM hosts),
+{level("s", "total", "suffix", "ON true")},
+{level("d", "s", "suffix, domain", "USING (suffix)")},
+{level("f", "d", "suffix, domain, host", "USING (suffix, domain)")}
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN mean - {urls.Z} * sd >= {urls.THRESHOLD} THEN 'allow' ELSE 'block' END) AS verdict,
+  round(mean - {urls.Z} * sd, 6) AS reputation
+FROM j JOIN f USING (host)
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = common.table(spark, sf_dir, "labels").where(common.crc_fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, known))
+    return scored.select("doc_id", (common.crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -124,6 +185,8 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.node = d.doc_id GR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_secret_scan": op9_secret_scan,
@@ -132,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
+    "op3_url_filter": op3_sql(),
     "op9_secret_scan": op9_sql(),
     "op10_ngram_jaccard": OP10_SQL,
 }

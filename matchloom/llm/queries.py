@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, decontaminate, jaccard, langid, packing, secrets, toxicity, urls
+from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, secrets, toxicity, urls
 
 
 def vocabulary(name: str) -> str:
@@ -108,6 +108,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.round_trip(common.table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -187,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
+    "op5_jpeg_media": op5_jpeg_media,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_secret_scan": op9_secret_scan,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, secrets, toxicity, urls
+from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, secrets, tokenstore, toxicity, urls
 
 
 def vocabulary(name: str) -> str:
@@ -116,6 +116,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.round_trip(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = [F.size(secrets.of_kind(F.col("spans"), r.kind)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
@@ -194,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jpeg_media": op5_jpeg_media,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_token_store": op8_token_store,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, secrets, tokenstore, toxicity, urls
+from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, secrets, substrings, tokenstore, toxicity, urls
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.covered(common.table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"))
@@ -192,6 +198,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.node = d.doc_id GR
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,

@@ -291,6 +291,8 @@ def decode(images: list[bytes]) -> list[tuple[Image, list[np.ndarray]]]:
         kinds_of += [kinds] * len(sizes)
         n_blocks.append(n_mcu * len(kinds))
         chunks.append(body[drop])
+    if not chunks:
+        return []
     coef = _decode_intervals(np.concatenate(chunks), np.array(interval_bytes, np.int64), np.array(interval_blocks, np.int64), kinds_of, [(a, b) for _, a, b in sorted(tables.values(), key=lambda x: x[0])])
     out, at = [], 0
     for im, n in zip(parsed, n_blocks, strict=True):

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from matchloom.functions import tables as t
 
@@ -35,7 +36,7 @@ def fold(text: Column) -> Column:
     return F.translate(F.upper(text), LATIN, "".join(unicodedata.normalize("NFKD", c)[0] for c in LATIN))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(text: pd.Series) -> pd.Series:
     """Upper case without any combining mark."""
     return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).upper())

@@ -137,3 +137,10 @@ def nearest_codes(unknown: DataFrame, codes: DataFrame, minimum: float = 85.0) -
     near = counted.select("code").crossJoin(small(codes.select(F.col("code").alias("known")).distinct())).withColumn("s", token_sort_ratio("code", "known"))  # different codes only
     best = near.where(F.col("s") >= minimum).groupBy("code").agg(F.min_by("known", F.struct(-F.col("s"), F.col("known"))).alias("nearest"))
     return counted.join(best, "code", "left")
+
+
+def wide_top(signals: DataFrame, ranked: DataFrame, k: int = 3) -> DataFrame:
+    """One row of each id: code_1, score_1 to code_k, score_k of its best candidates."""
+    at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
+    columns = [c for n in range(1, k + 1) for c in (at(n, "code").alias(f"code_{n}"), F.round(at(n, "score"), 3).alias(f"score_{n}"))]
+    return signals.join(ranked.groupBy("id").agg(*columns), "id", "left")

@@ -36,8 +36,8 @@ def top(scored: DataFrame, k: int, by_code: bool = True) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    """Lower-cased runs of letters, digits and underscores of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def _gram_at(text: Column, n: int) -> Callable[[Column], Column]:
@@ -55,7 +55,7 @@ def _terms(frame: DataFrame, key: str, terms: str) -> DataFrame:
 
 
 def bm25(signals: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
-    """BM25 with binary query terms; columns ``terms`` are arrays. Codes with a score above 0."""
+    """BM25 with binary query terms; columns ``terms`` are arrays. Codes with a score above 0, which is rounded so that equal scores tie."""
     tf = _terms(catalogue, "ord", "terms").groupBy("ord", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     size = catalogue.select("ord", "code", F.size("terms").alias("len"))
@@ -64,7 +64,7 @@ def bm25(signals: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     postings = tf.join(df, "term").join(size, "ord").crossJoin(F.broadcast(totals)).select("term", "ord", "code", weight.alias("weight"))
     query = signals.select("id", F.explode(F.array_distinct("terms")).alias("term"))
-    scored = query.join(small(postings), "term").groupBy("id", "ord", "code").agg(F.sum("weight").alias("score"))
+    scored = query.join(small(postings), "term").groupBy("id", "ord", "code").agg(F.round(F.sum("weight"), 9).alias("score"))
     return top(scored.where("score > 0"), k)
 
 
@@ -79,7 +79,7 @@ def tfidf(signals: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
     query = _terms(signals, "id", "terms").groupBy("id", "term").agg(F.count("*").alias("tf")).join(small(idf), "term").withColumn("q", F.col("tf") * F.col("idf"))
     query_norm = query.groupBy("id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
     dots = query.join(small(postings), "term").groupBy("id", "ord", "code").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
-    return top(dots.join(query_norm, "id").select("id", "ord", "code", (F.col("dot") / F.col("norm")).alias("score")), k)
+    return top(dots.join(query_norm, "id").select("id", "ord", "code", F.round(F.col("dot") / F.col("norm"), 9).alias("score")), k)
 
 
 def cosine(signals: DataFrame, catalogue: DataFrame, k: int = 5, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -152,3 +152,14 @@ def reciprocal_ranks(*rankings: DataFrame, constant: int = 60) -> DataFrame:
     for p in parts[1:]:
         union = union.unionByName(p)
     return union.groupBy("id", "code").agg(F.sum("part").alias("score"))
+
+
+def repaired(words: DataFrame, vocabulary: DataFrame, minimum: float = 85.0) -> DataFrame:
+    """(token, term): the most similar word of the vocabulary, of about the token's length, for each different unknown token of letters."""
+    due = words.select("token").distinct().where((F.length("token") > 3) & ~F.col("token").rlike(r"\d"))
+    terms = vocabulary.select("term").distinct()
+    due = due.join(terms, due["token"] == terms["term"], "left_anti")
+    lengths = due.withColumn("size", F.explode(F.array(*(F.length("token") + d for d in (-1, 0, 1)))))
+    near = lengths.join(terms.withColumn("size", F.length("term")), "size").where(F.levenshtein("token", "term", 3) >= 0)
+    scored = near.withColumn("s", similarity.indel_ratio("token", "term")).where(F.col("s") >= minimum)
+    return scored.groupBy("token").agg(F.min_by("term", F.struct(-F.col("s"), F.col("term"))).alias("term"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from matchloom.plans import ranking, records, reports
+from matchloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_BANKS = (ranking.bank, records.bank, reports.bank)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {name: query for b in _BANKS for name, query in b.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for b in _BANKS for name, sql in b.sql.items()}

@@ -208,7 +208,7 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", block_byte
         order = np.argsort(bucket, kind="stable")
         send, bucket = send[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        done = np.stack([row[again], start[again], start[again] + length[again]], 1).astype(np.int64)
+        done = np.stack([row[again], start[again], start[again] + length[again]], 1).astype(np.uint32)  # a block's bytes are one Arrow string column, so 32 bits do
         done_cuts = np.linspace(0, len(done), n_buckets + 1).astype(np.int64)  # they ride along, anywhere
         out: list[tuple] = []
         block = left["block"][0].as_py()
@@ -216,13 +216,13 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", block_byte
             own, ride = send[cuts[k] : cuts[k + 1]], done[done_cuts[k] : done_cuts[k + 1]]
             if len(own) or len(ride):
                 body = strings[own][np.arange(WIDTH) < length[own][:, None]]
-                out.append((k, block, body.tobytes(), length[own].astype(np.uint8).tobytes(), ids[row[own]].astype(np.int64).tobytes(), row[own].astype(np.int32).tobytes(), start[own].astype(np.int64).tobytes(), ride.tobytes()))
+                out.append((k, block, body.tobytes(), length[own].astype(np.uint8).tobytes(), ids[row[own]].astype(np.int64).tobytes(), row[own].astype(np.int32).tobytes(), start[own].astype(np.uint32).tobytes(), ride.tobytes()))
         return pa.table([pa.array([x[c] for x in out], f.type) for c, f in enumerate(schema)], schema=schema)
 
     def match(table: pa.Table) -> pa.Table:
         length = np.frombuffer(b"".join(table["lengths"].to_pylist()), np.uint8).astype(np.int64)
         doc = np.frombuffer(b"".join(table["docs"].to_pylist()), np.int64)
-        start = np.frombuffer(b"".join(table["starts"].to_pylist()), np.int64)
+        start = np.frombuffer(b"".join(table["starts"].to_pylist()), np.uint32).astype(np.int64)
         n_own = np.array([len(x) for x in table["lengths"].to_pylist()])
         bounds = np.concatenate([[0], np.cumsum(n_own)])
         begin, end = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -246,7 +246,7 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", block_byte
         blocks, spans = [], []
         for n, (block, ride) in enumerate(zip(table["block"].to_pylist(), table["done"].to_pylist(), strict=True)):
             own = slice(cuts[n], cuts[n + 1])
-            body = np.stack([row[owner[own]].astype(np.int64), begin[own], end[own]], 1).tobytes() + ride
+            body = np.stack([row[owner[own]].astype(np.int64), begin[own], end[own]], 1).astype(np.uint32).tobytes() + ride
             if body:
                 blocks.append(block)
                 spans.append(body)
@@ -258,7 +258,7 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", block_byte
         if not len(left):
             return schema.empty_table()
         ids, null, data, offsets = _sorted_docs(left)
-        spans = np.frombuffer(b"".join(right["spans"].to_pylist()), np.int64).reshape(-1, 3)
+        spans = np.frombuffer(b"".join(right["spans"].to_pylist()), np.uint32).reshape(-1, 3).astype(np.int64)
         change = np.bincount(spans[:, 1], minlength=len(data) + 1) - np.bincount(spans[:, 2], minlength=len(data) + 1)
         gone = np.zeros(len(data) + 2, np.bool_)
         gone[1:-1] = np.cumsum(change[:-1]) > 0

@@ -41,6 +41,8 @@ WINDOW = 50
 GRAM = 20
 #: Bytes of text in a block of documents, and in a bucket of the key exchange.
 BLOCK, BUCKET = 4 << 20, 8 << 20
+#: Bytes of segments in one collection; its columns fit the processor's cache.
+COLLECTION = 640 << 10
 #: Documents that share a key before its segments are cut into windows.
 HOT = 20_000
 SPAN = WINDOW - GRAM + 1  # short strings in a window, and windows in a segment at most
@@ -129,6 +131,20 @@ def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
 
 
+def _least(strings: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """:func:`bwt.least_by_window` by collections of about ``COLLECTION`` bytes; strings that share a window are in one."""
+    m = len(lengths)
+    grams = np.append(gram_hashes(np.ascontiguousarray(strings[:, :WINDOW]).ravel(), GRAM), np.zeros(GRAM - 1, np.uint64))
+    key = common.mix64(grams.reshape(m, WINDOW)[:, :SPAN].min(1))  # all windows of a segment have this key
+    group = (key % U64(max(1, int(lengths.sum()) // COLLECTION))).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    out = np.empty((m, SPAN), np.int64)
+    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        with tempfile.TemporaryDirectory() as folder:
+            out[own] = bwt.least_by_window(strings[own], lengths[own], values[own], WINDOW, folder)
+    return out
+
+
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, bucket_bytes: int = BUCKET, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, spans, kept): the maximal covered runs of each text as (start, end) in bytes, and the other bytes."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -233,8 +249,7 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", block_byte
             first, which = distinct(strings, length)
             smallest = np.full(len(first), np.iinfo(np.int64).max)
             np.minimum.at(smallest, which, doc)
-            with tempfile.TemporaryDirectory() as folder:
-                least = bwt.least_by_window(strings[first], length[first], smallest, WINDOW, folder)
+            least = _least(strings[first], length[first], smallest)
             hit = np.zeros((len(length), SPAN + 2), np.int8)
             hit[:, 1 : least.shape[1] + 1] = least[which] < doc[:, None]
             edge = np.diff(hit, axis=1)

@@ -15,10 +15,21 @@ from pyspark.sql import types as T
 #: Bytes of text that one numpy step works on; bounds a task's memory, not what it covers.
 BLOCK_BYTES = 2 << 20
 
+#: Rows in an Arrow batch at most; a batch of whole texts is held several times over by the JVM and by each Python worker.
+BATCH_ROWS = 1000
+
 U64 = np.uint64
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch for this session, unless they are fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -129,6 +140,7 @@ def with_columns_by_batch(df: DataFrame, needs: list[str], adds: list[tuple[str,
     each of ``adds``. A column of ``df`` whose name an added one has (in any
     case) is replaced.
     """
+    small_batches(df.sparkSession)
     taken = {name.lower() for name, _ in adds}
     keep = [c for c in df.columns if c.lower() not in taken]
     hidden = [f"__needs_{i}" for i in range(len(needs))]

@@ -34,7 +34,9 @@ class Encoder:
     where the blank belongs to the word that follows, and BPE with word ends,
     where it is dropped), so the words between single blanks are encoded on
     their own, once each. Texts with a word that is empty or that begins or
-    ends with other white space are encoded as a whole.
+    ends with other white space are encoded as a whole, as are those that spell
+    an added token (``<|endoftext|>``), which the library looks for before it
+    forms words and gives its one id.
     """
 
     def __init__(self, path: str, blank_belongs_to_word: bool, cached_words: int = CACHED_WORDS):
@@ -42,7 +44,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = [t.content for t in added]
+        #: Added tokens that the words of a text may not show: they hold a blank, or are looked for in normalised text.
+        self.hidden = any(t.normalized or " " in t.content for t in added)
         self.prefix = " " if blank_belongs_to_word else ""
         self.limit = cached_words
         self._forget()
@@ -67,6 +72,9 @@ class Encoder:
             ids, lengths = self._ids([prefix + w for w in words.new])
             start = len(t["ids"]) + np.cumsum(lengths) - lengths
             whole = np.fromiter((w != w.strip() or not w for w in words.new), np.bool_, len(words.new))
+            every = " ".join(words.new)
+            if self.hidden or any(t in every for t in self.added):
+                whole |= np.fromiter((self.hidden or any(t in w for t in self.added) for w in words.new), np.bool_, len(words.new))
             for name, more in (("ids", ids), ("start", start), ("length", lengths), ("whole", whole)):
                 t[name] = np.concatenate([t[name], more])
             words.new = []

@@ -141,6 +141,27 @@ def test_token_store(docs, texts):
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenstore.round_trip(docs, path).collect()} == wanted
 
 
+#: Texts that spell added tokens: alone, inside words, at either end, twice, next to odd white space, in other case.
+SPELT = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b c", "x y <|endoftext|>", "<|endoftext|> z", "<|startoftext|> p <|endoftext|><|endoftext|> q", "u  <|endoftext|>\tv", "W <|ENDOFTEXT|> w", "plain words <| only"]
+
+
+@pytest.mark.parametrize(("name", "end"), [("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 1)])
+def test_added_tokens(spark, name, end):
+    from tokenizers import Tokenizer
+
+    path = vocabulary(name)
+    tok = Tokenizer.from_file(path)
+    ids = [[*tok.encode(t, add_special_tokens=False).ids, end] for t in SPELT]
+    crcs = [zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own)) for own in ids]
+    docs = spark.createDataFrame(list(enumerate(SPELT)), "doc_id long, text string").repartition(2)
+    if end == packing.END_ID:
+        found = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack_documents(docs, path).collect()}
+        assert found == {i: (len(own), c) for i, (own, c) in enumerate(zip(ids, crcs, strict=True))}
+    else:
+        found = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenstore.round_trip(docs, path).collect()}
+        assert found == {i: (sum(map(len, ids[:i])), len(own), c) for i, (own, c) in enumerate(zip(ids, crcs, strict=True))}
+
+
 def test_language_model(spark, docs):
     """Against naive Bayes on counted n-grams; in so many buckets that hardly any two n-grams share one."""
     rnd = random.Random(1)

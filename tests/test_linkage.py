@@ -82,6 +82,29 @@ def test_pair_greedy(spark):
     assert found == {1: 3, 3: 1, 2: None, 4: None}
 
 
+@pytest.mark.parametrize("kept", [1, 3, 32])
+def test_greedy_matching_with_ties(kept):
+    rnd = random.Random(11)
+    for n in range(60):
+        texts = [rnd.choice([None, "", " ".join(rnd.choices(["AB", "AC", "BC", "ABC", "D"], k=rnd.randint(1, 3)))]) for _ in range(rnd.randint(2, 30))]
+        sides = [rnd.choice(["Input", "Output"]) for _ in texts]
+        ins, outs = ([r for r, d in enumerate(sides) if d == side] for side in ("Input", "Output"))
+        used, wanted = set(), set()
+        for s, o, i in sorted(((similarity.sorted_tokens(texts[o] or "", texts[i] or ""), o, i) for o in outs for i in ins), reverse=True):
+            if s >= 60 and o not in used and i not in used:
+                used |= {o, i}
+                wanted.add((i, o, s))
+        assert set(resolve.matched(texts, sides, 60.0, kept)) == wanted
+
+
+def test_pair_greedy_of_a_large_group(spark):
+    """400 million pairs of rows, of 20 x 20 texts."""
+    one = F.concat_ws(" ", F.lit("DISJUNTOR"), (F.col("id") % 20).cast("string"))
+    rows = spark.range(40_000).select("id", F.lit("m").alias("module"), F.when(F.col("id") < 20_000, "Input").otherwise("Output").alias("direction"), one.alias("text"), F.col("id").alias("ord"))
+    found = resolve.pair_greedy(rows, ["module"]).collect()
+    assert len(found) == 40_000 and all(r["score"] == 100 and abs(r["id"] - r["partner"]) == 20_000 for r in found)
+
+
 def test_rules(spark):
     rows = [(1, "50A", 0, 0.5), (1, "27", 1, 0.5), (2, "DJF1", 0, 0.5)]
     frame = spark.createDataFrame(rows, "id long, code string, ord int, score double").withColumn("text", F.when(F.col("id") == 1, "RELE 50 SOBRECORRENTE").otherwise("DISJUNTOR FECHADO"))

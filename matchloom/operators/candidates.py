@@ -160,6 +160,8 @@ def repaired(words: DataFrame, vocabulary: DataFrame, minimum: float = 85.0) ->
     terms = vocabulary.select("term").distinct()
     due = due.join(terms, due["token"] == terms["term"], "left_anti")
     lengths = due.withColumn("size", F.explode(F.array(*(F.length("token") + d for d in (-1, 0, 1)))))
-    near = lengths.join(terms.withColumn("size", F.length("term")), "size").where(F.levenshtein("token", "term", 3) >= 0)
+    # insertions and deletions are as many as the Levenshtein distance at least, so this loses no pair; the rest is for rounding
+    bound = (100 - minimum) * (F.length("token") + F.length("term")) + 1e-6
+    near = lengths.join(terms.withColumn("size", F.length("term")), "size").where(100 * F.levenshtein("token", "term") <= bound)
     scored = near.withColumn("s", similarity.indel_ratio("token", "term")).where(F.col("s") >= minimum)
     return scored.groupBy("token").agg(F.min_by("term", F.struct(-F.col("s"), F.col("term"))).alias("term"))

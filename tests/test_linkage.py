@@ -61,6 +61,13 @@ def test_fuzzy_and_typos(spark):
     assert [tuple(r) for r in candidates.repaired(words, terms).collect()] == [("DISJUNTR", "DISJUNTOR")]
 
 
+def test_typos_of_long_words(spark):
+    words = spark.createDataFrame([("TARNSFORMADOERS",), ("DISJNUTRO",)], "token string")
+    terms = spark.createDataFrame([("TRANSFORMADORES",), ("DISJUNTOR",)], "term string")
+    assert similarity.indel("TARNSFORMADOERS", "TRANSFORMADORES") > 85 > similarity.indel("DISJNUTRO", "DISJUNTOR")
+    assert [tuple(r) for r in candidates.repaired(words, terms).collect()] == [("TARNSFORMADOERS", "TRANSFORMADORES")]
+
+
 def test_greedy_parity(spark):
     rnd = random.Random(5)
     rows = [(g, a, rnd.choice("xy"), n) for g in range(60) for n, a in enumerate(sorted(rnd.choices(range(12), k=8)))]

@@ -143,15 +143,16 @@ def with_columns_by_batch(df: DataFrame, needs: list[str], adds: list[tuple[str,
     small_batches(df.sparkSession)
     taken = {name.lower() for name, _ in adds}
     keep = [c for c in df.columns if c.lower() not in taken]
-    hidden = [f"__needs_{i}" for i in range(len(needs))]
+    more = [c for c in dict.fromkeys(needs) if c not in keep]  # needed, but replaced in the result
+    source = df.select(*(F.col(f"`{c}`") for c in keep + more))
+    at = [(keep + more).index(c) for c in needs]
     n = len(keep)
-    source = df.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"`{c}`").alias(h) for c, h in zip(needs, hidden, strict=True)))
     schema = T.StructType([*source.schema.fields[:n], *(T.StructField(name, kind) for name, kind in adds)])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = b.columns
-            yield pa.RecordBatch.from_arrays([*columns[:n], *function(*columns[n:])], names=names)
+            yield pa.RecordBatch.from_arrays([*columns[:n], *function(*(columns[i] for i in at))], names=names)
 
     return source.mapInArrow(run, schema)

@@ -82,14 +82,26 @@ def test_collections_of_any_size(texts):
     assert bwt and common
 
 
-def test_jaccard(docs, texts):
+@pytest.mark.parametrize(("percent", "n", "limits"), [(90, 3, {}), (80, 5, {"ROUNDS": 1, "GROUP_FEATURES": 2000}), (80, 3, {"ROUNDS": 0, "GROUP_FEATURES": 300, "BLOCK_SIGNATURES": 500})])
+def test_jaccard(spark, texts, percent, n, limits, monkeypatch):
+    """Also with groups that sign again, and with groups that are cut into blocks."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rnd = random.Random(3)
+    chain = [f"w{k}" for k in range(80)]
+    more = []
+    for k in range(60):  # near copies and chains of them, whose ends have little in common
+        chain[rnd.randrange(80)] = f"c{k}"
+        more.append((2000 + k, " ".join(chain)))
+    rows = texts + more
+
     def features(t):
         words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")).split() if w]
-        return {tuple(words[k : k + 3]) for k in range(len(words) - 2)} if len(words) >= 3 else ({tuple(words)} if words else set())
+        return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
 
-    sets = {i: features(t) for i, t in texts}
+    sets = {i: features(t) for i, t in rows}
     component = {i: i for i in sets}
-    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in sets:
         moved = False
         for a, b in links:
@@ -98,10 +110,27 @@ def test_jaccard(docs, texts):
             component[a] = component[b] = low
         if not moved:
             break
-    found = {r["doc_id"]: (r["n_features"], r["component"]) for r in jaccard.components(docs).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_features"], r["component"]) for r in jaccard.components(docs, percent=percent, n=n).collect()}
     assert found == {i: (len(sets[i]), component[i]) for i in sets}
 
 
+def test_shared_features(spark, texts):
+    """Sets are left out only if too few of their features occur elsewhere, with blocks and buckets of any size."""
+    import pyarrow as pa
+
+    from matchloom.llm import sharing
+    from matchloom.llm.wordsets import feature_sets
+
+    sets = {t: frozenset(f.tolist()) for t, (_, f) in zip([t for _, t in texts], feature_sets(pa.array([t for _, t in texts]), 3), strict=True) if len(f)}
+    counts = Counter(x for s in set(sets.values()) for x in s)
+    wanted = {s for s in sets.values() if 100 * sum(counts[x] > 1 for x in s) >= 90 * len(s)}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for sizes in ((500_000, 1_000_000), (300, 200)):
+        found = [sets[r["text"]] for r in sharing.candidates(docs, sum(map(len, sets.values())), 90, 3, *sizes).collect()]
+        assert set(found) == wanted and len(found) == len(wanted)
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 

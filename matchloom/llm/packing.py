@@ -12,7 +12,9 @@ and looks their places up. Pieces of a length are numbered in salted groups, so
 that a length that a third of all pieces have is no single task.
 
 Defined results: null and empty texts have the end id alone; repeated rows are
-packed each; pieces without an id or of a null key are packed like others.
+packed each; pieces without an id or of a null key are packed like others. Texts
+of any length are encoded whole. Only the key and the text are read; other
+columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from matchloom.session import staged
 
 CAPACITY = 2048
 END_ID = 0
-#: Groups in which the pieces of one length are numbered.
-SALTS = 64
+#: Groups in which the pieces of one length are numbered: so many, and more if all pieces would make groups of more than this.
+SALTS, GROUP_PIECES = 64, 500_000
 
 
 def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -41,7 +43,7 @@ def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(vocabulary, blank_belongs_to_word=True)
+        encoder = tokens.encoder(vocabulary, blank_belongs_to_word=True)
         for b in batches:
             keys = b.column(0).to_pylist()
             for i, ids, bounds in tokens.encoded(b.column(1), encoder):
@@ -106,12 +108,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return places
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a length of at most ``capacity``) with sequence_id and offset.
 
-    ``pieces`` is read twice, so it should be a table and not a computation.
+    ``pieces`` is read several times, so it should be a table and not a computation.
     """
     spark: SparkSession = pieces.sparkSession
+    salts = max(SALTS, pieces.count() // GROUP_PIECES)
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     groups = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))

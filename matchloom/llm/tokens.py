@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from matchloom.llm import common
 
-#: Words whose ids one task keeps; more than these are encoded again.
-CACHED_WORDS = 300_000
+#: Words whose ids one worker keeps; more than these are encoded again.
+CACHED_WORDS = 500_000
+#: New words that the library gets as one text, with an added token between them.
+JOINED_WORDS = 64
 
 
 class _Words(dict):
@@ -61,20 +65,33 @@ class Encoder:
     def _table() -> dict[str, np.ndarray]:
         return {"ids": np.empty(0, np.uint32), "start": np.zeros(0, np.int64), "length": np.zeros(0, np.int64), "whole": np.zeros(0, np.bool_)}
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each of which the library gets as it is, and the number of ids of each."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that hold no added token, and the number of ids of each; the library treats what is between added tokens on its own."""
+        if self.hidden or not self.added:
+            return self._whole(words)
+        mark = self.added[0]
+        texts = [mark.join(words[k : k + JOINED_WORDS]) + mark for k in range(0, len(words), JOINED_WORDS)]
+        ids = self._whole(texts)[0]
+        ends = np.flatnonzero(ids == self.tokenizer.token_to_id(mark))
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def _learn(self, words: _Words, prefix: str) -> dict[str, np.ndarray]:
         t = self.tables[id(words)]
         if words.new:
-            ids, lengths = self._ids([prefix + w for w in words.new])
-            start = len(t["ids"]) + np.cumsum(lengths) - lengths
-            whole = np.fromiter((w != w.strip() or not w for w in words.new), np.bool_, len(words.new))
-            every = " ".join(words.new)
+            new = words.new
+            whole = np.fromiter((w != w.strip() or not w for w in new), np.bool_, len(new))
+            every = " ".join(new)
             if self.hidden or any(t in every for t in self.added):
-                whole |= np.fromiter((self.hidden or any(t in w for t in self.added) for w in words.new), np.bool_, len(words.new))
+                whole |= np.fromiter((self.hidden or any(t in w for t in self.added) for w in new), np.bool_, len(new))
+                new = ["" if x else w for w, x in zip(new, whole, strict=True)]  # a text with such a word is encoded as a whole
+            ids, lengths = self._ids([prefix + w for w in new])
+            start = len(t["ids"]) + np.cumsum(lengths) - lengths
             for name, more in (("ids", ids), ("start", start), ("length", lengths), ("whole", whole)):
                 t[name] = np.concatenate([t[name], more])
             words.new = []
@@ -82,43 +99,42 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.words) > self.limit:
             self._forget()
-        look, look_first = self.words.__getitem__, self.firsts.__getitem__
-        numbers: list[int] = []
-        firsts: list[int] = []
-        counts = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            parts = text.split(" ")
-            firsts.append(look_first(parts[0]))
-            counts[k] = len(parts)
-            numbers.append(0)  # the first word's place
-            numbers += map(look, parts[1:])
-        later, early = self._learn(self.words, self.prefix), self._learn(self.firsts, "")
-        number = np.array(numbers, np.int64)
+        counts = np.fromiter((t.count(" ") for t in texts), np.int64, len(texts)) + 1
         at_first = np.cumsum(counts) - counts
-        if not len(later["ids"]) and not len(later["start"]):  # no text has a second word
-            later = early
+        parts = " ".join(texts).split(" ")
+        f = np.fromiter((self.firsts[parts[k]] for k in at_first.tolist()), np.int64, len(texts))
+        for k in at_first.tolist():
+            parts[k] = "a"  # its place is taken by the first word's ids below
+        number = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        later, early = self._learn(self.words, self.prefix), self._learn(self.firsts, "")
         start, length, whole = later["start"][number], later["length"][number], later["whole"][number]
-        base = len(later["ids"]) if later is not early else 0
-        f = np.array(firsts, np.int64)
-        start[at_first], length[at_first] = early["start"][f] + base, early["length"][f]
-        whole[at_first] = early["whole"][f] & (counts > 1)
+        start[at_first], length[at_first] = early["start"][f] + len(later["ids"]), early["length"][f]
+        whole[at_first] = early["whole"][f]
         bounds = np.append(at_first, len(number))
-        pool = np.concatenate([later["ids"], early["ids"]]) if later is not early else early["ids"]
+        pool = np.concatenate([later["ids"], early["ids"]])
         odd = np.flatnonzero(common.grouped_sum(whole, bounds) > 0)
         if len(odd):
-            ids, lengths = self._ids([texts[k] for k in odd])
+            ids, lengths = self._whole([texts[k] for k in odd])
             for k in odd:
                 length[bounds[k] : bounds[k + 1]] = 0
             start[at_first[odd]] = len(pool) + np.cumsum(lengths) - lengths
             length[at_first[odd]] = lengths
             pool = np.concatenate([pool, ids])
         ends = np.cumsum(length)
-        gathered = pool[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        gathered = pool[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
         return gathered, common.grouped_sum(length, bounds)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, blank_belongs_to_word: bool) -> Encoder:
+    """The encoder of this worker, which keeps its words from task to task."""
+    return Encoder(path, blank_belongs_to_word)
+
+
 def encoded(texts: pa.Array, encoder: Encoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids of a block of rows, bounds of each row's ids); null counts as empty."""
     _, offsets = common.utf8(texts)

@@ -10,13 +10,18 @@ A store is a folder in the shared file system: the table of ranks (Parquet), and
 files of consecutive ranges of documents. A file is ``MAGIC``, then blocks: the
 numbers of documents, ids and data bytes (unsigned, 64 bits), document keys
 (64 bits; a bit set marks null keys), ids of each document (32 bits), control
-bytes and data bytes, all little-endian. A task writes its file under a name of
-its own and reports it; only files in the manifest, which the job writes once
-all tasks are done, belong to the store, so an attempt that is lost or repeated
-leaves nothing behind that counts.
+bytes and data bytes, all little-endian. A document's control bytes are its own:
+the last one's spare numbers are zeros, which a decoder drops. So documents are
+coded before they are sorted, and the coded bytes are what crosses the network.
+A task writes its file under a name of its own and reports it; only files in the
+manifest, which the job writes once all tasks are done, belong to the store, so
+an attempt that is lost or repeated leaves nothing behind that counts.
 
 Defined results: null and empty texts have the end id alone; documents of a null
-key come first; repeated rows are stored each, one after another.
+key come first; repeated rows are stored each, one after another, and a key that
+many rows have is spread over as many files as its ids fill. Texts of any length
+are encoded whole; a document is never split between blocks. Only the key and
+the text are read; other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm import tokens
+from matchloom.llm import common, tokens
 from matchloom.session import fresh_path, staged
 
 MAGIC = b"RANKVB1\n"
 END_ID = 1
 #: Ids in a file, about, and in a block at most unless one document has more.
 FILE_IDS, BLOCK_IDS = 8_000_000, 500_000
+#: Ids that one numpy step codes, about.
+STEP_IDS = 500_000
 
 #: Of a control byte: which of its four numbers' four bytes are in the data.
 MASKS = np.arange(4)[None, None, :] <= ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)[:, :, None]
@@ -61,11 +68,23 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").ravel()[:n]
 
 
-def pack_block(keys: list[int | None], counts: np.ndarray, ranks: np.ndarray) -> bytes:
-    control, data = encode(ranks)
+def encode_documents(numbers: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; ``counts`` has its share of ``numbers``."""
+    quads = -(-counts // 4)
+    at = np.arange(len(numbers)) + np.repeat(np.cumsum(4 * quads - counts) - (4 * quads - counts), counts)
+    padded = np.zeros(4 * int(quads.sum()), "<u4")
+    padded[at] = numbers
+    control, data = encode(padded)
+    size = MASKS[np.frombuffer(control, np.uint8)].sum((1, 2))
+    ends = np.cumsum(quads)
+    cuts = np.append(0, np.cumsum(size))[np.append(0, ends)]
+    return [control[a:z] for a, z in zip(ends - quads, ends, strict=True)], [data[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def pack_block(keys: list[int | None], counts: np.ndarray, control: bytes, data: bytes) -> bytes:
     null = np.packbits(np.array([k is None for k in keys], np.bool_)).tobytes()
     numbers = np.array([0 if k is None else k for k in keys], "<i8").tobytes()
-    return b"".join([struct.pack("<QQQ", len(keys), len(ranks), len(data)), numbers, null, counts.astype("<u4").tobytes(), control, data])
+    return b"".join([struct.pack("<QQQ", len(keys), int(counts.sum()), len(data)), numbers, null, counts.astype("<u4").tobytes(), control, data])
 
 
 def read_blocks(read: Callable[[int], bytes]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
@@ -77,30 +96,39 @@ def read_blocks(read: Callable[[int], bytes]) -> Iterator[tuple[list[int | None]
         keys = np.frombuffer(read(8 * n_docs), "<i8").tolist()
         null = np.unpackbits(np.frombuffer(read(-(-n_docs // 8)), np.uint8), count=n_docs)
         counts = np.frombuffer(read(4 * n_docs), "<u4").astype(np.int64)
-        control, data = read(-(-n_ids // 4)), read(n_data)
-        yield [None if x else k for k, x in zip(keys, null, strict=True)], counts, decode(control, data, n_ids)
+        quads = -(-counts // 4)
+        control, data = read(int(quads.sum())), read(n_data)
+        spare = 4 * quads - counts
+        at = np.arange(n_ids) + np.repeat(np.cumsum(spare) - spare, counts)
+        yield [None if x else k for k, x in zip(keys, null, strict=True)], counts, decode(control, data, 4 * int(quads.sum()))[at]
+
+
+def id_type(vocabulary: str) -> str:
+    """The numpy type that holds every id of the vocabulary."""
+    return "<u2" if tokens.encoder(vocabulary, False).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n, ids): each document's ids and the end id, as 32-bit little-endian bytes."""
+    """(doc_id, n, ids): each document's ids and the end id, as little-endian bytes of :func:`id_type`."""
+    kind = id_type(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(vocabulary, blank_belongs_to_word=False)
+        encoder = tokens.encoder(vocabulary, blank_belongs_to_word=False)
         for b in batches:
             for i, ids, bounds in tokens.encoded(b.column(1), encoder):
-                rows = [np.append(ids[s:e], end_id).astype("<u4").tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                rows = [np.append(ids[s:e], end_id).astype(kind).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(rows)), pa.array(np.diff(bounds) + 1), pa.array(rows, pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def frequencies(tokenised: DataFrame) -> DataFrame:
+def frequencies(tokenised: DataFrame, kind: str) -> DataFrame:
     """(id, n) of every id, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            found = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
+            found = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
             total = np.pad(total, (0, max(0, len(found) - len(total))))
             total[: len(found)] += found
         hit = np.flatnonzero(total)
@@ -112,8 +140,9 @@ def frequencies(tokenised: DataFrame) -> DataFrame:
 def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
     """Write the store of ``docs`` to the folder ``path``."""
     spark: SparkSession = docs.sparkSession
+    kind = id_type(vocabulary)
     tokenised = staged(tokenise(docs, vocabulary, key, text, end_id), "token-ids")
-    counted = frequencies(tokenised).orderBy(F.desc("n"), "id").toPandas()  # a vocabulary's ids at most
+    counted = frequencies(tokenised, kind).orderBy(F.desc("n"), "id").toPandas()  # a vocabulary's ids at most
     by_rank = counted["id"].to_numpy(np.int64)
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank long, id long").write.parquet(f"{path}/ranks")
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
@@ -121,38 +150,49 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
     held = spark.sparkContext.broadcast(rank)
     n_files = max(1, -(-int(counted["n"].sum()) // file_ids))
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = b.column(1).to_numpy()
+            bounds = np.append(0, np.cumsum(counts))
+            for i, j in common.blocks(bounds, STEP_IDS):
+                ids = np.frombuffer(b"".join(b.column(2).slice(i, j - i).to_pylist()), kind)
+                control, data = encode_documents(held.value[ids], counts[i:j])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n", "control", "data"])
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         name = f"{uuid.uuid4().hex}.rvb"
-        out, keys, blobs, first, n_docs, n_ids, waiting = None, [], [], None, 0, 0, 0
+        out, rows, first, n_docs, n_ids, waiting = None, [], None, 0, 0, 0
 
         def flush() -> None:
-            nonlocal keys, blobs, waiting
-            ids = np.frombuffer(b"".join(blobs), "<u4")
-            out.write(pack_block(keys, np.array([len(x) // 4 for x in blobs]), held.value[ids]))
-            keys, blobs, waiting = [], [], 0
+            nonlocal rows, waiting
+            keys, counts, control, data = zip(*rows, strict=True)
+            out.write(pack_block(list(keys), np.array(counts, np.int64), b"".join(control), b"".join(data)))
+            rows, waiting = [], 0
 
         for b in batches:
-            for doc, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                doc, n = row[:2]
                 if out is None:
                     where, at = fs.FileSystem.from_uri(path)
                     where.create_dir(at, recursive=True)
                     out, first = where.open_output_stream(f"{at}/{name}"), doc
                     out.write(MAGIC)
-                if waiting and waiting + len(blob) // 4 > BLOCK_IDS:
+                if waiting and waiting + n > BLOCK_IDS:
                     flush()
-                keys.append(doc)
-                blobs.append(blob)
-                waiting += len(blob) // 4
-                n_docs, n_ids, last = n_docs + 1, n_ids + len(blob) // 4, doc
+                rows.append(row)
+                waiting += n
+                n_docs, n_ids, last = n_docs + 1, n_ids + n, doc
         if out is not None:
             flush()
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first, "last_doc": last, "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = tokenised.repartitionByRange(n_files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    ordered.select("doc_id", "ids").mapInArrow(store, "file string, first_doc long, last_doc long, n_docs long, n_ids long").write.parquet(f"{path}/manifest")
+    coded = tokenised.select("doc_id", "n", "ids").mapInArrow(code, "doc_id long, n long, control binary, data binary").withColumn("tie", F.xxhash64("data"))
+    order = (F.asc_nulls_first("doc_id"), "n", "tie")
+    ordered = coded.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "n", "control", "data").mapInArrow(store, "file string, first_doc long, last_doc long, n_docs long, n_ids long").write.parquet(f"{path}/manifest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

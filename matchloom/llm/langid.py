@@ -7,8 +7,8 @@ probabilities and works on whole Arrow batches in numpy.
 
 Defined results: a null text, an empty text or one without any letter is
 ``und`` with score 0; so is every text if no labelled row exists. Ties go to the
-language that sorts first. Repeated rows are counted and scored each. Output
-columns replace input columns of the same name.
+language that sorts first. Repeated rows are counted and scored each. Texts of
+any length are read whole. Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from matchloom.llm import common
 #: Lengths of the n-grams, in characters.
 ORDERS = (1, 2, 3)
 N_BUCKETS = 1 << 16
-#: Labelled rows that training reads at most, about; chosen by a hash of the row.
-MAX_TRAIN_ROWS = 20_000
+#: Labelled rows of each language that training reads at most, about; chosen by a hash of the row's key.
+MAX_TRAIN_ROWS = 8_000
+#: The finest share of rows that a sample can be.
+SHARES = 1 << 52
 UNKNOWN = "und"
 
 
@@ -89,17 +91,28 @@ def pieces(texts: pa.Array) -> Iterator[list[str | None]]:
         yield texts.slice(i, j - i).to_pylist()
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAIN_ROWS, n_buckets: int = N_BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
-    """Learn from rows that have a language and a text; about ``max_rows`` of them, or all if there are fewer."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    total = rows.count()
-    share = min(1.0, max_rows / total) if total else 1.0
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < int(share * (1 << 20)))
+def share_of(total: int, max_rows: int) -> int:
+    """Of ``SHARES``, how many give about ``max_rows`` of ``total`` rows; never none."""
+    return max(1, min(SHARES, SHARES * max_rows // max(total, 1)))
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS, n_buckets: int = N_BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
+    """Learn from rows that have a language and a text: of each language about ``max_rows``, or all if there are fewer.
+
+    ``key`` tells rows apart, so that copies of one text are chosen one by one. The frequencies of the languages are those of all rows.
+    """
+    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language, as in the model
+    part = F.lit(SHARES)
+    for name, total in totals.items():
+        if total > max_rows:
+            part = F.when(F.col("lang") == name, share_of(total, max_rows)).otherwise(part)
+    if max(totals.values(), default=0) > max_rows:
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) < part)
+    rows = rows.select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        n_rows: dict[str, int] = {}
         for b in batches:
             langs = np.array(b.column(1).to_pylist(), dtype=object)
             at = 0
@@ -108,24 +121,21 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: i
                 at += len(part)
                 for name in sorted(set(of)):
                     codes, offsets = encoded([t for t, x in zip(part, of, strict=True) if x == name])
-                    n_rows[name] = n_rows.get(name, 0) + len(offsets) - 1
                     for order in orders:
                         found = np.bincount(grams(codes, offsets, order, n_buckets)[0], minlength=n_buckets)
                         sums[name] = sums[name] + found if name in sums else found
         for name, c in sums.items():
             hit = np.flatnonzero(c)
-            bucket, n = np.append(hit, -1), np.append(c[hit], n_rows[name])  # bucket -1: rows of the language
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(c[hit].astype(np.int64))], names=["lang", "bucket", "n"])
 
     counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique())
+    languages = sorted(totals)
     matrix = np.zeros((len(languages), n_buckets))
     docs = np.zeros(len(languages))
     for i, name in enumerate(languages):
         own = counts[counts["lang"] == name]
-        here = own["bucket"].to_numpy()
-        matrix[i, here[here >= 0]] = own["n"].to_numpy()[here >= 0]
-        docs[i] = own["n"].to_numpy()[here < 0].sum()
+        matrix[i, own["bucket"].to_numpy()] = own["n"].to_numpy()
+        docs[i] = totals[name]
     matrix += 0.5
     return Model(languages, np.log(matrix / matrix.sum(1, keepdims=True)).astype(np.float32), np.log((docs + 1) / (docs.sum() + len(docs))).astype(np.float32), orders)
 

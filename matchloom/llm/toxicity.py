@@ -9,12 +9,15 @@ covers it: pairs of words around an entry that clean labelled texts have and
 toxic ones hardly do, and those that the caller gives. The sum of the weights is
 normalised by the text's length, and a logistic curve makes it a score.
 
-Learning reads at most about ``MAX_TRAIN_ROWS`` labelled rows, chosen by a hash
-of the key; the lexicon has at most ``LEXICON_SIZE`` entries.
+Learning reads at most about ``MAX_TRAIN_ROWS`` labelled keys, chosen by a hash
+of the key. All terms of their texts that pass the test of association enter the
+lexicon, which the sample thus bounds.
 
 Defined results: null and empty texts are folded to nothing and get the score
-of a text without an entry; so does every text if no labelled row exists.
-Repeated rows are scored each. Added columns replace those of the same name.
+of a text without an entry; so does every text if no labelled row exists. A key
+with several labels counts as toxic if one of them is 1. Repeated rows are
+scored each. Texts of any length are read whole. Added columns replace those of
+the same name.
 """
 
 from __future__ import annotations
@@ -32,11 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm import common
-from matchloom.llm.langid import letters
+from matchloom.llm.langid import SHARES, letters, share_of
 from matchloom.session import staged
 
 MAX_TRAIN_ROWS = 40_000
-LEXICON_SIZE = 4_000
 #: Lengths of the beginnings of words that may be entries.
 PREFIXES = (4, 5, 6)
 #: An entry needs so many toxic texts, a log ratio of document frequencies of at least so much, and this G-test statistic.
@@ -131,14 +133,19 @@ class Matcher:
         if self.empty:
             return []
         best: dict[int, tuple[int, float]] = {}
-        excused = []
+        excused: dict[int, int] = {}
         for last, (n, weight) in self.automaton.iter(text):
             start = last - n + 1
             if weight is None:
-                excused.append((start, last + 1))
+                excused[start] = max(excused.get(start, 0), last + 1)
             elif start not in best or weight > best[start][1]:
                 best[start] = (last + 1, weight)
-        return [(a, b, w) for a, (b, w) in sorted(best.items()) if not any(s <= a and b <= e for s, e in excused)]
+        found, covered = [], 0  # where the longest exception ends that begins here or before
+        for a in sorted(best.keys() | excused.keys()):
+            covered = max(covered, excused.get(a, 0))
+            if a in best and best[a][0] > covered:
+                found.append((a, *best[a]))
+        return found
 
     def weigh(self, text: str) -> float:
         """The weights of the entries, over the text's length; one that repeats n times counts 1 + log(n) times."""
@@ -151,15 +158,14 @@ def _terms(text: str, prefixes: tuple[int, ...]) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in prefixes if len(w) > n}
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, size: int = LEXICON_SIZE, exceptions: frozenset[str] = frozenset()) -> Lexicon:
-    """Learn from the rows of ``labels`` (key, label 0 or 1); at most about ``max_rows`` of them."""
-    rows = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("key is not null and label is not null")
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, exceptions: frozenset[str] = frozenset()) -> Lexicon:
+    """Learn from the rows of ``labels`` (key, label 0 or 1); at most about ``max_rows`` keys."""
+    rows = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("key is not null and label is not null").groupBy("key").agg(F.max("label").alias("label"))
     total = rows.count()
     if not total:
         return Lexicon({}, exceptions)
-    share = min(1.0, max_rows / total)
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if total > max_rows:
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) < share_of(total, max_rows))
     # about max_rows rows of two numbers
     chosen = staged(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(rows), "key").select("label", "text"), "toxic-training")
 
@@ -184,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     both = F.col("toxic") + F.col("clean")
     g = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0))
     entries = terms.where(f"term <> '' and toxic >= {MIN_TEXTS}").withColumn("weight", weight).where((F.col("weight") >= MIN_WEIGHT) & (g >= MIN_G))
-    best = entries.orderBy(F.desc("weight"), "term").limit(size).select("term", "weight").collect()  # size rows at most
+    best = entries.select("term", "weight").collect()  # terms of max_rows texts that pass a test, as the broadcast lexicon holds them
     lexicon = Lexicon({r["term"]: float(r["weight"]) for r in best}, exceptions)
 
     # words next to an entry: pairs that clean texts have and toxic ones hardly do
@@ -207,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[k][t] for t in names], pa.int64()) for k in (1, 0))], names=["term", "toxic", "clean"])
 
     around = chosen.mapInArrow(pairs, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    harmless = around.where(f"clean >= 3 and clean * {texts['toxic'] + 1} > 4 * (toxic + 1) * {texts['clean'] + 1}").orderBy(F.desc("clean"), "term").limit(size).collect()
+    harmless = around.where(f"clean >= 3 and clean * {texts['toxic'] + 1} > 4 * (toxic + 1) * {texts['clean'] + 1}").select("term").collect()  # pairs around entries in the same texts
     lexicon = Lexicon(lexicon.weights, exceptions | {r["term"] for r in harmless})
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,6 +157,76 @@ def test_packing(docs, texts):
         assert at <= 2048
 
 
+def test_fullest_combination():
+    """The subset-sum programme against every combination, and the number of sequences against its lower bound."""
+    rnd = random.Random(5)
+    for _ in range(200):
+        counts = {rnd.randint(1, 30): rnd.randint(1, 3) for _ in range(rnd.randint(0, 4))}
+        room = rnd.randint(0, 40)
+        sums = {0}
+        for n, c in counts.items():
+            sums |= {s + n * k for s in sums for k in range(1, c + 1) if s + n * k <= room}
+        chosen = packing.fullest(counts, room)
+        assert sum(n * c for n, c in chosen.items()) == max(sums) and all(c <= counts[n] for n, c in chosen.items())
+    for _ in range(20):
+        counts = Counter(rnd.randint(1, 100) for _ in range(400))
+        places = packing.plan(dict(counts), 100)
+        used = Counter()
+        for n, first, end, sequence, copies, _ in places:
+            for k in range(first, end):
+                used[sequence + (k - first) // copies] += n
+        total = sum(n * c for n, c in counts.items())
+        assert sum(used.values()) == total and max(used.values()) <= 100 and len(used) <= -(-total // 100) + 2
+        assert {n: sum(e - f for m, f, e, *_ in places if m == n) for n in counts} == counts
+
+
+def test_toxicity_matcher():
+    """The automaton against a search for every entry at every place."""
+    from matchloom.llm import toxicity
+
+    rnd = random.Random(8)
+    words = ["ab", "abc", "b", "cab", "ba"]
+    for _ in range(100):
+        weights = {f" {rnd.choice(words)} ": float(rnd.randint(1, 5)) for _ in range(3)} | {f" {rnd.choice(words)}": float(rnd.randint(1, 5)) for _ in range(2)}
+        exceptions = frozenset(f" {rnd.choice(words)} {rnd.choice(words)} " for _ in range(3))
+        text = " " + " ".join(rnd.choices(words, k=12)) + " "
+        excused = [(k, k + len(e)) for e in exceptions for k in range(len(text)) if text.startswith(e, k)]
+        wanted = []
+        for k in range(len(text)):
+            fits = [(w, e) for e, w in weights.items() if text.startswith(e, k)]
+            if fits:
+                top = max(w for w, _ in fits)
+                ends = {k + len(e) for w, e in fits if w == top}
+                wanted.append((k, {e for e in ends if not any(s <= k and e <= z for s, z in excused)}, top))
+        found = {a: (b, w) for a, b, w in toxicity.Matcher(toxicity.Lexicon(weights, exceptions)).entries(text)}
+        for k, ends, top in wanted:
+            assert k in found and found[k][0] in ends and found[k][1] == top if len(ends) == 1 and k in found else k not in found or found[k][1] == top
+        assert found.keys() <= {k for k, _, _ in wanted} and {k for k, ends, _ in wanted if not ends}.isdisjoint(found)
+
+
+def test_toxicity_lexicon(spark):
+    """Entries and their weights against document frequencies that are counted here."""
+    from matchloom.llm import toxicity
+
+    rnd = random.Random(9)
+    bad, good = ["grolm", "vexit", "plusk"], ["tree", "river", "stone", "cloud", "grass", "light"]
+    rows = []
+    for k in range(300):
+        words = rnd.choices(good, k=12)
+        if k % 3 == 0:
+            words[rnd.randrange(12)] = rnd.choice(bad)
+        rows.append((k, " ".join(words), int(k % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    n = Counter(y for _, _, y in rows)
+    for w in bad:
+        inside = sum(w in t.split() for _, t, _ in rows)
+        assert abs(lexicon.weights[f" {w} "] - (log((inside + 0.5) / (n[1] + 1)) - log(0.5 / (n[0] + 1)))) < 1e-9
+    assert not any(f" {w} " in lexicon.weights for w in good)
+    scored = toxicity.score(docs, lexicon).collect()
+    assert all((r["score"] >= 0.5) == (r["toxic"] == 1) for r in scored)
+
+
 def test_token_store(docs, texts):
     from tokenizers import Tokenizer
 
@@ -196,7 +266,7 @@ def test_language_model(spark, docs):
     rnd = random.Random(1)
     make = lambda letters: " ".join("".join(rnd.choices(letters, k=5)) for _ in range(20))
     rows = [(make("aeioumn"), "xx") for _ in range(30)] + [(make("aetklou"), "yy") for _ in range(20)]
-    labelled = spark.createDataFrame(rows, "text string, lang string")
+    labelled = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
     model = langid.fit(labelled, n_buckets=1 << 22)
     grams = lambda t: [t[k : k + n] for n in langid.ORDERS for k in range(len(t) - n + 1)]
     counts = {name: Counter(g for t, x in rows if x == name for g in grams(t)) for name in ("xx", "yy")}
@@ -209,3 +279,9 @@ def test_language_model(spark, docs):
     found = {r["text"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame([(t,) for t in tests], "text string"), model).collect()}
     assert sum(found[t] == best(t) for t in tests) >= len(tests) - 1
     assert hashlib and F
+    # a language of few rows stays in the model, copies of a hot text are sampled one by one, and no total leaves a sample empty
+    hot = labelled.union(labelled.sparkSession.range(100, 400).selectExpr("id", "'aaaa eeee'", "'xx'"))
+    small = langid.fit(hot, max_rows=10)
+    assert small.languages == ["xx", "yy"] and small.prior[0] > small.prior[1]
+    kept = hot.where(F.pmod(F.xxhash64("doc_id"), F.lit(langid.SHARES)) < langid.share_of(330, 10)).where("lang = 'xx'").count()
+    assert 1 <= kept <= 30 and langid.share_of(10**13, 20_000) > 10**6 and langid.share_of(5, 10) == langid.SHARES

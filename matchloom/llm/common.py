@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; bounds a task's memory, not what it covers.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 #: Rows in an Arrow batch at most; a batch of whole texts is held several times over by the JVM and by each Python worker.
 BATCH_ROWS = 1000
@@ -21,6 +22,24 @@ BATCH_ROWS = 1000
 U64 = np.uint64
 
 
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    """The C library, if it can give memory back; Arrow is told to take its memory from there."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.malloc_trim.restype = ctypes.c_int
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def trim() -> None:
+    """Gives what a task has freed back to the machine; Python workers live on from task to task."""
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Sets the rows of an Arrow batch for this session, unless they are fewer already."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -154,5 +173,6 @@ def with_columns_by_batch(df: DataFrame, needs: list[str], adds: list[tuple[str,
         for b in batches:
             columns = b.columns
             yield pa.RecordBatch.from_arrays([*columns[:n], *function(*(columns[i] for i in at))], names=names)
+        trim()
 
     return source.mapInArrow(run, schema)

@@ -34,6 +34,8 @@ from matchloom.llm import common
 
 #: Blocks between restart markers.
 INTERVAL = 8
+#: Bytes of images that are coded or decoded at once, unless one has more.
+IMAGE_BYTES = 1 << 20
 THUMB = 8
 APP_TAG = b"payload\0"
 
@@ -400,7 +402,7 @@ def padded(body: bytes) -> bytes:
 
 def _by_bytes(column: pa.Array) -> Iterator[list[bytes]]:
     sizes = np.concatenate([[0], np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in column])])
-    for i, j in common.blocks(sizes, common.BLOCK_BYTES // 2):
+    for i, j in common.blocks(sizes, IMAGE_BYTES):
         yield column.slice(i, j - i).to_pylist()
 
 
@@ -410,7 +412,7 @@ def stored(docs: DataFrame, text: str = "text", media: str = "media") -> DataFra
     def run(texts: pa.Array) -> list[pa.Array]:
         data, offsets = common.utf8(texts)
         out = []
-        for i, j in common.blocks(offsets, common.BLOCK_BYTES // 2):
+        for i, j in common.blocks(offsets, IMAGE_BYTES):
             out += encode([padded(data[offsets[r] : offsets[r + 1]].tobytes()) for r in range(i, j)])
         return [pa.array(out, pa.binary()), pa.array(np.diff(offsets), pa.int64())]
 

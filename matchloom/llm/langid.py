@@ -87,7 +87,7 @@ def grams(codes: np.ndarray, offsets: np.ndarray, order: int, n_buckets: int) ->
 def pieces(texts: pa.Array) -> Iterator[list[str | None]]:
     """The rows of a text column, some at a time."""
     _, offsets = common.utf8(texts)
-    for i, j in common.blocks(offsets, common.BLOCK_BYTES // 2):
+    for i, j in common.blocks(offsets, common.BLOCK_BYTES):
         yield texts.slice(i, j - i).to_pylist()
 
 

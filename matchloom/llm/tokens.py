@@ -14,6 +14,8 @@ from matchloom.llm import common
 
 #: Words whose ids one worker keeps; more than these are encoded again.
 CACHED_WORDS = 500_000
+#: Bytes of text that are looked up at once, unless one text has more.
+ENCODED_BYTES = 1 << 20
 #: New words that the library gets as one text, with an added token between them.
 JOINED_WORDS = 64
 
@@ -138,6 +140,6 @@ def encoder(path: str, blank_belongs_to_word: bool) -> Encoder:
 def encoded(texts: pa.Array, encoder: Encoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids of a block of rows, bounds of each row's ids); null counts as empty."""
     _, offsets = common.utf8(texts)
-    for i, j in common.blocks(offsets, common.BLOCK_BYTES // 2):
+    for i, j in common.blocks(offsets, ENCODED_BYTES):
         ids, n = encoder.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
         yield i, ids, np.concatenate([[0], np.cumsum(n)])

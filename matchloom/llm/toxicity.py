@@ -109,7 +109,7 @@ def folded(texts: list[str | None]) -> list[str]:
 
 def _blocks(texts: pa.Array) -> Iterator[list[str]]:
     _, offsets = common.utf8(texts)
-    for i, j in common.blocks(offsets, common.BLOCK_BYTES // 2):
+    for i, j in common.blocks(offsets, common.BLOCK_BYTES):
         yield folded(texts.slice(i, j - i).to_pylist())
 
 

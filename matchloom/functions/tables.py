@@ -5,7 +5,7 @@ ABBREVIATIONS_EXTRA = {
     "DISJ": "DISJUNTOR", "SECC": "SECCIONADORA", "SECCION": "SECCIONADORA", "TRAFO": "TRANSFORMADOR", "TRANSF": "TRANSFORMADOR", "REL": "RELE",
     "CDC": "COMUTADOR DERIVACAO CARGA", "COMUT": "COMUTADOR", "MOLA": "BOBINA", "TENS": "TENSAO", "CORR": "CORRENTE", "POT": "POTENCIA",
     "TEMP": "TEMPERATURA", "PRESS": "PRESSAO", "BLOQ": "BLOQUEIO", "SINAL": "SINALIZACAO", "SINALIZ": "SINALIZACAO", "ALARM": "ALARME",
-    "DEFEITO": "DEFEITO", "FALHA": "FALHA", "OPER": "OPERACAO", "MAN": "MANUAL", "AUT": "AUTOMATICO", "DIFER": "DIFERENCIAL",
+    "OPER": "OPERACAO", "MAN": "MANUAL", "AUT": "AUTOMATICO", "DIFER": "DIFERENCIAL",
     "SOBREC": "SOBRECORRENTE", "RELIG": "RELIGADOR", "MEDIC": "MEDICAO", "SUCEDIDO": "SUCESSO",
 }
 ABBREVIATIONS = {
@@ -17,6 +17,7 @@ UNITS = {"KV": "KV", "KVA": "KVA", "MVA": "MVA", "MW": "MW", "MVAR": "MVAR", "A"
 EQUIPMENT_TERMS = ("DISJUNTOR", "SECCIONADORA", "TRANSFORMADOR", "RELIGADOR", "RELE", "CHAVE", "BANCO", "ALIMENTADOR", "LINHA")
 EQUIPMENT_WORDS = {"DISJUNTOR": "Disjuntor", "DISJ": "Disjuntor", "DJ": "Disjuntor", "SECCIONADORA": "Seccionadora", "SECCION": "Seccionadora", "SECC": "Seccionadora"}
 EQUIPMENT_NUMBERS = {"52": "Disjuntor", "24": "Disjuntor", "89": "Seccionadora", "29": "Seccionadora"}
+SIDES = ("AT", "BT")
 BUS = {"P": "Principal", "A": "Auxiliar"}
 PHASES = ("ABC", "AB", "BC", "CA", "A", "B", "C", "N")
 PHASE_PAIRS = {"AC": "CA", "BA": "AB", "CB": "BC"}
@@ -75,4 +76,7 @@ MEASUREMENTS = {
     "ÂNGULO DE TENSÃO": "VoltageAngle", "UMIDADE": "Humidity", "DISCRETO": "Discrete",
 }
 ANALOG_SIGNALS = {"VALOR MEDIDO": "MeasuredValue", "GRAVADOR DE FALHA": "FaultRecorder", "CONTAGEM DE OPERAÇÃO": "Custom"}
+PHASE_CODES = ("ABC", "AB", "BC", "AC", "A", "B", "C", "N")
+FAMILY_SUFFIXES = {"Disjuntor": "DJ", "Seccionadora": "SEC", "Transformador": "TR"}
+RELAY_CODES = ("21", "25IE", "27", "27E1", "27E2", "51N", "59", "67", "81", "87", "SGF", "2649")
 CURRENT_MEASURES, VOLTAGE_MEASURES = ("CORRENTE", "POTÊNCIA ATIVA", "POTÊNCIA REATIVA", "POTÊNCIA APARENTE"), ("TENSÃO",)

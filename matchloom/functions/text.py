@@ -43,7 +43,7 @@ def fold_exact(text: pd.Series) -> pd.Series:
 
 
 def open_parentheses(text: Column) -> Column:
-    return F.regexp_replace(text, r"\(([^()]*)\)", " $1 ")
+    return F.regexp_replace(text, r"\(([^)]+)\)", " $1 ")
 
 
 def separators_to_blanks(text: Column) -> Column:
@@ -168,6 +168,45 @@ def code_in_name(code: Column, name: Column) -> Column:
     return (name == code) | name.endswith(F.concat(F.lit("_"), code))
 
 
+def module_divergence(from_name: Column, from_sheet: Column) -> Column:
+    """What two sources of a module's name disagree on; null if they agree or one is missing."""
+    return F.when(F.upper(from_name) != F.upper(from_sheet), F.concat(F.lit("name="), from_name, F.lit(" != sheet="), from_sheet))
+
+
+def display_text(text: Column, code: Column) -> Column:
+    """The code instead of a text that is itself code-like."""
+    return F.when(code.isNotNull() & F.upper(F.trim(text)).rlike(r"^[A-Z0-9_/-]+$"), code).otherwise(text)
+
+
+def numbered(name: Column, number: Column) -> Column:
+    bare = F.replace(name, F.lit(" "), F.lit(""))
+    return F.when(bare.endswith(number), bare).otherwise(F.concat(bare, number))
+
+
+def homogeneous_identity(labels: Column, sheet: Column, module: Column, equipment: Column, sides: tuple[str, ...] = t.SIDES) -> Column:
+    """Struct of module, equipment and origin, from a sheet's header block (label to number) and a row's two cells.
+
+    A side takes the letters of the sheet's name and the block's module number;
+    else the module's own label; else the label of its busbar; else the module
+    number, unless the name has one; else the name stands.
+    """
+    number, own = F.try_element_at(labels, F.lit("MODULO")), F.try_element_at(labels, module)
+    letters = F.regexp_extract(fold(sheet), r"^([A-Z]+)", 1)
+    is_side = module.isin(*sides)
+    bus = F.try_element_at(labels, F.when(F.length(module) == 2, "BP AT").otherwise(F.concat(F.lit("BP BT"), F.substring(module, F.lit(3), F.length(module)))))
+    name = (
+        F.when(is_side & number.isNotNull(), F.concat(numbered(F.when(letters != "", letters).otherwise(module), number), module)).when(own.isNotNull(), numbered(module, own))
+        .when(F.startswith(module, F.lit("BP")) & bus.isNotNull(), numbered(module, bus)).when(number.isNotNull() & ~module.rlike(r"^[A-Z]+\s?\d+$"), numbered(module, number)).otherwise(module)
+    )
+    origin = F.when((is_side & number.isNotNull()) | own.isNotNull() | (F.startswith(module, F.lit("BP")) & bus.isNotNull()) | (number.isNotNull() & ~module.rlike(r"^[A-Z]+\s?\d+$")), "column+header").otherwise("column")
+    relay = F.when(equipment.endswith("_P"), "P").when(equipment.endswith("_A"), "A")
+    base = F.when(relay.isNotNull(), F.substring(equipment, F.lit(1), F.length(equipment) - 2)).otherwise(equipment)
+    value = F.coalesce(F.when(is_side, F.try_element_at(labels, F.concat_ws(" ", base, module))), F.when(base != "MODULO", F.try_element_at(labels, base)))
+    device = F.when(F.contains(value, F.lit("-")), value).when(value.isNotNull(), numbered(base, value))
+    device = F.when(relay.isNotNull(), F.concat_ws("_", F.coalesce(device, F.replace(name, F.lit(" "), F.lit(""))), relay)).otherwise(device)
+    return F.struct(name.alias("module"), device.alias("equipment"), origin.alias("origin"))
+
+
 def type_of(cell: Column) -> Column:
     """(category, direction) that a type cell names: an exact code, else a word in it, analog before command before discrete."""
     up = F.trim(fold(F.coalesce(cell, F.lit(""))))
@@ -274,6 +313,11 @@ def function_state(states: Column) -> Column:
     return _the_one(F.transform(F.split(states, ";"), lambda x: state_class(F.upper(F.trim(x)))))
 
 
+def candidate_state(states: Column, mm: Column) -> Column:
+    """The class of a candidate: that of its function, else that of its message mapping."""
+    return F.coalesce(function_state(states), mapping_state(mm))
+
+
 def compatible(a: Column, b: Column) -> Column:
     """Missing and undefined states fit any."""
     return F.coalesce((a == b) | (a == "INDEFINIDO") | (b == "INDEFINIDO"), F.lit(True))

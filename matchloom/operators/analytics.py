@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions import tables as t
+from matchloom.functions import text as x
+from matchloom.functions.similarity import indel_ratio
+from matchloom.operators.candidates import small
+
+#: Ranges of x into which points are dealt before their frontier is sought.
+RANGES = 200
+
 
 def decision_summary(routed: DataFrame) -> DataFrame:
     n, d = F.count("*"), F.count_if(F.col("status") == "decided")
@@ -52,19 +62,36 @@ def weight_simplex(step: int = 20) -> list[tuple[float, float, float]]:
 
 
 def simplex_search(candidates: DataFrame, expected: DataFrame, triples: list[tuple[float, float, float]]) -> DataFrame:
-    """(a, b, c, accuracy): the share of ids whose best weighted code is the expected one; candidates (id, code, s1, s2, s3)."""
+    """(a, b, c, accuracy): the share of ids whose best weighted code is the expected one; candidates (id, code, s1, s2, s3), a few for each id."""
     grid = candidates.sparkSession.createDataFrame(triples, "a double, b double, c double")
-    total = F.round(F.col("a") * F.col("s1") + F.col("b") * F.col("s2") + F.col("c") * F.col("s3"), 9)
-    best = candidates.crossJoin(F.broadcast(grid)).groupBy("a", "b", "c", "id").agg(F.min_by("code", F.struct(-total, F.col("code"))).alias("code"))  # the grid is given
-    return best.join(expected.select("id", F.col("code").alias("wanted")), "id").groupBy("a", "b", "c").agg(F.avg((F.col("code") == F.col("wanted")).cast("double")).alias("accuracy"))
-
-
-def pareto(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Points that no other point beats in both; equal points all stay."""
-    by_x = points.groupBy(x).agg(F.max(y).alias("__y"))  # a frontier's points
-    best = by_x.withColumn("__before", F.max("__y").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)))
-    keep = best.where(F.col("__before").isNull() | (F.col("__y") > F.col("__before"))).select(F.col(x).alias("__x"), F.col("__y"))
-    return points.join(F.broadcast(keep), (points[x] == F.col("__x")) & (points[y] == F.col("__y"))).select(points["*"])
+    offered = candidates.groupBy("id").agg(F.collect_list(F.struct("code", "s1", "s2", "s3")).alias("offered"))
+    asked = offered.join(expected.select("id", F.col("code").alias("wanted")), "id").crossJoin(F.broadcast(grid))  # the grid is given
+    best = F.array_min(F.transform("offered", lambda o: F.struct((-F.round(F.col("a") * o["s1"] + F.col("b") * o["s2"] + F.col("c") * o["s3"], 9)).alias("s"), o["code"].alias("code"))))
+    return asked.groupBy("a", "b", "c").agg(F.avg((best["code"] == F.col("wanted")).cast("double")).alias("accuracy"))
+
+
+def pareto(points: DataFrame, x: str, y: str, ranges: int = RANGES) -> DataFrame:
+    """Points that no other point beats in both; equal points all stay.
+
+    Points are dealt into ranges of ``x``. A point stands if its ``y`` exceeds
+    that of all points of a larger ``x`` in its range, and the most of all
+    ranges beyond; only these maxima, one for each range, come together.
+    """
+    by_x = points.groupBy(x).agg(F.max(y).alias("__y"))
+    cuts = by_x.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 10_000).alias("c")).first()["c"] or []  # as many numbers as ranges
+    place = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(x))) if cuts else F.lit(0)
+    dealt = by_x.withColumn("__range", place)
+    most = {r["__range"]: r["m"] for r in dealt.groupBy("__range").agg(F.max("__y").alias("m")).collect()}
+    beyond, above = {}, None
+    for k in sorted(most, reverse=True):
+        beyond[k] = above
+        above = most[k] if above is None else max(above, most[k])
+    chain = F.when(F.lit(False), F.col("__y"))
+    for k, m in beyond.items():
+        chain = chain.when(F.col("__range") == k, F.lit(m))
+    before = F.greatest(F.max("__y").over(Window.partitionBy("__range").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)), chain)
+    keep = dealt.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("__y") > F.col("__before"))).select(F.col(x).alias("__x"), "__y")
+    return points.join(keep, (points[x] == F.col("__x")) & (points[y] == F.col("__y"))).select(points["*"])
 
 
 def compare(ours: DataFrame, gold: DataFrame, keys: list[str], value: str = "code") -> DataFrame:
@@ -129,12 +156,18 @@ def variants(texts: DataFrame, catalogue: DataFrame, least: int = 2, least_share
 
 
 def nearest_codes(unknown: DataFrame, codes: DataFrame, minimum: float = 85.0) -> DataFrame:
-    """(code, n, example, nearest): unknown codes with their count, first example and the most similar known code."""
-    from matchloom.functions.similarity import token_sort_ratio
-    from matchloom.operators.candidates import small
+    """(code, n, example, nearest): unknown codes with their count, first example and the most similar known code.
 
+    A ratio of ``minimum`` bounds both the lengths and the Levenshtein distance
+    of sorted tokens, so only codes of fitting lengths meet.
+    """
     counted = unknown.groupBy("code").agg(F.count("*").alias("n"), F.min_by("text", "ord").alias("example"))
-    near = counted.select("code").crossJoin(small(codes.select(F.col("code").alias("known")).distinct())).withColumn("s", token_sort_ratio("code", "known"))  # different codes only
+    form = lambda c: F.array_join(F.array_sort(x.tokens(F.col(c))), " ")
+    share = minimum / (200.0 - minimum)
+    asked = counted.select("code", form("code").alias("a")).withColumn("size", F.explode(F.sequence(F.ceil(F.length("a") * share).cast("int"), F.floor(F.length("a") / share).cast("int"))))
+    known = codes.select(F.col("code").alias("known")).distinct().withColumn("b", form("known")).withColumn("size", F.length("b"))
+    bound = (100 - minimum) * (F.length("a") + F.length("b")) + 1e-6
+    near = asked.join(known, "size").where(100 * F.levenshtein("a", "b") <= bound).withColumn("s", indel_ratio("a", "b"))
     best = near.where(F.col("s") >= minimum).groupBy("code").agg(F.min_by("known", F.struct(-F.col("s"), F.col("known"))).alias("nearest"))
     return counted.join(best, "code", "left")
 
@@ -144,3 +177,180 @@ def wide_top(signals: DataFrame, ranked: DataFrame, k: int = 3) -> DataFrame:
     at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
     columns = [c for n in range(1, k + 1) for c in (at(n, "code").alias(f"code_{n}"), F.round(at(n, "score"), 3).alias(f"score_{n}"))]
     return signals.join(ranked.groupBy("id").agg(*columns), "id", "left")
+
+
+# --- diagnosis --------------------------------------------------------------------------------------------
+
+
+def command_buckets(decided: DataFrame, write_codes: tuple[str, ...]) -> DataFrame:
+    """(bucket, n) of decided rows that are commands: paired, a legitimate write, or escaped."""
+    bucket = F.when(F.col("direction") == "InputOutput", "paired").when(F.upper("code").isin(*write_codes), "legitimate_write").otherwise("escaped")
+    return decided.where(F.col("direction").isin("Output", "InputOutput")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def child_for_parent(divergences: DataFrame, codes: DataFrame) -> DataFrame:
+    """(parent, n, children): where ours is a code of the catalogue and the real one (ours, real) begins with it."""
+    known = small(codes.select(F.upper("code").alias("parent")).distinct())
+    pairs = divergences.select(F.upper("ours").alias("parent"), F.upper("real").alias("child")).join(known, "parent", "left_semi")
+    kin = pairs.where(F.startswith("child", "parent") & (F.col("child") != F.col("parent")))
+    return kin.groupBy("parent").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("child")).alias("children"))
+
+
+def anchor_diagnosis(reviewed: DataFrame, found: DataFrame, candidates: DataFrame, families: DataFrame) -> DataFrame:
+    """(id, tags) of reviewed signals (id, low) that name a code: below the floor, the anchor or its whole family is not among the best three, siblings are."""
+    kin = small(families.select("code", F.coalesce("family", "code").alias("family")))
+    named = found.join(kin, "code").groupBy("id").agg(F.collect_set("code").alias("anchors"), F.collect_set("family").alias("families"))
+    top = candidates.where("rank <= 3").select("id", "code").join(kin, "code").join(named, "id")
+    by = top.groupBy("id").agg(F.bool_or(F.array_contains("anchors", F.col("code"))).alias("has"), F.count_distinct(F.when(F.array_contains("families", F.col("family")), F.col("code"))).alias("kin"))
+    rows = reviewed.join(named.select("id"), "id").join(by, "id", "left").withColumns({"has": F.coalesce("has", F.lit(False)), "kin": F.coalesce("kin", F.lit(0))})
+    gone = ~F.col("has")
+    tags = F.array_compact(F.array(
+        F.when(F.col("low"), "below_floor"), F.when(gone, "anchor_absent"), F.when(gone & (F.col("kin") == 0), "family_absent"), F.when(gone & (F.col("kin") == 1), "family_partial"), F.when(F.col("kin") >= 2, "siblings")
+    ))
+    return rows.select("id", F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("other"))).alias("tags"))
+
+
+def family_partition(catalogue: DataFrame) -> DataFrame:
+    """(family, state, codes) of families with two variants or more besides the bare root; a state that isolates one code decides alone."""
+    kin = catalogue.where(F.col("family").isNotNull() & (F.col("code") != F.col("family")))
+    several = kin.groupBy("family").agg(F.count_distinct("code").alias("n")).where("n >= 2").select("family")
+    return kin.join(small(several), "family").groupBy("family", F.coalesce("code_state", F.lit("none")).alias("state")).agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
+def lexicon_hits(texts: DataFrame) -> DataFrame:
+    """(entry, token, n): which tokens of a corpus each entry of the state lexicon takes, the first that fits."""
+    counted = texts.select(F.explode(x.tokens(F.upper("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    chain = F.when(F.lit(False), "")
+    for word in t.STATE_TOKENS:
+        chain = chain.when(F.col("token") == word, f"[exact] {word}")
+    for prefix, _, _ in t.STATES:
+        chain = chain.when(F.startswith("token", F.lit(prefix)), prefix)
+    return counted.withColumn("entry", chain).where("entry is not null").select("entry", "token", "n")
+
+
+def qualifier_taxonomy(ties: DataFrame, tags: dict[str, str]) -> DataFrame:
+    """(id, category) of ties (id, text, first, second, first_text, second_text): the tags of the text that tell the two codes apart."""
+    found = lambda c: F.array_compact(F.array(*(F.when(F.col(c).rlike(p), F.lit(n)) for n, p in tags.items())))
+    a, b = found("first_text"), found("second_text")
+    apart = F.array_sort(F.array_intersect(found("text"), F.array_union(F.array_except(a, b), F.array_except(b, a))))
+    same = F.coalesce(x.leading_number(F.upper("first")) == x.leading_number(F.upper("second")), F.lit(False))
+    return ties.select("id", F.when(~same, "other_family").when(F.size(apart) > 0, F.array_join(apart, ",")).otherwise("same_family_without_qualifier").alias("category"))
+
+
+def catalogue_probe(signals: DataFrame, extra: DataFrame, minimum: float = 90.0) -> DataFrame:
+    """(id, code, how): codes of another catalogue (code, text) that a token spells, or whose description is more than ``minimum`` like the text."""
+    cat = extra.select(F.upper("code").alias("code"), F.upper("text").alias("known"))
+    exact = signals.select("id", F.explode(x.tokens(F.upper("text"))).alias("code")).join(small(cat.select("code").distinct()), "code").select("id", "code").distinct()
+    form = lambda c: F.array_join(F.array_sort(x.tokens(c)), " ")
+    share = minimum / (200.0 - minimum)
+    texts = signals.select(F.upper("text").alias("said")).distinct().withColumn("a", form(F.col("said"))).where(F.length("a") > 0)
+    sized = texts.withColumn("size", F.explode(F.sequence(F.ceil(F.length("a") * share).cast("int"), F.floor(F.length("a") / share).cast("int"))))
+    known = cat.where(F.length("known") > 0).withColumn("b", form(F.col("known"))).withColumn("size", F.length("b"))
+    near = sized.join(small(known), "size").where(100 * F.levenshtein("a", "b") <= (100 - minimum) * (F.length("a") + F.length("b")) + 1e-6)
+    like = near.where(indel_ratio("a", "b") > minimum).select("said", "code").distinct()
+    fuzzy = signals.select("id", F.upper("text").alias("said")).join(like, "said").select("id", "code").join(exact, ["id", "code"], "left_anti")
+    return exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("text")))
+
+
+def domain_differences(ours: DataFrame, theirs: DataFrame, mapped: list[str], value: str = "value") -> DataFrame:
+    """(value, where): values that only we use, that only the domain has, and that our map gives though the domain lacks them."""
+    a, b = ours.select(value).distinct(), theirs.select(value).distinct()
+    given = ours.sparkSession.createDataFrame([(m,) for m in sorted(set(mapped))], f"{value} string")
+    parts = [a.subtract(b).withColumn("where", F.lit("only_ours")), b.subtract(a).withColumn("where", F.lit("only_domain")), given.subtract(b).withColumn("where", F.lit("mapped_outside"))]
+    return reduce(lambda p, q: p.unionByName(q), parts)
+
+
+def population(rows: DataFrame, groups: dict[str, Column], by: str) -> DataFrame:
+    """(by, population, n): each row in the first of ``groups`` whose condition holds, else in ``other``."""
+    chain = F.when(F.lit(False), "")
+    for name, condition in groups.items():
+        chain = chain.when(condition, name)
+    return rows.groupBy(by, chain.otherwise("other").alias("population")).agg(F.count("*").alias("n"))
+
+
+def family_report(catalogue: DataFrame) -> DataFrame:
+    """(family, n, share): codes by their protection number, else by their first two letters, else together."""
+    up = F.upper("code")
+    letters = F.substring(F.regexp_extract(up, r"^(\p{L}+)", 1), 1, 2)
+    family = F.coalesce(x.leading_number(up), F.when(letters != "", F.concat(F.lit("ALPHA_"), letters)), F.lit("OTHER"))
+    counted = catalogue.groupBy(family.alias("family")).agg(F.count("*").alias("n"))
+    return counted.crossJoin(F.broadcast(catalogue.agg(F.count("*").alias("of")))).select("family", "n", (F.col("n") / F.col("of")).alias("share"))  # one row
+
+
+def enriched(catalogue: DataFrame, numbers: dict[str, str], quantities: dict[str, str], terms: dict[str, str]) -> DataFrame:
+    """``catalogue`` (code, text, category) with ``text`` extended, never rewritten: several protection numbers, one, an adjustment, a quantity, a term of the code, in this order."""
+    text = F.trim("text")
+    found = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{2})[A-Z]*\b"), F.lit(1)), lambda n: n.isin(*numbers)))
+    first = F.upper(F.get(x.tokens(text), F.lit(0)))
+    several = F.array_join(F.transform(found, lambda n: x.lookup(n, numbers)), " + ")
+    adjust = F.nullif(F.regexp_extract(text, r"^AJUSTE\s+(\S+)", 1), F.lit(""))
+    more = (
+        F.when(F.size(found) >= 2, several).when(F.size(found) == 1, x.lookup(F.get(found, F.lit(0)), numbers))
+        .when(adjust.isNotNull(), F.concat(F.lit("GRUPO DE AJUSTE "), adjust)).when(F.col("category") == "Analog", x.lookup(first, quantities))
+    )
+    more = F.coalesce(more, x.lookup(F.upper(F.trim("code")), terms))
+    return catalogue.withColumn("text", F.when(more.isNotNull(), F.concat("text", F.lit(" - "), more)).otherwise(F.col("text")))
+
+
+def rewritten(catalogue: DataFrame, names: dict[str, str], suffixes: dict[str, str]) -> DataFrame:
+    """``catalogue`` (ord, code) with ``description`` from the code's number and suffix, and ``first`` on the first row of each number."""
+    base, suffix = F.regexp_extract("code", r"^(\d{2})", 1), F.regexp_extract("code", r"^\d{2}\d*(.*)$", 1)
+    name = x.lookup(base, names)
+    told = F.concat(base, F.lit(" - "), name, F.when(suffix != "", F.concat(F.lit(" ("), x.lookup(suffix, suffixes, suffix), F.lit(")"))).otherwise(""))
+    w = Window.partitionBy(base).orderBy("ord")
+    return catalogue.withColumn("description", F.when(name.isNotNull(), told)).withColumn("first", name.isNotNull() & (F.row_number().over(w) == 1))
+
+
+def patched(catalogue: DataFrame, changes: DataFrame, added: DataFrame, field: str) -> DataFrame:
+    """``catalogue`` with ``field`` replaced for the codes of ``changes`` (code, value) and the rows of ``added`` whose code is new."""
+    joined = catalogue.join(small(changes.select("code", F.col("value").alias("__v"))), "code", "left")
+    new = added.join(catalogue.select("code"), "code", "left_anti").select(*catalogue.columns)
+    return joined.select(*(F.coalesce("__v", field).alias(field) if c == field else F.col(c) for c in catalogue.columns)).unionByName(new)
+
+
+def flow_report(output: DataFrame, review: DataFrame, events: DataFrame) -> DataFrame:
+    """(kind, name, n): rows in the output, in review by reason, and identity events by level."""
+    parts = [output.select(F.lit("output").alias("kind"), F.lit("").alias("name")), review.select(F.lit("review"), "reason"), events.select(F.lit("identity"), "level")]
+    return reduce(lambda a, b: a.union(b), parts).groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def trace_commands(commands: DataFrame, decided: DataFrame, final: DataFrame, review: DataFrame, key: list[str]) -> DataFrame:
+    """(id, destination) of every command: in a pair of the output, alone in it, in review, in a reviewed pair, lost after or before its decision.
+
+    commands (id, address); decided (id, *key, address); final and review have
+    (id, *key, direction, output_address), review also a reason.
+    """
+    known = commands.select("id").join(decided.select("id", *key, F.col("address").alias("at"), F.lit(True).alias("was_decided")), "id", "left")
+    same = lambda other: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(other[f"__{k}"]) for k in key)) & (F.col("at") == other["__at"])
+    keyed = lambda f, *more: f.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("output_address").alias("__at"), *more)
+    pairs = keyed(final.where("direction = 'InputOutput'")).distinct().withColumn("in_pair", F.lit(True))
+    alone = final.where("direction = 'Output'").select("id", F.lit(True).alias("alone")).distinct()
+    own = review.groupBy("id").agg(F.min("reason").alias("own_reason"))
+    fused = keyed(review.where("output_address is not null"), "reason").groupBy(*(f"__{k}" for k in key), "__at").agg(F.min("reason").alias("pair_reason"))
+    drop = [*(f"__{k}" for k in key), "__at"]
+    rows = known.join(pairs, same(pairs), "left").drop(*drop).join(alone, "id", "left").join(own, "id", "left")
+    rows = rows.join(fused, same(fused), "left").drop(*drop)
+    where = (
+        F.when(F.col("in_pair"), "output_pair").when(F.col("alone"), "output_alone").when(F.col("own_reason").isNotNull(), F.concat(F.lit("review:"), "own_reason"))
+        .when(F.col("pair_reason").isNotNull(), F.concat(F.lit("review_pair:"), "pair_reason")).when(F.col("was_decided"), "lost_after_decision").otherwise("lost_before_decision")
+    )
+    return rows.select("id", where.alias("destination"))
+
+
+def keyword_trace(signals: DataFrame, decisions: DataFrame, candidates: DataFrame, words: tuple[str, ...], k: int = 4) -> DataFrame:
+    """(id, text, code, reason, top) of signals whose text holds one of ``words``; ``top`` are their ``k`` best candidates."""
+    hit = reduce(lambda a, b: a | b, (F.contains(F.upper("text"), F.lit(w.upper())) for w in words))
+    best = candidates.where(F.col("rank") <= k).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda c: c["code"]), ",").alias("top"))
+    return signals.where(hit).select("id", "text").join(decisions.select("id", "code", "reason"), "id").join(best, "id", "left")
+
+
+def two_ranks(first: DataFrame, second: DataFrame, expected: DataFrame) -> DataFrame:
+    """(id, code, first_rank, second_rank): the place of the expected code in two rankings (id, code, rank)."""
+    a, b = (r.select("id", "code", F.col("rank").alias(n)) for r, n in ((first, "first_rank"), (second, "second_rank")))
+    return expected.select("id", "code").join(a, ["id", "code"], "left").join(b, ["id", "code"], "left")
+
+
+def function_divergence(catalogue: DataFrame) -> DataFrame:
+    """Rows of the catalogue (code, states, mm) whose function and message mapping name different state classes."""
+    a, b = x.function_state(F.col("states")), x.mapping_state(F.col("mm"))
+    return catalogue.select("code", a.alias("function_state"), b.alias("mapping_state")).where("function_state <> mapping_state")

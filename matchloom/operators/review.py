@@ -43,6 +43,93 @@ def removed(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(ids.select(key), key, "left_anti")
 
 
+def added(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` and those of ``new`` whose key is not there yet; columns that ``new`` lacks are null."""
+    return rows.unionByName(new.join(rows.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def ordered(rows: DataFrame, column: str, descending: bool = False, key: str = "id") -> DataFrame:
+    """All rows by a column, nulls last, ties by the key."""
+    return rows.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), key)
+
+
+def approved(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of ``ids`` are decided with the code they have, else with their best candidate's; without either they stay."""
+    code = F.coalesce("code", "top_code")
+    held = rows.join(ids.select(key).distinct().withColumn("__due", F.lit(True)), key, "left")
+    due = F.coalesce("__due", F.lit(False)) & code.isNotNull()
+    changed = {"code": F.when(due, code).otherwise(F.col("code")), "status": F.when(due, "decided").otherwise(F.col("status"))}
+    return held.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns))
+
+
+def of_modules(rows: DataFrame, modules: list[str | None]) -> DataFrame:
+    """Rows of the named modules; None stands for rows without one."""
+    named = [m for m in modules if m is not None]
+    inside = F.coalesce(F.col("module").isin(*named), F.lit(False)) if named else F.lit(False)
+    return rows.where((inside | F.col("module").isNull()) if None in modules else inside)
+
+
+def suggestions(rows: DataFrame, module: str | None, column: str = "device") -> DataFrame:
+    """The values of ``column`` that rows of the same module have, in order."""
+    return rows.where(F.col("module").eqNullSafe(F.lit(module)) & F.col(column).isNotNull() & (F.col(column) != "")).select(column).distinct().orderBy(column)
+
+
+def pair_action(selected: DataFrame) -> DataFrame:
+    """One row (action): pair one Input and one Output, split one pair, or refuse."""
+    way = lambda d: F.count_if(F.col("direction") == d)
+    n = F.count("*")
+    action = F.when((n == 1) & (way("InputOutput") == 1), "split").when((n == 2) & (way("Input") == 1) & (way("Output") == 1), "pair").otherwise("refuse")
+    return selected.agg(action.alias("action"))
+
+
+def formed_pairs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, b, code, id, indices, problem) of wanted position pairs (a, b, code): one module, one device and one address each; the lower address leads."""
+    one = lambda n: rows.select(F.col("id").alias(n), F.col("module").alias(f"m_{n}"), F.col("device").alias(f"d_{n}"), F.col("indices").alias(f"i_{n}"))
+    both = wanted.join(one("a"), "a", "left").join(one("b"), "b", "left")
+    problem = (
+        F.when(F.col("i_a").isNull() | F.col("i_b").isNull(), "not_found").when(~F.col("m_a").eqNullSafe(F.col("m_b")), "other_module")
+        .when(~F.col("d_a").eqNullSafe(F.col("d_b")), "other_device").when((F.size("i_a") != 1) | (F.size("i_b") != 1), "several_addresses")
+    )
+    first = F.get("i_a", F.lit(0)) <= F.get("i_b", F.lit(0))
+    good = problem.isNull()
+    return both.select("a", "b", "code", F.when(good, F.when(first, F.col("a")).otherwise(F.col("b"))).alias("id"), F.when(good, F.when(first, F.concat("i_a", "i_b")).otherwise(F.concat("i_b", "i_a"))).alias("indices"), problem.alias("problem"))
+
+
+def split_pairs(rows: DataFrame, position_codes: tuple[str, ...]) -> DataFrame:
+    """(id, part, idx, problem): the two Inputs of each position pair (id, code, direction, datatype, indices), or why it can't be split."""
+    problem = (
+        F.when(F.col("direction") == "InputOutput", "has_command")
+        .when((F.col("direction") != "Input") | (F.col("datatype") != "MultiCoord") | (F.size("indices") != 2), "no_pair").when(~F.coalesce(F.upper("code").isin(*position_codes), F.lit(False)), "no_position")
+    )
+    marked = rows.select("id", F.posexplode(F.when(problem.isNull(), F.col("indices")).otherwise(F.array(F.lit(None).cast("int")))).alias("part", "idx"), problem.alias("problem"))
+    return marked
+
+
+def swapped_codes(rows: DataFrame, codes: DataFrame, position_codes: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the position codes of ``codes`` (id, new_code); other codes change nothing."""
+    good = codes.where(F.upper("new_code").isin(*position_codes)).select("id", "new_code")
+    held = rows.join(good, "id", "left")
+    new = {"code": F.coalesce("new_code", "code"), "status": F.when(F.col("new_code").isNotNull(), "decided").otherwise(F.col("status"))}
+    return held.select(*(new[c].alias(c) if c in new else F.col(c) for c in rows.columns))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Display columns of records (id, text, code, indices, output_indices, direction, score, status)."""
+    listed = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ";")
+    place = F.when(F.size("output_indices") > 0, F.concat(listed("indices"), F.lit(" / "), listed("output_indices"))).otherwise(listed("indices"))
+    return rows.select(
+        "id", x.display_text(F.col("text"), F.col("code")).alias("description"), F.coalesce("code", F.lit("")).alias("code"), place.alias("addresses"),
+        F.coalesce(F.concat(F.round(F.col("score") * 100).cast("int").cast("string"), F.lit("%")), F.lit("")).alias("confidence"), F.when(F.col("status") == "decided", "ok").otherwise("pending").alias("state"),
+    )
+
+
+def checked_weights(weights: dict[str, float]) -> dict[str, float]:
+    """The weights, if they add to 1."""
+    if abs(sum(weights.values()) - 1) > 0.001:
+        raise ValueError(f"the weights add to {sum(weights.values()):.3f}, not to 1")
+    return weights
+
+
 def auto_approved(rows: DataFrame, threshold: float) -> DataFrame:
     """Pending rows whose best score reaches the threshold are decided; an assigned code beats the best candidate."""
     ok = (F.col("status") != "decided") & (F.col("top_score") >= threshold)

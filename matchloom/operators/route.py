@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions import text as x
+from matchloom.operators.candidates import small
+
 PCT, GAP, FLOOR, NEAR_TIE = 0.45, 0.08, 0.20, 0.005
 MARGIN = 0.03
 
@@ -39,7 +42,7 @@ def same_description(led: DataFrame, catalogue: DataFrame, pct: float = PCT, nea
     """(id, code): near ties of two codes with one description go to the smaller code."""
     texts = catalogue.groupBy("code").agg(F.min_by("text", "ord").alias("text"))
     pair = led.where((F.col("top.score") >= pct) & (gap() <= near)).select("id", F.col("top.code").alias("a"), F.col("second.code").alias("b"))
-    first, second = (F.broadcast(texts.select(F.col("code").alias(c), F.col("text").alias(f"text_{c}"))) for c in "ab")
+    first, second = (small(texts.select(F.col("code").alias(c), F.col("text").alias(f"text_{c}"))) for c in "ab")
     return pair.join(first, "a").join(second, "b").where("text_a = text_b").select("id", F.least("a", "b").alias("code"))
 
 
@@ -76,35 +79,46 @@ def sibling(decided: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``decided`` (id, code, tokens) with ``code`` replaced by the one sibling whose own token the text has; several: ``ambiguous``."""
     own = distinctive_tokens(catalogue).withColumnRenamed("code", "sibling")
     words = decided.select("id", F.col("code").alias("family"), F.explode("tokens").alias("token"))
-    found = words.join(F.broadcast(own), ["family", "token"]).groupBy("id").agg(F.count_distinct("sibling").alias("n"), F.min("sibling").alias("sibling"))  # a catalogue's tokens
+    found = words.join(small(own), ["family", "token"]).groupBy("id").agg(F.count_distinct("sibling").alias("n"), F.min("sibling").alias("sibling"))
     out = decided.join(found, "id", "left")
     return out.select("id", F.when(F.col("n") == 1, F.col("sibling")).otherwise(F.col("code")).alias("code"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"))
 
 
-def variant(candidates: DataFrame) -> DataFrame:
-    """(id, code, how) of reviewed signals with an anchor: candidates (id, code, score, ord, family, anchor, anchor_family, code_state, state).
+def variant(signals: DataFrame, found: DataFrame, candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(id, code, how, narrowed) of signals (id, tokens, text) with an exact anchor (found: id, code, exact) of one family.
 
-    The one variant of the anchor's family whose state is the text's; else the
-    anchor, if all of the top three are of its family and it is among them.
+    Of the codes of the anchor's family in the catalogue (code, family,
+    code_state) the one whose state is the text's, of several the one of the
+    text's stage (``state``). Several but not all stay in review with these as
+    ``narrowed``. Else the anchor, if the first three of ``candidates`` (id,
+    code, rank) are all of its family and it is among them (``anchor``).
     """
-    fit = F.when((F.col("family") == F.col("anchor_family")) & (F.col("code_state") == F.col("state")), F.col("code"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "ord", "code")
-    ranked = candidates.withColumn("__fit", fit).withColumn("__n", F.row_number().over(w))
-    by = ranked.groupBy("id").agg(
-        F.count_distinct("__fit").alias("n_fit"), F.min("__fit").alias("fit"), F.first("anchor").alias("anchor"),
-        F.bool_and((F.col("__n") > 3) | (F.col("family") == F.col("anchor_family"))).alias("all_in"),
-        F.bool_or((F.col("__n") <= 3) & (F.col("code") == F.col("anchor"))).alias("has_anchor"),
-    )
-    sure = F.col("all_in") & F.col("has_anchor")
-    how = F.when(F.col("n_fit") == 1, "state").when(sure, "anchor").otherwise("review")
-    return by.select("id", F.when(how == "state", F.col("fit")).when(how == "anchor", F.col("anchor")).alias("code"), how.alias("how"))
+    families = small(catalogue.select("code", "family", "code_state"))
+    exact = found.where("exact").join(families, "code").select("id", F.col("code").alias("anchor"), F.coalesce("family", "code").alias("anchor_family"))
+    state = x.text_state(F.col("text"))
+    stage = F.right(F.get(F.array_sort(F.filter("tokens", lambda w: w.isin(*x.t.STAGES))), F.lit(0)), F.lit(1))
+    asked = exact.select("id", "anchor_family").distinct().join(signals.select("id", state.alias("state"), stage.alias("stage")), "id")
+    kin = asked.join(families.select(F.col("family").alias("anchor_family"), "code", "code_state"), "anchor_family")
+    fits = (F.col("code_state") == F.col("state")) & (F.col("state") != "INDEFINIDO")
+    staged_fit = fits & (x.code_stage(F.col("code")) == F.col("stage"))
+    by = kin.groupBy("id").agg(F.count("*").alias("n_kin"), F.collect_set(F.when(fits, F.col("code"))).alias("fit"), F.collect_set(F.when(staged_fit, F.col("code"))).alias("fit_stage"))
+    chosen = F.when((F.size("fit") > 1) & (F.size("fit_stage") > 0), F.col("fit_stage")).otherwise(F.col("fit"))
+    by = by.select("id", "n_kin", F.array_sort(chosen).alias("fit"))
+    near = candidates.where("rank <= 3").join(families.select("code", F.coalesce("family", "code").alias("own")), "code").join(exact.groupBy("id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("anchor_family").alias("wanted")), "id")
+    near = near.groupBy("id").agg(F.bool_and(F.array_contains("wanted", F.col("own"))).alias("all_in"), F.min_by(F.when(F.array_contains("anchors", F.col("code")), F.col("code")), F.when(F.array_contains("anchors", F.col("code")), F.col("rank"))).alias("anchor"))
+    both = exact.select("id").distinct().join(by, "id", "left").join(near, "id", "left")
+    n = F.coalesce(F.size("fit"), F.lit(0))
+    narrowed = (n > 1) & (n < F.col("n_kin"))
+    how = F.when(n == 1, "state").when(F.coalesce(narrowed, F.lit(False)), "review").when(F.coalesce("all_in", F.lit(False)) & F.col("anchor").isNotNull(), "anchor").otherwise("review")
+    return both.select("id", F.when(how == "state", F.get("fit", F.lit(0))).when(how == "anchor", F.col("anchor")).alias("code"), how.alias("how"), F.when(narrowed, F.col("fit")).alias("narrowed"))
 
 
 def dual(outcomes: DataFrame, affinity: DataFrame, margin: float = MARGIN) -> DataFrame:
     """One row of each id from the two passes (id, bundle a or b, code, gap, status, allowed).
 
-    One allowed decision stands; of two, the clearly larger gap, else the larger
-    affinity (id, a, b); only forbidden decisions: ``category_conflict``.
+    One allowed decision stands alone; of two, the clearly larger gap, else the
+    larger affinity (id, a, b). A forbidden decision beside an allowed one is
+    ``category_ambiguous``, alone it is ``category_conflict``.
     """
     pick = lambda b, c: F.max(F.when(F.col("bundle") == b, F.col(c)))
     ok = (F.col("status") == "decided") & F.col("allowed")
@@ -114,8 +128,8 @@ def dual(outcomes: DataFrame, affinity: DataFrame, margin: float = MARGIN) -> Da
     a, b = F.coalesce("a___ok", F.lit(False)), F.coalesce("b___ok", F.lit(False))
     apart = F.col("a_gap") - F.col("b_gap")
     tie = F.when(F.abs(apart) > margin, F.when(apart > 0, "a").otherwise("b")).when(F.col("a") > F.col("b"), "a").when(F.col("b") > F.col("a"), "b")
-    winner = F.when(a & b, tie).when(a, "a").when(b, "b")
-    reason = F.when(winner.isNotNull(), "decided").when(a & b, "category_ambiguous").when(F.col("forbidden"), "category_conflict").otherwise("low_score")
+    winner = F.when(a & b, tie).when(a & ~F.col("forbidden"), "a").when(b & ~F.col("forbidden"), "b")
+    reason = F.when(winner.isNotNull(), "decided").when((a & b) | ((a | b) & F.col("forbidden")), "category_ambiguous").when(F.col("forbidden"), "category_conflict").otherwise("low_score")
     return wide.select("id", F.when(winner == "a", F.col("a_code")).when(winner == "b", F.col("b_code")).alias("code"), winner.alias("bundle"), reason.alias("reason"))
 
 

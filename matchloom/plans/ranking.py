@@ -95,9 +95,8 @@ def code_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- candidates -------------------------------------------------------------------------------------------
 
-BM25 = f"""
-c AS (SELECT item_id AS ord, CAST(item_id AS VARCHAR) AS code, {TERMS} AS terms FROM benchmark),
-s AS (SELECT doc_id AS id, {TERMS} AS terms FROM documents),
+#: From the terms of a catalogue c(ord, code, terms) and of signals s(id, terms).
+LEXICAL = """
 tf AS (SELECT ord, term, count(*) AS tf FROM (SELECT ord, unnest(terms) AS term FROM c) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
 n AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM c),
@@ -106,6 +105,11 @@ q AS (SELECT DISTINCT id, unnest(terms) AS term FROM s),
 b0 AS (SELECT id, ord, code, round(sum(w), 9) AS score FROM q JOIN p USING (term) GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS rank FROM b0 WHERE score > 0) WHERE rank <= 5)"""
 
+BM25 = f"""
+c AS (SELECT item_id AS ord, CAST(item_id AS VARCHAR) AS code, {TERMS} AS terms FROM benchmark),
+s AS (SELECT doc_id AS id, {TERMS} AS terms FROM documents),
+{LEXICAL}"""
+
 TFIDF = """
 idf AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1 AS idf FROM df, n),
 cw AS (SELECT ord, term, tf * idf AS w FROM tf JOIN idf USING (term)),
@@ -115,16 +119,21 @@ qn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY ALL),
 t0 AS (SELECT qw.id, cw.ord, c.code, round(sum(qw.w * cw.w / cn.norm) / any_value(qn.norm), 9) AS score FROM qw JOIN cw USING (term) JOIN cn USING (ord) JOIN c USING (ord) JOIN qn USING (id) GROUP BY ALL),
 ti AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS rank FROM t0) WHERE rank <= 5)"""
 
-FUSED = """
+FUSION = """
 m AS (SELECT id, 'lexical' AS method, code, ord, score FROM bm UNION ALL SELECT id, 'vector', code, ord, score FROM ti),
 mm AS (SELECT *, min(score) OVER w AS low, max(score) OVER w AS high FROM m WINDOW w AS (PARTITION BY id, method)),
 fu AS (SELECT id, code, min(ord) AS ord, round(sum(CASE WHEN high > low THEN (score - low) / (high - low) ELSE 0 END * CASE method WHEN 'lexical' THEN 0.7 ELSE 0.3 END), 9) AS fused FROM mm GROUP BY ALL),
-pl AS (SELECT id, code, ord, round(1 / (1 + exp(-(2.0403 * fused - 0.9391))), 9) AS score FROM fu),
+pl AS (SELECT id, code, ord, round(1 / (1 + exp(-(2.0403 * fused - 0.9391))), 9) AS score FROM fu)"""
+
+FUSED = (
+    FUSION
+    + """,
 ld AS (SELECT id, max(CASE WHEN k = 1 THEN code END) AS code, max(CASE WHEN k = 1 THEN score END) AS score, coalesce(max(CASE WHEN k = 2 THEN score END), 0) AS second
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord, code) AS k FROM pl) GROUP BY id),
 routed AS (SELECT s.id, ld.code, ld.score, ld.score - second AS gap,
   CASE WHEN ld.code IS NULL THEN 'no_candidate' WHEN ld.score < 0.2 THEN 'low_score' WHEN ld.score >= 0.45 AND ld.score - second >= 0.08 THEN 'decided' WHEN ld.score >= 0.45 THEN 'several_codes' ELSE 'low_score' END AS reason
   FROM s LEFT JOIN ld USING (id))"""
+)
 
 
 @bank.add(f"WITH {BM25} SELECT id, code, round(score, 6) AS score, ord, CAST(rank AS INTEGER) AS rank FROM bm")
@@ -393,8 +402,8 @@ def sibling_qualifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bank.add(
     """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'A' || o_custkey END AS a, round(o_totalprice / 500000, 6) AS ga, CASE WHEN o_orderpriority < '4' THEN 'B' || o_custkey END AS b, round(o_custkey % 97 / 97.0, 6) AS gb, o_custkey % 2 = 0 AS allow FROM orders),
     k AS (SELECT *, a IS NOT NULL AS oka, b IS NOT NULL AND allow AS okb, b IS NOT NULL AND NOT allow AS forbidden FROM o),
-    w AS (SELECT *, CASE WHEN oka AND okb THEN CASE WHEN abs(ga - gb) > 0.03 THEN CASE WHEN ga > gb THEN 'a' ELSE 'b' END WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END WHEN oka THEN 'a' WHEN okb THEN 'b' END AS bundle FROM k)
-    SELECT id, CASE bundle WHEN 'a' THEN a WHEN 'b' THEN b END AS code, bundle, CASE WHEN bundle IS NOT NULL THEN 'decided' WHEN oka AND okb THEN 'category_ambiguous' WHEN forbidden THEN 'category_conflict' ELSE 'low_score' END AS reason FROM w"""
+    w AS (SELECT *, CASE WHEN oka AND okb THEN CASE WHEN abs(ga - gb) > 0.03 THEN CASE WHEN ga > gb THEN 'a' ELSE 'b' END WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END WHEN oka AND NOT forbidden THEN 'a' WHEN okb AND NOT forbidden THEN 'b' END AS bundle FROM k)
+    SELECT id, CASE bundle WHEN 'a' THEN a WHEN 'b' THEN b END AS code, bundle, CASE WHEN bundle IS NOT NULL THEN 'decided' WHEN oka AND (okb OR forbidden) THEN 'category_ambiguous' WHEN forbidden THEN 'category_conflict' ELSE 'low_score' END AS reason FROM w"""
 )
 def dual_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")

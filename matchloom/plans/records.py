@@ -6,7 +6,7 @@ a module, a supplier a device, a line number an address, O a command.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,23 +60,51 @@ def row_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.row_counters(cells(spark, sf_dir))
 
 
-@bank.add(f"WITH {CELLS} SELECT sheet, 1 AS col_no FROM cells GROUP BY sheet")
+ADDRESS = rf"""i AS (SELECT sheet, col_no, row_no, CAST(trim(value) AS BIGINT) AS v FROM cells WHERE regexp_matches(value, '^\s*-?\d+\s*$')), st AS (SELECT *, lag(v) OVER (PARTITION BY sheet, col_no ORDER BY row_no, v) AS b FROM i),
+ri AS (SELECT sheet, col_no, count(*) AS n_int, coalesce(avg(CASE WHEN b IS NOT NULL THEN CASE WHEN v > b THEN 1.0 ELSE 0 END END), 0) AS rising FROM st GROUP BY ALL), cn AS (SELECT sheet, col_no, count(*) AS n FROM cells GROUP BY ALL),
+sc AS (SELECT sheet, col_no, coalesce(n_int / n * (0.5 + 0.5 * rising), 0) AS score FROM cn LEFT JOIN ri USING (sheet, col_no)),
+ct AS (SELECT sheet, col_no FROM (SELECT sheet, col_no, v - row_no AS d, count(*) AS n FROM i GROUP BY ALL) GROUP BY ALL HAVING sum(n) >= 2 AND max(n) >= 0.95 * sum(n)),
+rk AS (SELECT sc.*, row_number() OVER (PARTITION BY sheet ORDER BY score DESC, col_no) AS k FROM sc WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.sheet = sc.sheet AND ct.col_no = sc.col_no))"""
+
+
+@bank.add(f"WITH {CELLS}, {ADDRESS} SELECT sheet, col_no FROM rk WHERE k = 1")
 def address_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order key is a row counter, so the customer key is the best address."""
+    """The best address column of each sheet that is no row counter."""
     return discover.address_column(cells(spark, sf_dir))
 
 
+WIDE = "cells AS (SELECT o_orderpriority AS sheet, o_orderkey AS row_no, unnest([0, 1, 2, 3, 4]) AS col_no, unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), CAST(o_orderkey * 2 AS VARCHAR), CAST(o_custkey % 7 AS VARCHAR), CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey % 100 AS VARCHAR) ELSE o_orderstatus END]) AS value FROM orders)"
+
+
+@bank.add(f"WITH {WIDE}, {ADDRESS} SELECT sheet, col_no, round(score, 6) AS score, k - 1 AS place FROM rk WHERE k BETWEEN 2 AND 6")
+def address_competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best columns that were not chosen as the address."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    values = F.array(*(c.cast("string") for c in (key, cust, key * 2, cust % 7)), F.when(cust % 2 == 0, (key % 100).cast("string")).otherwise(F.col("o_orderstatus")))
+    wide = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("sheet"), key.alias("row_no"), values.alias("cells"))
+    return discover.address_competitors(discover.long_cells(wide)).withColumn("score", F.round("score", 6))
+
+
 @bank.add(
-    """SELECT o_orderpriority AS sheet, 2 AS col_no, 1.0 AS score FROM orders GROUP BY ALL"""
+    f"""WITH {CELLS}, h AS (SELECT sheet, col_no, value, upper(value) IN (SELECT DISTINCT o_orderstatus FROM orders) AS hit FROM cells WHERE col_no <> 0),
+    g AS (SELECT sheet, col_no, avg(CASE WHEN hit THEN 1.0 ELSE 0 END) AS score, count(DISTINCT CASE WHEN hit THEN upper(value) END) AS n_codes, avg(CASE WHEN regexp_matches(value, '^[0-9.]+$') THEN 1.0 ELSE 0 END) AS numeric FROM h GROUP BY ALL)
+    SELECT sheet, col_no, score FROM g WHERE numeric <= 0.8 AND n_codes >= 2 AND score >= 0.3 QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY score DESC, col_no) = 1"""
 )
 def code_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = table(spark, sf_dir, "orders").select(F.lower("o_orderstatus").alias("code")).distinct()
     return discover.code_column(cells(spark, sf_dir).where("col_no <> 0"), codes)
 
 
-@bank.add(f"WITH {CELLS} SELECT DISTINCT sheet, true AS is_data FROM cells")
+@bank.add(
+    r"""WITH cells AS (SELECT o_custkey AS sheet, o_orderkey AS row_no, unnest([0, 1, 2]) AS col_no, unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR) || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE '.5' END, o_orderpriority]) AS value FROM orders WHERE o_custkey % 2 = 0 OR o_orderstatus <> 'F'),
+    g AS (SELECT sheet, col_no, count(*) AS n, count(*) FILTER (regexp_matches(value, '^\s*-?\d+\s*$')) AS n_int, count(*) FILTER (regexp_matches(value, '[A-Za-z]')) AS n_text FROM cells GROUP BY ALL)
+    SELECT g.sheet, bool_or(n_int >= 0.5 * n) AND bool_or(n_text >= 2) AND any_value(r.n_rows) >= 3 AS is_data FROM g JOIN (SELECT sheet, count(DISTINCT row_no) AS n_rows FROM cells GROUP BY sheet) r USING (sheet) GROUP BY g.sheet"""
+)
 def data_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover.is_data_sheet(cells(spark, sf_dir))
+    """Customers as sheets: those of fewer than three orders hold no data."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0 or o_orderstatus <> 'F'")
+    values = F.array(F.col("o_orderkey").cast("string"), F.concat(F.col("o_custkey").cast("string"), F.when(F.col("o_custkey") % 3 == 0, "").otherwise(".5")), "o_orderpriority")
+    return discover.is_data_sheet(discover.long_cells(o.select(F.col("o_custkey").alias("sheet"), F.col("o_orderkey").alias("row_no"), values.alias("cells"))))
 
 
 @bank.add(
@@ -301,38 +329,81 @@ def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- output tables ----------------------------------------------------------------------------------------
 
-_PROJECTED = """o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'M' || l_orderkey AS m, CASE WHEN l_suppkey % 2 = 0 THEN '52-' || l_suppkey END AS d, l_linestatus = 'O' AS out, l_linenumber AS i, l_returnflag AS f FROM lineitem)"""
+#: Every line is a record: its keys choose module, device, bus, code, direction and the rest.
+RECORDS = """
+rec AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE l_orderkey % 4 WHEN 0 THEN 'AL ' || l_orderkey % 50 WHEN 1 THEN 'LT' || l_orderkey % 9 WHEN 2 THEN 'TR 1' END AS module,
+  CASE l_suppkey % 5 WHEN 0 THEN '52-' || l_suppkey WHEN 1 THEN '89-' || l_suppkey WHEN 2 THEN 'TR2' END AS device, CASE l_partkey % 3 WHEN 0 THEN 'Principal' WHEN 1 THEN 'Auxiliar' END AS bus,
+  CASE l_partkey % 7 WHEN 0 THEN '51N' WHEN 1 THEN 'DJF1' WHEN 2 THEN '67N1' WHEN 3 THEN 'SECC' WHEN 4 THEN '79' WHEN 5 THEN 'IA' END AS code, 'TEXTO ' || l_partkey AS text,
+  CASE l_partkey % 7 WHEN 0 THEN 'SOBRECORRENTE' WHEN 2 THEN '' END AS alias, CASE l_suppkey % 4 WHEN 0 THEN 'CA' WHEN 1 THEN 'A' WHEN 2 THEN 'XY' END AS phase,
+  CASE l_returnflag WHEN 'A' THEN 'Output' WHEN 'N' THEN 'InputOutput' ELSE 'Input' END AS direction, CASE WHEN l_linenumber % 2 = 0 THEN 'MultiCoord' ELSE 'SingleBit' END AS datatype,
+  CASE WHEN l_linenumber % 2 = 0 THEN [l_linenumber, l_linenumber + 1] ELSE [l_linenumber] END AS indices, CASE l_suppkey % 3 WHEN 0 THEN [l_linenumber + 9] WHEN 1 THEN [l_linenumber, l_linenumber + 9] ELSE [] END AS output_indices,
+  l_partkey % 2 = 0 AS double, CASE l_partkey % 7 WHEN 2 THEN 'RelayTrip' WHEN 1 THEN 'SwitchStatus' END AS signal_type, CASE WHEN l_partkey % 5 = 0 THEN 'MM' END AS mm,
+  CASE l_partkey % 4 WHEN 0 THEN 'ALARME;NORMAL' WHEN 1 THEN 'NORMAL' WHEN 2 THEN 'A;B' END AS states, CASE WHEN l_partkey % 8 = 0 THEN [3] ELSE [3, 7] END AS vals, CASE WHEN l_orderkey % 3 = 0 THEN '52-9' END AS breaker,
+  CASE l_partkey % 6 WHEN 0 THEN 'Corrente' WHEN 1 THEN 'Tensão' WHEN 2 THEN ' temperatura' WHEN 3 THEN 'Outra' END AS measure, CASE l_suppkey % 3 WHEN 0 THEN 'valor medido' WHEN 1 THEN 'Other' END AS kind,
+  CASE l_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN 'kV' END AS unit, CASE WHEN l_partkey % 2 = 0 THEN 9 END AS normal, CASE WHEN l_suppkey % 2 = 0 THEN 'Status' ELSE '' END AS point_type, CASE WHEN l_partkey % 3 = 1 THEN 'COMTAP' END AS device_code FROM lineitem),
+n AS (SELECT *, replace(module, ' ', '') AS m, CASE bus WHEN 'Principal' THEN 'P' WHEN 'Auxiliar' THEN 'A' END AS b, coalesce(regexp_matches(upper(replace(module, ' ', '')), '^AL[0-9]'), false) AS feeder,
+  concat_ws('_', 'STA', replace(module, ' ', ''), coalesce(device, replace(module, ' ', '')), CASE bus WHEN 'Principal' THEN 'P' WHEN 'Auxiliar' THEN 'A' END) AS base FROM rec),
+p AS (SELECT *, concat_ws('_', base, coalesce(code, '?')) AS name, CASE CASE WHEN phase = 'CA' THEN 'AC' ELSE phase END WHEN 'AC' THEN 'AC' WHEN 'A' THEN 'A' ELSE 'ABC' END AS ph, 'STA ' || CASE WHEN feeder THEN 'Distr' ELSE 'Trans' END AS aor,
+  CASE WHEN code IS NOT NULL THEN coalesce(nullif(alias, ''), text) ELSE text END AS al, array_to_string(indices, ';') AS ic FROM n)"""
+
+_SHARED = """name AS "Signal Name", al AS "Signal Alias", ph AS "Phases", 'None' AS "Side", name AS "Remote Point Name", aor AS "Signal AOR Group", 'UTR_STA_1' AS "Remote Unit", name || '_UTR_STA_1' AS "Remote Point Custom ID",
+      '20260101' AS "Remote Point Alias" """
+
+
+def output_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def case(column: str, n: int, *values: Column | str | None) -> Column:
+        chain = F.when(F.lit(False), F.lit(""))
+        for k, v in enumerate(values):
+            chain = chain if v is None else chain.when(F.col(column) % n == k, F.lit(v))
+        return chain
+
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    line, none = F.col("l_linenumber"), F.array().cast("array<int>")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("id"),
+        case("l_orderkey", 4, text("AL ", F.col("l_orderkey") % 50), text("LT", F.col("l_orderkey") % 9), "TR 1").alias("module"),
+        case("l_suppkey", 5, text("52-", F.col("l_suppkey")), text("89-", F.col("l_suppkey")), "TR2").alias("device"), case("l_partkey", 3, "Principal", "Auxiliar").alias("bus"),
+        case("l_partkey", 7, "51N", "DJF1", "67N1", "SECC", "79", "IA").alias("code"), text("TEXTO ", F.col("l_partkey")).alias("text"), case("l_partkey", 7, "SOBRECORRENTE", None, "").alias("alias"),
+        case("l_suppkey", 4, "CA", "A", "XY").alias("phase"), F.when(F.col("l_returnflag") == "A", "Output").when(F.col("l_returnflag") == "N", "InputOutput").otherwise("Input").alias("direction"),
+        F.when(line % 2 == 0, "MultiCoord").otherwise("SingleBit").alias("datatype"), F.when(line % 2 == 0, F.array(line, line + 1)).otherwise(F.array(line)).alias("indices"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.array(line + 9)).when(F.col("l_suppkey") % 3 == 1, F.array(line, line + 9)).otherwise(none).alias("output_indices"),
+        (F.col("l_partkey") % 2 == 0).alias("double"), case("l_partkey", 7, None, "SwitchStatus", "RelayTrip").alias("signal_type"), F.when(F.col("l_partkey") % 5 == 0, "MM").alias("mm"),
+        case("l_partkey", 4, "ALARME;NORMAL", "NORMAL", "A;B").alias("states"), F.when(F.col("l_partkey") % 8 == 0, F.array(F.lit(3))).otherwise(F.array(F.lit(3), F.lit(7))).alias("values"),
+        F.when(F.col("l_orderkey") % 3 == 0, "52-9").alias("breaker"), case("l_partkey", 6, "Corrente", "Tensão", " temperatura", "Outra").alias("measure"), case("l_suppkey", 3, "valor medido", "Other").alias("kind"),
+        case("l_partkey", 3, "-", "kV").alias("unit"), F.when(F.col("l_partkey") % 2 == 0, 9).alias("normal"), F.when(F.col("l_suppkey") % 2 == 0, "Status").otherwise("").alias("point_type"),
+        F.when(F.col("l_partkey") % 3 == 1, "COMTAP").alias("device_code"),
+    )
 
 
 @bank.add(
-    f"""WITH {_PROJECTED} SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'STA_' || m || '_' || coalesce(d, m) || '_' || f AS signal_name,
-    CASE WHEN f = 'R' THEN 'STA_' || m || '_PROT' WHEN d IS NOT NULL THEN 'STA_' || m || '_' || d || '_DJ' ELSE 'STA_' || m || '_' || m END AS device_mapping, f AS signal_type, CASE WHEN out THEN 'Write' ELSE 'Read' END AS direction,
-    CASE WHEN NOT out THEN CAST(i AS VARCHAR) END AS input_coordinates, CASE WHEN out THEN CASE WHEN l_suppkey % 3 = 0 THEN i || ';' || i ELSE CAST(i AS VARCHAR) END END AS output_coordinates, 'SingleCoord' AS data_type, CASE WHEN l_partkey % 2 = 0 THEN 'AB' ELSE 'ABC' END AS phases, 7 AS normal_value FROM o"""
+    f"""WITH {RECORDS}, w AS (SELECT *, CASE WHEN direction = 'Output' THEN CASE WHEN len(indices) = 1 AND double THEN ic || ';' || ic ELSE ic END
+        WHEN direction = 'InputOutput' AND len(output_indices) > 0 THEN CASE WHEN len(output_indices) = 1 AND double THEN output_indices[1] || ';' || output_indices[1] ELSE array_to_string(output_indices, ';') END END AS oc,
+      coalesce(signal_type = 'RelayTrip', false) OR coalesce(code = '51N', false) AS prot, CASE WHEN starts_with(device, '52-') THEN 'DJ' WHEN starts_with(device, '89-') THEN 'SEC' WHEN device = 'TR2' THEN 'TR' END AS sf FROM p)
+    SELECT id, {_SHARED}, 'Status' AS "Measurement Type", coalesce(signal_type, 'Custom') AS "Signal Type", false AS "Output Register", 'Status' AS "Remote Point Type",
+      CASE WHEN prot THEN concat_ws('_', 'STA', m, coalesce(CASE WHEN feeder THEN breaker END, m), b, 'PROT_' || coalesce(code, '?')) WHEN sf IS NOT NULL AND b IS NULL THEN base || '_' || sf ELSE base END AS "Device Mapping",
+      CASE direction WHEN 'Output' THEN 'Write' WHEN 'InputOutput' THEN 'ReadWrite' ELSE 'Read' END AS "Direction", mm AS "Message Mapping", datatype AS "Input Data Type", CASE WHEN direction <> 'Output' THEN ic END AS "Input Coordinates",
+      CASE WHEN oc IS NOT NULL THEN CASE WHEN len(list_distinct(string_split(oc, ';'))) = 1 THEN 'SingleCoord' ELSE 'MultiCoord' END END AS "Output Data Type", oc AS "Output Coordinates",
+      CASE WHEN list_position(string_split(states, ';'), 'NORMAL') > 0 THEN vals[list_position(string_split(states, ';'), 'NORMAL')] END AS "Normal Value" FROM w"""
 )
 def project_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = F.col("l_linestatus") == "O"
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("id"), F.concat(F.lit("M "), F.col("l_orderkey").cast("string")).alias("module"),
-        F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("52-"), F.col("l_suppkey").cast("string"))).alias("device"), F.lit(None).cast("string").alias("bus"), F.col("l_returnflag").alias("code"), F.lit("Disjuntor").alias("family"),
-        (F.col("l_returnflag") == "R").alias("protection"), F.when(out, "Output").otherwise("Input").alias("direction"), F.array("l_linenumber").alias("indices"), F.array().cast("array<int>").alias("output_indices"), (F.col("l_suppkey") % 3 == 0).alias("double"),
-        F.when(F.col("l_partkey") % 2 == 0, "AB").otherwise("XY").alias("phase"), F.lit("ALARME;NORMAL").alias("states"), F.lit("3;7").alias("values"),
-    )
-    return project.discrete(rows, "STA")
+    return project.discrete(output_records(spark, sf_dir), F.lit("STA"), "20260101")
 
 
 @bank.add(
-    """WITH o AS (SELECT o_orderkey AS id, 'M' || o_custkey AS m, CASE o_orderkey % 4 WHEN 0 THEN 'CORRENTE' WHEN 1 THEN 'TENSÃO' WHEN 2 THEN 'TEMPERATURA' ELSE 'OUTRA' END AS q FROM orders)
-    SELECT id, 'STA_' || m || '_' || m || '_P_MED' AS signal_name, 'STA_' || m || '_' || CASE q WHEN 'CORRENTE' THEN 'TC' WHEN 'TENSÃO' THEN 'TP' ELSE CASE WHEN id % 3 = 0 THEN '52-1_DJ' ELSE m END END AS device_mapping,
-    CASE q WHEN 'CORRENTE' THEN 'Current' WHEN 'TENSÃO' THEN 'Voltage' WHEN 'TEMPERATURA' THEN 'Temperature' END AS measurement_type, CASE WHEN id % 2 = 0 THEN 'MeasuredValue' ELSE 'Other' END AS signal_type, CAST(id AS VARCHAR) AS input_coordinates, 'N' AS phases FROM o"""
+    f"""WITH {RECORDS} SELECT id, {_SHARED}, ic AS "Input Coordinates", CASE kind WHEN 'valor medido' THEN 'MeasuredValue' WHEN 'Other' THEN 'Other' ELSE 'Custom' END AS "Signal Type", 'Read' AS "Direction", false AS "Output Register", 'Analog' AS "Remote Point Type",
+      concat_ws('_', 'STA', m, CASE measure WHEN 'Corrente' THEN concat_ws('_', m, 'TC') WHEN 'Tensão' THEN concat_ws('_', m, 'TP') ELSE coalesce(breaker || '_DJ', m) END) AS "Device Mapping",
+      CASE measure WHEN 'Corrente' THEN 'Current' WHEN 'Tensão' THEN 'Voltage' WHEN ' temperatura' THEN 'Temperature' END AS "Measurement Type", CASE WHEN unit <> '-' THEN unit END AS "Display Unit" FROM p"""
 )
 def project_analog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(
-        n.alias("id"), F.concat(F.lit("M "), F.col("o_custkey").cast("string")).alias("module"), F.lit(None).cast("string").alias("device"), F.lit("P").alias("bus"), F.lit("MED").alias("code"),
-        F.when(n % 4 == 0, "Corrente").when(n % 4 == 1, "Tensão").when(n % 4 == 2, "Temperatura").otherwise("Outra").alias("measure"), F.when(n % 3 == 0, "52-1").alias("breaker"),
-        F.when(n % 2 == 0, "valor medido").otherwise("Other").alias("kind"), F.array("o_orderkey").alias("indices"), F.lit("N").alias("phase"),
-    )
-    return project.analog(rows, "STA")
+    return project.analog(output_records(spark, sf_dir), F.lit("STA"), "20260101")
+
+
+@bank.add(
+    f"""WITH {RECORDS} SELECT id, {_SHARED}, ic AS "Input Coordinates", 'Discrete' AS "Measurement Type", coalesce(signal_type, 'Custom') AS "Signal Type", 'Read' AS "Direction", normal AS "Normal Value",
+      CASE WHEN device_code IS NOT NULL AND code IS NOT NULL THEN base || '_' || device_code ELSE name END AS "Device Mapping", coalesce(nullif(point_type, ''), 'Analog') AS "Remote Point Type" FROM p"""
+)
+def project_discrete_analog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.discrete_analog(output_records(spark, sf_dir), F.lit("STA"), "20260101")
 
 
 @bank.add("SELECT CASE o_orderstatus WHEN 'F' THEN 'Discrete' WHEN 'O' THEN 'Analog' ELSE 'DiscreteAnalog' END AS category, count(*) AS n FROM orders GROUP BY ALL")

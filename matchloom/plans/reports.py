@@ -28,25 +28,29 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
 
 
+PCTS, GAPS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8, 0.9], [0.0, 0.02, 0.05, 0.08, 0.10, 0.15, 0.20, 0.30]
+_GRID = f"g AS (SELECT * FROM (VALUES {', '.join(f'({p})' for p in PCTS)}) p(t_pct), (VALUES {', '.join(f'({g})' for g in GAPS)}) q(t_gap))"
+
+
 @bank.add(
-    """WITH s AS (SELECT o_orderpriority AS category, round(o_totalprice / 500000, 6) AS top, round(o_custkey % 100 / 100.0, 6) AS gap, o_orderstatus = 'F' AS correct FROM orders), g AS (SELECT * FROM (VALUES (0.2), (0.45), (0.7)) p(t_pct), (VALUES (0.02), (0.08), (0.5)) q(t_gap))
+    f"""WITH s AS (SELECT o_orderpriority AS category, round(o_totalprice / 500000, 6) AS top, round(o_custkey % 100 / 100.0, 6) AS gap, o_orderstatus = 'F' AS correct FROM orders), {_GRID}
     SELECT CAST(t_pct AS DOUBLE) AS t_pct, CAST(t_gap AS DOUBLE) AS t_gap, category, count(*) AS n, count(*) FILTER (top >= t_pct AND gap >= t_gap) AS decided, round(count(*) FILTER (top >= t_pct AND gap >= t_gap AND correct) / nullif(count(*) FILTER (top >= t_pct AND gap >= t_gap), 0), 6) AS precision
     FROM s, g GROUP BY GROUPING SETS ((t_pct, t_gap, category), (t_pct, t_gap))"""
 )
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), F.round(F.col("o_totalprice") / 500000, 6).alias("top"), F.round(F.col("o_custkey") % 100 / 100.0, 6).alias("gap"), (F.col("o_orderstatus") == "F").alias("correct"))
-    return analytics.threshold_sweep(rows, [0.2, 0.45, 0.7], [0.02, 0.08, 0.5]).withColumn("precision", F.round("precision", 6))
+    return analytics.threshold_sweep(rows, PCTS, GAPS).withColumn("precision", F.round("precision", 6))
 
 
 @bank.add(
-    """WITH c AS (SELECT l_orderkey AS id, l_returnflag AS code, max(l_discount) AS s1, max(l_tax) AS s2, round(max(l_quantity) / 500, 6) AS s3 FROM lineitem GROUP BY 1, 2), g AS (SELECT i / 5.0 AS a, j / 5.0 AS b, (5 - i - j) / 5.0 AS c FROM range(6) x(i), range(6) y(j) WHERE i + j <= 5),
+    """WITH c AS (SELECT l_orderkey AS id, l_returnflag AS code, max(l_discount) AS s1, max(l_tax) AS s2, round(max(l_quantity) / 500, 6) AS s3 FROM lineitem GROUP BY 1, 2), g AS (SELECT i / 20.0 AS a, j / 20.0 AS b, (20 - i - j) / 20.0 AS c FROM range(21) x(i), range(21) y(j) WHERE i + j <= 20),
     b AS (SELECT g.a, g.b, g.c, id, code, row_number() OVER (PARTITION BY g.a, g.b, g.c, id ORDER BY round(g.a * s1 + g.b * s2 + g.c * s3, 9) DESC, code) AS k FROM c, g)
     SELECT b.a, b.b, b.c, round(avg(CASE WHEN code = CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END THEN 1.0 ELSE 0 END), 6) AS accuracy FROM b JOIN orders ON o_orderkey = id WHERE k = 1 GROUP BY ALL"""
 )
 def weight_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("code")).agg(F.max("l_discount").alias("s1"), F.max("l_tax").alias("s2"), F.round(F.max("l_quantity") / 500, 6).alias("s3"))
     wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R").alias("code"))
-    return analytics.simplex_search(rows, wanted, analytics.weight_simplex(5)).withColumn("accuracy", F.round("accuracy", 6))
+    return analytics.simplex_search(rows, wanted, analytics.weight_simplex()).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @bank.add(
@@ -215,6 +219,11 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.search(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("code"), F.col("p_name").alias("text")), "ríng")
 
 
-@bank.add("SELECT min(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'P' AND o_orderkey > 100")
+@bank.add(
+    """SELECT 100 AS after, min(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'P' AND o_orderkey > 100 UNION ALL SELECT 1000000000000, min(o_orderkey) FROM orders WHERE o_orderstatus = 'P'"""
+)
 def next_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.next_pending(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderstatus") == "P", "review").otherwise("decided").alias("status")), 100)
+    """The next pending order after a place, and after the last place, where the search starts again."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderstatus") == "P", "review").otherwise("decided").alias("status"))
+    here, beyond = (review.next_pending(rows, n).select(F.lit(n).cast("long").alias("after"), "id") for n in (100, 10**12))
+    return here.union(beyond)

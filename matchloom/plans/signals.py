@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import tables as t
 from matchloom.functions import text as x
-from matchloom.operators import rules
+from matchloom.operators import analytics, candidates, funnel, rules
 from matchloom.operators.candidates import small
+from matchloom.plans import ranking
 from matchloom.plans.registry import Bank, table
 
 bank = Bank()
@@ -246,3 +247,143 @@ WHITELIST = {"Disjuntor": ("DJF1", "DJA1", "DJCMD", "SF6", "SF6B", "50BF"), "Sec
 def equipment_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that the whitelist of a signal's own equipment allows; signals that lose all are marked."""
     return rules.in_whitelist(offered(spark, sf_dir), WHITELIST).select("id", "code", "outside")
+
+
+# --- the funnel -------------------------------------------------------------------------------------------
+
+SETTINGS = funnel.Settings(whitelist=WHITELIST)
+
+
+def scored(rows: DataFrame, cat: DataFrame) -> DataFrame:
+    """Both methods' candidates of signals."""
+    asked, known = rows.select("id", F.col("tokens").alias("terms")), cat.select("ord", "code", F.col("code_tokens").alias("terms"))
+    return candidates.bm25(asked, known).withColumn("method", F.lit("lexical")).unionByName(candidates.tfidf(asked, known).withColumn("method", F.lit("vector")))
+
+
+_ALL = " AND ".join(f"({sql})" for sql in KEEPS.values())
+_FITS = f"coalesce(code_state = ({TEXT_STATE}) OR ({TEXT_STATE}) = 'INDEFINIDO' OR code_state = 'INDEFINIDO', true)"
+_ALLOWED = f"CASE {' '.join(f"WHEN family = '{f}' AND NOT inferred THEN code IN {_in(codes)}" for f, codes in WHITELIST.items())} ELSE true END"
+
+
+def funnel_sql(category: str | None = None) -> str:
+    """CTEs up to ``decided``: the decisions of the funnel, of the codes of one category if it is named."""
+    some = f" WHERE category = '{category}'" if category else ""
+    return f"""{SIGNALS.replace("cat AS (", "cat_all AS (")},
+cat AS (SELECT * FROM cat_all{some}),
+c AS (SELECT ord, code, code_tokens AS terms FROM cat), s AS (SELECT id, tokens AS terms FROM sig),
+{ranking.LEXICAL}, {ranking.TFIDF}, {ranking.FUSION},
+spelt AS (SELECT id, unnest(tokens) AS code, true AS exact, unnest(range(1, len(tokens) + 1)) AS pos FROM sig UNION ALL SELECT id, tokens[i] || tokens[i + 1], false, i FROM (SELECT id, tokens, unnest(range(1, len(tokens))) AS i FROM sig)),
+an AS (SELECT id, code, code_family AS f, bool_or(exact) AS exact, min(pos) AS pos FROM spelt JOIN cat USING (code) WHERE length(code) >= 3 AND regexp_matches(code, '[0-9]') AND regexp_matches(code, '[A-Za-z]') GROUP BY ALL),
+h1 AS (SELECT id, code, greatest(pl.score, CASE WHEN an.code IS NOT NULL THEN 0.85 END) AS score FROM (SELECT id, code, score FROM pl) pl FULL JOIN an USING (id, code)),
+best AS (SELECT id, code_family AS f, max(score) AS best FROM h1 JOIN cat USING (code) WHERE code_family IS NOT NULL GROUP BY ALL),
+h2 AS (SELECT id, code, score FROM h1 UNION ALL SELECT id, code, best * 0.9 FROM best JOIN cat ON cat.code_family = best.f WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.id = best.id AND h1.code = cat.code)),
+roots AS (SELECT id, f, list(code) AS roots FROM an WHERE f IS NOT NULL GROUP BY ALL),
+h3 AS (SELECT id, code, score FROM (SELECT h2.*, roots IS NULL OR len(list_filter(roots, lambda r: starts_with(h2.code, r))) > 0 AS ok FROM h2 JOIN cat USING (code) LEFT JOIN roots ON roots.id = h2.id AND roots.f = cat.code_family) QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY id)),
+d0 AS (SELECT s.*, cat.*, upper(cat.code) AS c, h3.score FROM h3 JOIN cat USING (code) JOIN sig s USING (id)),
+d1 AS (SELECT * FROM (SELECT *, {_ALL} AS ok FROM d0) QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY id)),
+d2 AS (SELECT * FROM (SELECT *, len(list_intersect(tokens, code_tokens)) AS shared FROM d1) QUALIFY code_family IS NULL OR count(*) OVER (PARTITION BY id, code_family) < 2 OR max(shared) OVER (PARTITION BY id, code_family) = 0 OR shared = max(shared) OVER (PARTITION BY id, code_family)),
+d3 AS (SELECT *, NOT bool_or(fits) OVER (PARTITION BY id) AS lost FROM (SELECT *, {_FITS} AS fits FROM d2) QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY id)),
+top3 AS (SELECT DISTINCT id, code_family AS f FROM d3 WHERE NOT lost QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, code) <= 3),
+back AS (SELECT id, f, arg_min(code, pos * 1000 + o) AS code FROM (SELECT an.*, row_number() OVER (ORDER BY code) AS o FROM an) an WHERE exact AND regexp_matches(f, '^[0-9][0-9]$') AND code NOT IN {_in(funnel.REDIRECTED)}
+  AND NOT EXISTS (SELECT 1 FROM top3 WHERE top3.id = an.id AND top3.f = an.f) AND NOT EXISTS (SELECT 1 FROM d3 WHERE d3.id = an.id AND d3.code = an.code AND NOT lost) AND id NOT IN (SELECT id FROM d3 WHERE lost) GROUP BY ALL),
+e0 AS (SELECT id, code, score FROM d3 WHERE NOT lost UNION ALL SELECT id, code, 0.85 FROM back),
+e1 AS (SELECT s.*, cat.*, upper(cat.code) AS c, e0.score FROM e0 JOIN cat USING (code) JOIN sig s USING (id)),
+e2 AS (SELECT *, NOT bool_or(ok) OVER (PARTITION BY id) AS outside FROM (SELECT *, {_ALLOWED} AS ok FROM e1) QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY id)),
+e3 AS (SELECT *, {" + ".join(DELTAS.values())} AS delta, list_filter([{", ".join(f"CASE WHEN {sql} <> 0 THEN '{name}' END" for name, sql in DELTAS.items())}], lambda r: r IS NOT NULL) AS rules FROM e2 WHERE NOT outside),
+e4 AS (SELECT *, round(score + delta, 9) AS moved FROM e3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY moved DESC, ord, code) AS k FROM e4),
+fired AS (SELECT id, array_to_string(list_sort(list(DISTINCT r)), ',') AS rules FROM (SELECT id, unnest(rules) AS r FROM e4) GROUP BY id),
+two AS (SELECT id, max(CASE WHEN k = 1 THEN code END) AS a, max(CASE WHEN k = 2 THEN code END) AS b, max(CASE WHEN k = 1 THEN moved END) AS sa, max(CASE WHEN k = 2 THEN moved END) AS sb, max(CASE WHEN k = 1 THEN delta END) AS da, max(CASE WHEN k = 2 THEN delta END) AS db FROM ranked WHERE k <= 2 GROUP BY id),
+led AS (SELECT *, sa - coalesce(sb, 0) AS gap FROM two),
+said AS (SELECT code, description FROM cat),
+j0 AS (SELECT sig.id, sig.phase, sig.tokens, sig.text, led.*  EXCLUDE (id), x.description = y.description AS same, CASE WHEN sig.id IN (SELECT id FROM d3 WHERE lost) THEN 'no_candidate_of_state' WHEN sig.id IN (SELECT id FROM e2 WHERE outside) THEN 'outside_whitelist' WHEN a IS NULL THEN 'no_candidate' WHEN sa - da < 0.2 THEN 'low_score' WHEN sa >= 0.45 AND gap >= 0.08 THEN 'decided' WHEN sa >= 0.45 THEN 'several_codes' ELSE 'low_score' END AS r0
+  FROM sig LEFT JOIN led USING (id) LEFT JOIN said x ON x.code = a LEFT JOIN said y ON y.code = b),
+j1 AS (SELECT *, CASE WHEN r0 = 'decided' THEN a WHEN r0 = 'several_codes' THEN CASE WHEN same AND gap <= 0.005 THEN least(a, b) WHEN da > 0 AND coalesce(db, 0) <= 0 AND gap < 0.08 THEN a END END AS code0,
+  CASE WHEN r0 = 'decided' THEN 'quadrant' WHEN r0 = 'several_codes' THEN CASE WHEN same AND gap <= 0.005 THEN 'same_description' WHEN da > 0 AND coalesce(db, 0) <= 0 AND gap < 0.08 THEN 'rule_rescue' END END AS stage0 FROM j0),
+tk AS (SELECT DISTINCT code_family AS f, code, unnest(code_tokens) AS tk FROM cat WHERE code_family IS NOT NULL),
+own AS (SELECT f, tk, min(code) AS sib FROM tk WHERE code <> f AND NOT EXISTS (SELECT 1 FROM tk r WHERE r.code = r.f AND r.f = tk.f AND r.tk = tk.tk) GROUP BY f, tk HAVING count(DISTINCT code) = 1),
+sb AS (SELECT id, count(DISTINCT sib) AS n, min(sib) AS sib FROM (SELECT DISTINCT id, code0 AS f, unnest(tokens) AS tk FROM j1 WHERE code0 IS NOT NULL) JOIN own USING (f, tk) GROUP BY id),
+j2 AS (SELECT j1.*, coalesce(n > 1, false) AS unclear, CASE WHEN n = 1 THEN sib ELSE code0 END AS code1 FROM j1 LEFT JOIN sb USING (id)),
+decided AS (SELECT id, text, tokens, CASE WHEN NOT unclear THEN code1 END AS code, sa AS score, gap, CASE WHEN unclear THEN 'ambiguous_qualifier' WHEN stage0 IS NOT NULL THEN 'decided' ELSE r0 END AS reason, CASE WHEN NOT unclear AND code1 <> code0 THEN 'sibling' ELSE stage0 END AS stage,
+  CASE WHEN stage0 IS NOT NULL AND NOT unclear THEN coalesce(phase, (SELECT CASE WHEN p = 'F' THEN 'ABC' ELSE p END FROM (SELECT {CODE_PHASE.replace("(c,", "(code0,").replace("(c)", "(code0)").replace("ELSE c END", "ELSE code0 END")} AS p))) ELSE phase END AS phase, coalesce(fired.rules, '') AS rules FROM j2 LEFT JOIN fired USING (id))"""
+
+
+_OUT = "id, code, round(score, 6) AS score, round(gap, 6) AS gap, CASE WHEN reason = 'decided' THEN 'decided' ELSE 'review' END AS status, reason, stage, phase, rules"
+
+
+def _rounded(decisions: DataFrame) -> DataFrame:
+    return decisions.withColumn("score", F.round("score", 6)).withColumn("gap", F.round("gap", 6))
+
+
+@bank.add(f"WITH {funnel_sql()} SELECT {_OUT} FROM decided")
+def full_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal through the whole funnel."""
+    rows, cat = signals(spark, sf_dir), catalogue(spark)
+    return _rounded(funnel.decide(rows, cat, scored(rows, cat), SETTINGS)[0])
+
+
+_VARIANT = f"""
+fam AS (SELECT id, count(DISTINCT coalesce(f, code)) > 1 AS several FROM an GROUP BY id),
+due AS (SELECT d.*, several FROM decided d JOIN fam USING (id) WHERE reason NOT IN ('decided', {", ".join(f"'{r}'" for r in funnel.FINAL)})),
+ex AS (SELECT due.id, an.code AS anchor, coalesce(f, an.code) AS af FROM due JOIN an ON an.id = due.id AND an.exact WHERE NOT several),
+kin AS (SELECT ex.id, cat.code, code_state IS NOT NULL AND code_state = st AND st <> 'INDEFINIDO' AS fit, right(cat.code, 1) = sg AND regexp_matches(cat.code, '[0-9]$') AS at_stage
+  FROM (SELECT DISTINCT id, af FROM ex) ex JOIN (SELECT id, ({TEXT_STATE}) AS st, {STAGE} AS sg FROM sig) USING (id) JOIN cat ON cat.code_family = ex.af),
+kc AS (SELECT id, count(*) AS n_kin, count(*) FILTER (fit) AS nf, count(*) FILTER (fit AND at_stage) AS ns, min(code) FILTER (fit) AS cf, min(code) FILTER (fit AND at_stage) AS cs FROM kin GROUP BY id),
+kd AS (SELECT id, n_kin, CASE WHEN nf > 1 AND ns > 0 THEN ns ELSE nf END AS n, CASE WHEN nf > 1 AND ns > 0 THEN cs ELSE cf END AS one FROM kc),
+near AS (SELECT r.id, bool_and(coalesce(r.code_family, r.code) IN (SELECT af FROM ex WHERE ex.id = r.id)) AS all_in, arg_min(r.code, r.k) FILTER (r.code IN (SELECT anchor FROM ex WHERE ex.id = r.id)) AS anchor FROM ranked r WHERE r.k <= 3 AND r.id IN (SELECT id FROM ex) GROUP BY r.id),
+var AS (SELECT e.id, CASE WHEN n = 1 THEN one WHEN n > 1 AND n < n_kin THEN NULL WHEN all_in THEN anchor END AS code, CASE WHEN n = 1 THEN 'variant_state' ELSE 'variant_anchor' END AS how FROM (SELECT DISTINCT id FROM ex) e LEFT JOIN kd USING (id) LEFT JOIN near USING (id)),
+routed AS (SELECT d.id, coalesce(v.code, d.code) AS code, score, gap, CASE WHEN v.code IS NOT NULL THEN 'decided' WHEN reason = 'decided' OR reason IN ({", ".join(f"'{r}'" for r in funnel.FINAL)}) THEN reason WHEN several THEN 'several_anchors' WHEN several IS NOT NULL THEN 'ambiguous_variant' ELSE 'low_score' END AS reason,
+  CASE WHEN v.code IS NOT NULL THEN how ELSE stage END AS stage, phase, rules FROM decided d LEFT JOIN fam USING (id) LEFT JOIN var v ON v.id = d.id)"""
+
+
+@bank.add(f"WITH {funnel_sql()}, {_VARIANT} SELECT {_OUT} FROM routed")
+def single_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal through the funnel and, from review, through the anchored variants."""
+    rows, cat = signals(spark, sf_dir), catalogue(spark)
+    return _rounded(funnel.single(rows, cat, scored(rows, cat), SETTINGS)[0])
+
+
+@bank.add(
+    f"""WITH {funnel_sql()} SELECT id, array_to_string(list_filter(tokens, lambda w: w <> ''), ' ') AS text, rules, round(coalesce(gap, 0), 6) AS gap, 0.08 AS wanted_gap, coalesce(stage, '') AS stage FROM decided"""
+)
+def funnel_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each signal was decided as it was; the normalised text is tested by ``normal_forms``."""
+    rows, cat = signals(spark, sf_dir), catalogue(spark)
+    told = funnel.diagnostics(rows, funnel.decide(rows, cat, scored(rows, cat), SETTINGS)[0], SETTINGS)
+    return told.join(rows.select("id", "text"), "id").select("id", "text", "rules", F.round("gap", 6).alias("gap"), "wanted_gap", "stage")
+
+
+@bank.add(
+    f"""WITH {funnel_sql()}, w AS (SELECT *, ({_list(tuple(c[0] for c in CODES))})[CAST(id % {len(CODES)} AS INTEGER) + 1] AS wanted FROM decided),
+    h AS (SELECT w.id, w.reason = 'decided' AS decided, coalesce(bool_or(k = 1 AND ranked.code = wanted), false) AS one, coalesce(bool_or(k <= 3 AND ranked.code = wanted), false) AS three FROM w LEFT JOIN ranked USING (id) GROUP BY ALL)
+    SELECT round(avg(CASE WHEN one THEN 1.0 ELSE 0 END), 6) AS acc_1, round(avg(CASE WHEN three THEN 1.0 ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN decided THEN 1.0 ELSE 0 END), 6) AS decided, round(avg(CASE WHEN decided THEN CASE WHEN one THEN 1.0 ELSE 0 END END), 6) AS precision FROM h"""
+)
+def funnel_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy after the whole funnel, against a code that the key chooses."""
+    rows, cat = signals(spark, sf_dir), catalogue(spark)
+    decisions, offered_codes = funnel.decide(rows, cat, scored(rows, cat), SETTINGS)
+    wanted = decisions.select("id", pick(tuple(c[0] for c in CODES), "id").alias("code"), (F.col("status") == "decided").alias("decided"))
+    found = analytics.accuracy(offered_codes.where("not lost and not outside"), wanted)
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
+
+
+CATEGORIES = ("Discrete", "Analog", "DiscreteAnalog")
+
+
+@bank.add(
+    f"""WITH a AS (WITH {funnel_sql("Discrete")} SELECT id, code, reason = 'decided' AS ok, coalesce(gap, 0) AS gap FROM decided), b AS (WITH {funnel_sql("Analog")} SELECT id, code, reason = 'decided' AS ok, coalesce(gap, 0) AS gap FROM decided),
+    k AS (SELECT a.id, {_pick(CATEGORIES, "a.id")} AS category, a.code AS ca, b.code AS cb, a.ok AS oa, b.ok AS ob, a.gap AS ga, b.gap AS gb FROM a JOIN b USING (id)),
+    l AS (SELECT *, oa AND category <> 'Analog' AS la, ob AND category <> 'Discrete' AS lb, (oa AND category = 'Analog') OR (ob AND category = 'Discrete') AS forbidden FROM k),
+    w AS (SELECT *, CASE WHEN la AND lb THEN CASE WHEN abs(ga - gb) > 0.03 THEN CASE WHEN ga > gb THEN 'a' ELSE 'b' END WHEN id % 2 = 0 THEN 'a' END WHEN la AND NOT forbidden THEN 'a' WHEN lb AND NOT forbidden THEN 'b' END AS bundle FROM l)
+    SELECT id, CASE bundle WHEN 'a' THEN ca WHEN 'b' THEN cb END AS code, bundle, CASE WHEN bundle IS NOT NULL THEN 'decided' WHEN (la AND lb) OR ((la OR lb) AND forbidden) THEN 'category_ambiguous' WHEN forbidden THEN 'category_conflict' ELSE 'low_score' END AS reason FROM w"""
+)
+def dual_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of an untrusted category through both bundles."""
+    rows, cat = signals(spark, sf_dir), catalogue(spark)
+    bundles = {}
+    for name, category in (("a", "Discrete"), ("b", "Analog")):
+        own = cat.where(F.col("category") == category)
+        bundles[name] = (own, scored(rows, own))
+    affinity = rows.select("id", (F.col("id") % 2 == 0).cast("int").alias("a"), F.lit(0).alias("b"))
+    tied = affinity.withColumn("a", F.when(F.col("a") == 1, 1.0).otherwise(0.0)).withColumn("b", F.lit(0.0))
+    return funnel.dual(rows.withColumn("category", pick(CATEGORIES, "id")), bundles, tied, SETTINGS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,106 @@ def by_header(sheets: DataFrame, sheet: str, names: dict[str, str], header_row:
     return rows.where(F.col(first).isNotNull())
 
 
+#: Logical names and titles of the three sheets of a catalogue.
+DISCRETE = {"code": "SINAL", "text": "DESCRIÇÃO NOVA", "signal_type": "SIGNAL TYPE", "direction": "DIRECTION", "mm": "MM", "states": "FUNÇÃO", "scada": "VALOR", "severity_type": "TYPE SEVERIDADE", "severity": "SEVERIDADE"}
+ANALOG = {"code": "SINAL", "text": "DESCRIÇÃO NOVA", "signal_type": "SIGNAL TYPE", "flow": "DIREÇÃO DO FLUXO", "measure": "TIPO DE MEDIÇÃO", "unit": "UNIDADE DE EXIBIÇÃO", "phases": "FASES"}
+DISCRETE_ANALOG = {"code": "SINAL", "text": "DESCRIÇÃO NOVA", "signal_type": "SIGNAL TYPE", "phases": "FASES", "direction": "DIRECTION", "normal": "NORMAL VALUE", "point_type": "REMOTE POINT TYPE", "data_type": "OUTPUT DATA TYPE", "device_code": "DEVICE MAPPING REF", "applies": "APLICABILIDADE"}
+
+
+def numbers(cell: Column) -> Column:
+    """Whole numbers joined by semicolons; an empty list if one of them is none."""
+    parts = F.transform(F.filter(F.split(F.coalesce(cell, F.lit("")), ";"), lambda v: F.trim(v) != ""), lambda v: F.trim(v).try_cast("int"))
+    return F.when(F.exists(parts, lambda v: v.isNull()), F.array().cast("array<int>")).otherwise(parts)
+
+
+def has_sheet(sheets: DataFrame, sheet: str) -> bool:
+    return bool(sheets.where(F.col("sheet") == sheet).limit(1).count())
+
+
+def catalogue(sheets: DataFrame) -> DataFrame:
+    """(ord, category, code, text, signal_type, mm, states, scada, phases, measure, unit, normal, point_type, device_code) of a catalogue's sheets; the third is optional."""
+    parts = []
+    for category, sheet, names in (("Discrete", "DiscreteSignals", DISCRETE), ("Analog", "AnalogSignals", ANALOG), ("DiscreteAnalog", "DiscreteAnalog", DISCRETE_ANALOG)):
+        if category == "DiscreteAnalog" and not has_sheet(sheets, sheet):
+            continue
+        rows = by_header(sheets, sheet, names).withColumn("category", F.lit(category))
+        typed = {"scada": numbers, "normal": lambda c: c.try_cast("int")}
+        parts.append(rows.withColumns({c: f(F.col(c)) for c, f in typed.items() if c in rows.columns}))
+    wanted = ("ord", "category", "code", "text", "signal_type", "mm", "states", "scada", "phases", "measure", "unit", "normal", "point_type", "device_code")
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    kinds = {"ord": "int", "scada": "array<int>", "normal": "int"}
+    return whole.select(*(F.col(c) if c in whole.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in wanted))
+
+
+def renames(sheets: DataFrame, sheet: str = "DE->PARA") -> DataFrame:
+    """(old, new) of the optional sheet of renamed codes: its first two columns; the last row of an old code wins."""
+    rows = sheets.where((F.col("sheet") == sheet) & (F.col("row_no") > 1)).select(F.col("row_no").alias("ord"), F.get("cells", F.lit(0)).alias("old"), F.get("cells", F.lit(1)).alias("new"))
+    return last_of(rows.where(x.clean_value(F.col("old")).isNotNull() & x.clean_value(F.col("new")).isNotNull()), "old", "new")
+
+
+def mappings(sheets: DataFrame, sheet: str = "Message Mapping", title: str = "Name") -> DataFrame:
+    """(name): the different message mappings of their sheet."""
+    return by_header(sheets, sheet, {"name": title}).select("name").distinct()
+
+
+def descriptions(read: Callable[[], DataFrame]) -> dict[str, str]:
+    """Code to description of a small catalogue that ``read`` gives as sheets, the last row of a code; empty if it can't be read."""
+    try:
+        found = last_of(catalogue(read()).where(F.col("text").isNotNull()).select("ord", "code", "text"), "code", "text").collect()  # a catalogue's rows
+    except Exception:  # whatever is wrong with the file, the texts of the rows themselves do
+        return {}
+    return {r["code"]: r["text"] for r in found}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header, in the types of ``schema``; a cell of another type is an error."""
+    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=True)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Objects of JSON files that hold an array, or one object each."""
+    return spark.read.json(path, schema=schema, multiLine=True)
+
+
+def audit_files(spark: SparkSession, folder: str, schema: str, pattern: str = "*.csv") -> DataFrame:
+    """Decided rows of all audit files anywhere below a folder."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(folder, header=True, schema=schema)
+    return rows.where("status = 'decided'")
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """(value): one line for each audit event (at, module, level, message), ready for ``write.text``."""
+    return events.select(F.concat_ws(" ", F.col("at").cast("string"), F.concat(F.lit("["), "level", F.lit("]")), F.concat("module", F.lit(":")), "message").alias("value"))
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A table as CSV files with a header; arrays are joined by semicolons."""
+    flat = [F.array_join(F.transform(c, lambda v: v.cast("string")), ";").alias(c) if kind.startswith("array") else F.col(c) for c, kind in rows.dtypes]
+    rows.select(*flat).write.mode("overwrite").csv(path, header=True)
+
+
+def load_or_build(spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that is stored under ``key``, or what ``build`` gives, which is stored; one that can't be read is built again, one that can't be written is used all the same."""
+    path = f"{folder.rstrip('/')}/{key}"
+    try:
+        held = spark.read.parquet(path)
+        held.limit(1).count()
+        return held
+    except Exception:  # missing, broken or of another format: build it again
+        made = build()
+    try:
+        made.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    except Exception:  # a cache that can't be written is no reason to fail
+        return made
+
+
 def last_of(rows: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
     """(key, value) where the last row of a key wins; both in upper case, trimmed."""
     clean = rows.select(F.upper(F.trim(key)).alias(key), F.upper(F.trim(value)).alias(value), order).where(F.col(key).isNotNull())
@@ -77,6 +178,17 @@ def settings(text: str, allowed: dict[str, object]) -> dict[str, object]:
     return merged
 
 
+def settings_text(chosen: dict[str, object], defaults: dict[str, object]) -> str:
+    """TOML of the settings that differ from their defaults."""
+    spelt = lambda v: str(v).lower() if isinstance(v, bool) else f'"{v}"' if isinstance(v, str) else repr(v)
+    return "".join(f"{k} = {spelt(v)}\n" for k, v in sorted(chosen.items()) if k in defaults and v != defaults[k])
+
+
+def relative(path: str, base: str) -> str:
+    """A path below ``base`` as its rest; another one as it is."""
+    return path[len(base.rstrip("/")) + 1 :] if path.startswith(base.rstrip("/") + "/") else path
+
+
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) of text files; a line's number is its place in the file's partition order."""
     rows = spark.read.text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("line_no"))

@@ -123,3 +123,20 @@ def workbooks(rows: DataFrame, key: str, order: str, columns: list[str], sheet:
 
     slim = rows.select(F.col(key).cast("string").alias("__key"), F.col(order).alias("__order"), *(F.col(c).cast("string").alias(c) for c in columns))
     return slim.groupBy("__key").applyInPandas(build, "key string, content binary")
+
+
+def save(made: DataFrame, path: str) -> None:
+    """Writes each workbook of (key, content) as ``key.xlsx`` to the folder ``path`` that all executors see; a repeated attempt writes the same file again."""
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            for key, content in zip(frame["key"], frame["content"], strict=True):
+                where, at = fs.FileSystem.from_uri(path)
+                where.create_dir(at, recursive=True)
+                with where.open_output_stream(f"{at}/{key}.xlsx") as f:
+                    f.write(bytes(content))
+            yield frame[["key"]]
+
+    made.mapInPandas(put, "key string").count()

@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from matchloom.llm import common
 
@@ -99,19 +100,20 @@ class Encoder:
             words.new = []
         return t
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
-        if not texts:
+        if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.words) > self.limit:
             self._forget()
-        counts = np.fromiter((t.count(" ") for t in texts), np.int64, len(texts)) + 1
+        parts = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(parts).to_numpy().astype(np.int64)
         at_first = np.cumsum(counts) - counts
-        parts = " ".join(texts).split(" ")
-        f = np.fromiter((self.firsts[parts[k]] for k in at_first.tolist()), np.int64, len(texts))
-        for k in at_first.tolist():
-            parts[k] = "a"  # its place is taken by the first word's ids below
-        number = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        flat = parts.flatten()
+        f = np.fromiter(map(self.firsts.__getitem__, flat.take(pa.array(at_first)).to_pylist()), np.int64, len(texts))
+        coded = flat.dictionary_encode()
+        known = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        number = known[coded.indices.to_numpy()]
         later, early = self._learn(self.words, self.prefix), self._learn(self.firsts, "")
         start, length, whole = later["start"][number], later["length"][number], later["whole"][number]
         start[at_first], length[at_first] = early["start"][f] + len(later["ids"]), early["length"][f]
@@ -120,7 +122,7 @@ class Encoder:
         pool = np.concatenate([later["ids"], early["ids"]])
         odd = np.flatnonzero(common.grouped_sum(whole, bounds) > 0)
         if len(odd):
-            ids, lengths = self._whole([texts[k] for k in odd])
+            ids, lengths = self._whole(texts.take(pa.array(odd)).to_pylist())
             for k in odd:
                 length[bounds[k] : bounds[k + 1]] = 0
             start[at_first[odd]] = len(pool) + np.cumsum(lengths) - lengths
@@ -141,5 +143,5 @@ def encoded(texts: pa.Array, encoder: Encoder) -> Iterator[tuple[int, np.ndarray
     """(first row, ids of a block of rows, bounds of each row's ids); null counts as empty."""
     _, offsets = common.utf8(texts)
     for i, j in common.blocks(offsets, ENCODED_BYTES):
-        ids, n = encoder.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
+        ids, n = encoder.encode(pc.fill_null(texts.slice(i, j - i), ""))
         yield i, ids, np.concatenate([[0], np.cumsum(n)])

@@ -11,9 +11,8 @@ files of consecutive ranges of documents. A file is ``MAGIC``, then blocks: the
 numbers of documents, ids and data bytes (unsigned, 64 bits), document keys
 (64 bits; a bit set marks null keys), ids of each document (32 bits), control
 bytes and data bytes, all little-endian. A document's control bytes are its own:
-the last one's spare numbers are zeros, which a decoder drops. So documents are
-coded before they are sorted, and the coded bytes are what crosses the network.
-A task writes its file under a name of its own and reports it; only files in the
+the last one's spare numbers are zeros, which a decoder drops. Ids wait for
+their ranks in two bytes each where the vocabulary allows, sorted by documents. A task writes its file under a name of its own and reports it; only files in the
 manifest, which the job writes once all tasks are done, belong to the store, so
 an attempt that is lost or repeated leaves nothing behind that counts.
 
@@ -36,15 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, tokens
+from matchloom.llm import tokens
 from matchloom.session import fresh_path, staged
 
 MAGIC = b"RANKVB1\n"
 END_ID = 1
 #: Ids in a file, about, and in a block at most unless one document has more.
 FILE_IDS, BLOCK_IDS = 8_000_000, 500_000
-#: Ids that one numpy step codes, about.
-STEP_IDS = 500_000
 
 #: Of a control byte: which of its four numbers' four bytes are in the data.
 MASKS = np.arange(4)[None, None, :] <= ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)[:, :, None]
@@ -68,17 +65,12 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").ravel()[:n]
 
 
-def encode_documents(numbers: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Control bytes and data bytes of each document; ``counts`` has its share of ``numbers``."""
-    quads = -(-counts // 4)
-    at = np.arange(len(numbers)) + np.repeat(np.cumsum(4 * quads - counts) - (4 * quads - counts), counts)
-    padded = np.zeros(4 * int(quads.sum()), "<u4")
-    padded[at] = numbers
-    control, data = encode(padded)
-    size = MASKS[np.frombuffer(control, np.uint8)].sum((1, 2))
-    ends = np.cumsum(quads)
-    cuts = np.append(0, np.cumsum(size))[np.append(0, ends)]
-    return [control[a:z] for a, z in zip(ends - quads, ends, strict=True)], [data[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+def encode_documents(numbers: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of documents one after another, each with control bytes of its own; ``counts`` has its share of ``numbers``."""
+    spare = -counts % 4
+    padded = np.zeros(len(numbers) + int(spare.sum()), "<u4")
+    padded[np.arange(len(numbers)) + np.repeat(np.cumsum(spare) - spare, counts)] = numbers
+    return encode(padded)
 
 
 def pack_block(keys: list[int | None], counts: np.ndarray, control: bytes, data: bytes) -> bytes:
@@ -150,15 +142,6 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
     held = spark.sparkContext.broadcast(rank)
     n_files = max(1, -(-int(counted["n"].sum()) // file_ids))
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = b.column(1).to_numpy()
-            bounds = np.append(0, np.cumsum(counts))
-            for i, j in common.blocks(bounds, STEP_IDS):
-                ids = np.frombuffer(b"".join(b.column(2).slice(i, j - i).to_pylist()), kind)
-                control, data = encode_documents(held.value[ids], counts[i:j])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n", "control", "data"])
-
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -167,8 +150,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
 
         def flush() -> None:
             nonlocal rows, waiting
-            keys, counts, control, data = zip(*rows, strict=True)
-            out.write(pack_block(list(keys), np.array(counts, np.int64), b"".join(control), b"".join(data)))
+            keys, counts, ids = zip(*rows, strict=True)
+            counts = np.array(counts, np.int64)
+            out.write(pack_block(list(keys), counts, *encode_documents(held.value[np.frombuffer(b"".join(ids), kind)], counts)))
             rows, waiting = [], 0
 
         for b in batches:
@@ -189,10 +173,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first, "last_doc": last, "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    coded = tokenised.select("doc_id", "n", "ids").mapInArrow(code, "doc_id long, n long, control binary, data binary").withColumn("tie", F.xxhash64("data"))
     order = (F.asc_nulls_first("doc_id"), "n", "tie")
-    ordered = coded.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
-    ordered.select("doc_id", "n", "control", "data").mapInArrow(store, "file string, first_doc long, last_doc long, n_docs long, n_ids long").write.parquet(f"{path}/manifest")
+    ordered = tokenised.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n_files, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "n", "ids").mapInArrow(store, "file string, first_doc long, last_doc long, n_docs long, n_ids long").write.parquet(f"{path}/manifest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ code, ...); results (id, code, score, ord, rank), ranked by score, then by ord.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,8 @@ from matchloom.functions import similarity
 
 #: Catalogue rows (or posting rows) up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of a block of vectors, and rows of a block of texts, that each task holds of a catalogue.
+BLOCK_BYTES, FUZZY_ROWS = 64 << 20, 50_000
 K1, B = 1.5, 0.75
 
 
@@ -82,15 +85,38 @@ def tfidf(signals: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
     return top(dots.join(query_norm, "id").select("id", "ord", "code", F.round(F.col("dot") / F.col("norm"), 9).alias("score")), k)
 
 
-def cosine(signals: DataFrame, catalogue: DataFrame, k: int = 5, limit: int = BROADCAST_ROWS) -> DataFrame:
+def _in_blocks(catalogue: DataFrame, limit: int) -> list[DataFrame]:
+    """The catalogue in parts of about ``limit`` rows, by a hash of ``ord``."""
+    n = -(-catalogue.count() // limit)
+    if n <= 1:
+        return [catalogue]
+    return [catalogue.where(F.pmod(F.xxhash64("ord"), F.lit(n)) == k) for k in range(n)]
+
+
+def _merged(parts: list[DataFrame], k: int) -> DataFrame:
+    """The best ``k`` of each id over the results of all parts of a catalogue."""
+    if len(parts) == 1:
+        return parts[0]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return top(whole.drop("rank"), k, by_code=False)
+
+
+def cosine(signals: DataFrame, catalogue: DataFrame, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact inner product of L2-normalised vectors, at least 0; a code may appear more than once.
 
-    The catalogue's matrix is checked against ``limit`` rows and broadcast; a
-    batch of signals is one matrix product.
+    The catalogue is searched whole, in blocks whose matrices have about
+    ``block_bytes`` each and are broadcast; a batch of signals is one matrix
+    product with a block.
     """
-    held = catalogue.select("ord", "code", "vector").orderBy("ord").limit(limit + 1).toPandas()
-    if len(held) > limit:
-        raise ValueError(f"a catalogue of more than {limit} rows is not searched exhaustively")
+    first = catalogue.select(F.size("vector").alias("n")).first()
+    limit = max(1, block_bytes // (8 * max(1, first["n"] if first else 1)))
+    return _merged([_cosine_block(signals, part, k) for part in _in_blocks(catalogue, limit)], k)
+
+
+def _cosine_block(signals: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
+    held = catalogue.select("ord", "code", "vector").orderBy("ord").toPandas()  # a block
     spark = signals.sparkSession
     matrix = np.array(held["vector"].tolist(), np.float64).reshape(len(held), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
@@ -125,24 +151,32 @@ def centroid_affinity(signals: DataFrame, catalogue: DataFrame) -> DataFrame:
     return joined.select("id", (dot(v, c) / (F.sqrt(dot(v, v)) * F.sqrt(dot(c, c)))).alias("affinity"))
 
 
-def fuzzy(signals: DataFrame, catalogue: DataFrame, k: int = 5, boost: float = 0.25, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Token set similarity of every different text to every catalogue row, plus ``boost`` if the code is a token; 1 at most."""
-    held = catalogue.select("ord", "code", "text").orderBy("ord").limit(limit + 1).toPandas()
-    if len(held) > limit:
-        raise ValueError(f"a catalogue of more than {limit} rows is not compared exhaustively")
-    shared = signals.sparkSession.sparkContext.broadcast(list(held.itertuples(index=False, name=None)))
+def fuzzy(signals: DataFrame, catalogue: DataFrame, k: int = 5, boost: float = 0.25, limit: int = FUZZY_ROWS) -> DataFrame:
+    """Token set similarity of every different text to every catalogue row, plus ``boost`` if the code is a token; 1 at most.
+
+    The catalogue is compared whole, in blocks of about ``limit`` rows.
+    """
+    texts = signals.select("text").distinct()
+    found = _merged([_fuzzy_block(texts, part, k, boost) for part in _in_blocks(catalogue, limit)], k)
+    return signals.select("id", "text").join(found.withColumnRenamed("id", "text"), "text").select("id", "code", "score", "ord", "rank")
+
+
+def _fuzzy_block(texts: DataFrame, catalogue: DataFrame, k: int, boost: float) -> DataFrame:
+    """The same for a block; a text is its own id."""
+    held = catalogue.select("ord", "code", "text").orderBy("ord").toPandas()  # a block
+    shared = texts.sparkSession.sparkContext.broadcast(list(held.itertuples(index=False, name=None)))
 
     @F.pandas_udf("array<struct<ord:long,code:string,score:double>>")
-    def search(texts: pd.Series) -> pd.Series:
+    def search(said: pd.Series) -> pd.Series:
         out = []
-        for text in texts:
+        for text in said:
             own = set((text or "").split())
-            scored = [(-min(1.0, similarity.token_sets(text or "", body) / 100 + boost * (code in own)), o, code) for o, code, body in shared.value]
-            out.append([{"ord": int(o), "code": code, "score": -s} for s, o, code in sorted(scored)[:k]])
+            scored = [(-min(1.0, similarity.token_sets(text or "", body or "") / 100 + boost * (code in own)), o, code) for o, code, body in shared.value]
+            out.append([{"ord": int(o), "code": code, "score": -s} for s, o, code in heapq.nsmallest(k, scored)])
         return pd.Series(out)
 
-    found = signals.select("text").distinct().select("text", F.posexplode(search("text")).alias("rank", "hit"))
-    return signals.select("id", "text").join(found, "text").select("id", "hit.code", "hit.score", "hit.ord", (F.col("rank") + 1).alias("rank"))
+    found = texts.select(F.col("text").alias("id"), F.posexplode(search("text")).alias("rank", "hit"))
+    return found.select("id", "hit.code", "hit.score", "hit.ord", (F.col("rank") + 1).alias("rank"))
 
 
 def reciprocal_ranks(*rankings: DataFrame, constant: int = 60) -> DataFrame:
@@ -165,3 +199,38 @@ def repaired(words: DataFrame, vocabulary: DataFrame, minimum: float = 85.0) ->
     near = lengths.join(terms.withColumn("size", F.length("term")), "size").where(100 * F.levenshtein("token", "term") <= bound)
     scored = near.withColumn("s", similarity.indel_ratio("token", "term")).where(F.col("s") >= minimum)
     return scored.groupBy("token").agg(F.min_by("term", F.struct(-F.col("s"), F.col("term"))).alias("term"))
+
+
+# --- texts and vectors of a catalogue ---------------------------------------------------------------------
+
+
+def corpora(catalogue: DataFrame, canonical: Callable[[Column], Column]) -> DataFrame:
+    """``catalogue`` (code, text, measure, unit, code_direction) with ``text`` in canonical form, and ``rich``, the text for vectors: code, text, measure, unit and direction."""
+    form = canonical(F.col("text"))
+    return catalogue.withColumn("rich", F.concat_ws(" ", "code", form, "measure", "unit", "code_direction")).withColumn("text", form)
+
+
+def vocabulary(catalogue: DataFrame, column: str = "text") -> DataFrame:
+    """(term): the different words of a catalogue."""
+    return catalogue.select(F.explode(F.split(F.coalesce(column, F.lit("")), r"\s+")).alias("term")).where("term <> ''").distinct()
+
+
+def bag_of_words(text: Column, size: int = 256, prefix: str = "") -> Column:
+    """A vector of word counts in ``size`` hashed places; the default encoder, which needs no model."""
+    words = F.filter(F.split(F.lower(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+
+
+def encoded(rows: DataFrame, encode: Callable[[Column], Column] | None = None, text: str = "text", kind: str = "query") -> DataFrame:
+    """``rows`` with ``vector``: by ``encode``, a column function or a pandas UDF that loads its model once for each worker, or by hashed words.
+
+    Asymmetric encoders get ``kind: `` before each text, as in ``query: ...``.
+    """
+    return rows.withColumn("vector", encode(F.concat(F.lit(f"{kind}: "), F.coalesce(text, F.lit("")))) if encode else bag_of_words(F.col(text)))
+
+
+def reranked(pairs: DataFrame, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """``pairs`` (id, text, code, code_text, ord) with ``score``, the logistic of what ``score`` gives for both texts, and ``rank``."""
+    rated = pairs.withColumn("score", 1 / (1 + F.exp(-score(F.col("text"), F.col("code_text")))))
+    return rated.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ord", "code")))

@@ -11,7 +11,8 @@ up. So the size of a broadcast is bounded, whatever the benchmark's.
 
 Defined results: null and empty texts have no words and no hits; items without
 a word or an id are skipped; items that repeat an id count once; repeated
-documents get one row each. Added columns replace those of the same name.
+documents get one row each. Texts of any length are read whole. Added columns
+replace those of the same name.
 """
 
 from __future__ import annotations

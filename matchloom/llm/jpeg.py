@@ -14,6 +14,9 @@ belong to the payload. A restart interval has ``INTERVAL`` blocks.
 
 Defined results: null counts as empty; an empty payload is one block of zeros;
 a null image has null features, and one that is not a baseline JPEG raises.
+Repeated rows get one row each, with equal values. Texts of any length are
+stored whole, in one image. Added columns replace those
+of the same name.
 """
 
 from __future__ import annotations

@@ -101,7 +101,7 @@ total AS (SELECT (sum(good) + 1.0) / (sum(n) + 2.0) AS mean FROM hosts),
 {level("s", "total", "suffix", "ON true")},
 {level("d", "s", "suffix, domain", "USING (suffix)")},
 {level("f", "d", "suffix, domain, host", "USING (suffix, domain)")}
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN mean - {urls.Z} * sd >= {urls.THRESHOLD} THEN 'allow' ELSE 'block' END) AS verdict,
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN round(mean - {urls.Z} * sd, 9) >= {urls.THRESHOLD} THEN 'allow' ELSE 'block' END) AS verdict,
   round(mean - {urls.Z} * sd, 6) AS reputation
 FROM j JOIN f USING (host)
 """

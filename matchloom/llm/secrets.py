@@ -7,8 +7,9 @@ answered by intersecting postings, and its candidates are verified with the
 expression itself. A rule without mandatory trigrams scans every document.
 
 Defined results: null and empty texts have no spans; a row with a null key is
-scanned like any other; rows that repeat a key get one row each. Offsets count
-code points, ends are exclusive.
+scanned like any other; rows that repeat a key get one row each. Texts of any
+length are scanned whole. Offsets count code points, ends are exclusive. Added
+columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -137,18 +138,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
     """
     empty = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>")
     docs = docs.drop("spans")
-    found = candidates(docs, key, text, rules)
+    # rows are told apart by key and text: rows of a hot or a null key then go to many tasks
+    docs = docs.withColumn("__row", F.xxhash64(key, text))
+    found = candidates(docs, "__row", text, rules)
     if found is None:
         joined = docs.withColumn("__kinds", F.array().cast("array<string>"))
     else:
-        named = found.select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
-        joined = docs.join(named, docs[key].eqNullSafe(named["__key"]), "left").drop("__key")
+        joined = docs.join(found.select(F.col("key").alias("__row"), F.col("kinds").alias("__kinds")), "__row", "left")
     body = F.coalesce(F.col(text), F.lit(""))
     each = []
     for order, r in enumerate(rules):
         due = F.array_contains("__kinds", r.kind) if trigram_query(r.regex) is not None else body.rlike(r.regex)
         each.append(F.when(F.coalesce(due, F.lit(False)), matches(body, r, order)).otherwise(empty))
-    return joined.withColumn("spans", F.array_sort(reduce(lambda a, b: F.concat(a, b), each))).drop("__kinds")
+    return joined.withColumn("spans", F.array_sort(reduce(lambda a, b: F.concat(a, b), each))).drop("__kinds", "__row")
 
 
 def of_kind(spans: Column, kind: str) -> Column:

@@ -20,8 +20,11 @@ Buckets and blocks grow in number with the input, not in size.
 
 Defined results: a null text is empty; a text shorter than a window loses
 nothing; rows of one key do not cover each other; a row with a null key neither
-covers nor is covered. Matches never cross documents. What is kept is bytes: a
-cut may split a character.
+covers nor is covered. Matches never cross documents. Rows that repeat a key and
+a text get one row each. Texts of any length are read whole, and a block has at
+least one text, however long. What is kept is bytes: a cut may split a
+character. Only the key and the text are read; other columns, whatever their
+names, do not matter.
 """
 
 from __future__ import annotations

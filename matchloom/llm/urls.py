@@ -14,8 +14,9 @@ that has a third of all pages is no single task.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is judged like other pages of an empty host. Null outcomes do
-not count. Repeated pages get one row each; columns that are added replace those
-of the same name.
+not count. Of two rules that are equally long and fit, the one that sorts first
+holds. Urls of any length are read whole. Repeated pages get one row each;
+columns that are added replace those of the same name.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.session import staged
+
 Z = 1.0
 THRESHOLD = 0.5
 BROADCAST_HOSTS = 500_000
@@ -93,7 +96,8 @@ def strength(units: DataFrame, good: str, n: str, mean: str) -> Column:
 def reputation(outcomes: DataFrame, host: str = "host", outcome: str = "outcome") -> DataFrame:
     """(host, n, good, posterior_mean, posterior_sd) of each host in ``outcomes``, whose outcome is 1, 0 or null."""
     hosts = outcomes.groupBy(F.col(host).alias("host")).agg(F.count(outcome).alias("n"), F.coalesce(F.sum(outcome), F.lit(0)).cast("long").alias("good"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "good")
+    # read by every level, so it is a table
+    hosts = staged(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "good"), "url-hosts")
     total = hosts.agg(((F.sum("good") + 1.0) / (F.sum("n") + 2.0)).alias("mean"))
 
     def level(names: list[str], above: DataFrame, by: list[str]) -> DataFrame:
@@ -124,13 +128,13 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", outcome: Colum
     if label is None:
         base = base.withColumn("__outcome", F.when(F.col("__fit.verdict") == "allow", 1).when(F.col("__fit.verdict") == "block", 0))
     hosts = reputation(base.select(F.col("__host").alias("host"), F.col("__outcome").alias("outcome")))
-    hosts = hosts.select(F.col("host").alias("__host"), (F.col("posterior_mean") - z * F.col("posterior_sd")).alias("reputation"))
-    if base.select("__host").distinct().count() <= broadcast_hosts:
+    hosts = staged(hosts.select(F.col("host").alias("__host"), (F.col("posterior_mean") - z * F.col("posterior_sd")).alias("reputation")), "url-reputation")
+    if hosts.count() <= broadcast_hosts:
         joined = base.join(F.broadcast(hosts), "__host")
     else:
         salted = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = base.withColumn("__salt", F.pmod(F.xxhash64(F.col(url), F.rand(7)), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"]).drop("__salt")
-    verdict = F.coalesce("__fit.verdict", F.when(F.col("reputation") >= threshold, "allow").otherwise("block"))
+    verdict = F.coalesce("__fit.verdict", F.when(F.round("reputation", 9) >= threshold, "allow").otherwise("block"))
     found = joined.withColumn("host", F.col("__host")).withColumn("path", F.col("__path")).withColumn("rule", F.col("__fit.rule")).withColumn("verdict", verdict)
     keep = [c for c in pages.columns if c.lower() not in added]
     return found.select(*keep, *added)

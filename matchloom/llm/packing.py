@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm import tokens
+from matchloom.llm import common, tokens
 from matchloom.session import staged
 
 CAPACITY = 2048
@@ -43,7 +43,7 @@ def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(vocabulary, blank_belongs_to_word=True)
+        encoder = tokens.Encoder(vocabulary, blank_belongs_to_word=True)
         for b in batches:
             keys = b.column(0).to_pylist()
             for i, ids, bounds in tokens.encoded(b.column(1), encoder):
@@ -57,6 +57,8 @@ def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        del encoder
+        common.trim()
 
     found = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>")
     return found if keep_ids else found.drop("ids")

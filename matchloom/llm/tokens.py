@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 from matchloom.llm import common
 
-#: Words whose ids one worker keeps; more than these are encoded again.
+#: Words whose ids one task keeps; more than these are encoded again.
 CACHED_WORDS = 500_000
 #: Bytes of text that are looked up at once, unless one text has more.
 ENCODED_BYTES = 1 << 20
@@ -21,6 +21,15 @@ ENCODED_BYTES = 1 << 20
 JOINED_WORDS = 64
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str):  # noqa: ANN201
+    """The library's tokenizer, read once for each worker; the words of a task go with it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class _Words(dict):
     """From a word to its number; a new word gets the next one and is noted."""
 
@@ -47,10 +56,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, blank_belongs_to_word: bool, cached_words: int = CACHED_WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = loaded(path)
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.added = [t.content for t in added]
         #: Added tokens that the words of a text may not show: they hold a blank, or are looked for in normalised text.
@@ -133,12 +139,6 @@ class Encoder:
         return gathered, common.grouped_sum(length, bounds)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, blank_belongs_to_word: bool) -> Encoder:
-    """The encoder of this worker, which keeps its words from task to task."""
-    return Encoder(path, blank_belongs_to_word)
-
-
 def encoded(texts: pa.Array, encoder: Encoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids of a block of rows, bounds of each row's ids); null counts as empty."""
     _, offsets = common.utf8(texts)

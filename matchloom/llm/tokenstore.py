@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm import tokens
+from matchloom.llm import common, tokens
 from matchloom.session import fresh_path, staged
 
 MAGIC = b"RANKVB1\n"
@@ -97,7 +97,7 @@ def read_blocks(read: Callable[[int], bytes]) -> Iterator[tuple[list[int | None]
 
 def id_type(vocabulary: str) -> str:
     """The numpy type that holds every id of the vocabulary."""
-    return "<u2" if tokens.encoder(vocabulary, False).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    return "<u2" if tokens.loaded(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -105,11 +105,13 @@ def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     kind = id_type(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(vocabulary, blank_belongs_to_word=False)
+        encoder = tokens.Encoder(vocabulary, blank_belongs_to_word=False)
         for b in batches:
             for i, ids, bounds in tokens.encoded(b.column(1), encoder):
                 rows = [np.append(ids[s:e], end_id).astype(kind).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(rows)), pa.array(np.diff(bounds) + 1), pa.array(rows, pa.binary())], names=["doc_id", "n", "ids"])
+        del encoder
+        common.trim()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 

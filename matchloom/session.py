@@ -10,13 +10,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used where the cluster names no shared folder, as in tests on one machine.
+#: Used on one machine only, where no shared folder is named, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/matchloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or a local one where it is unset and all run on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

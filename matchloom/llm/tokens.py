@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -17,6 +18,10 @@ from matchloom.llm import common
 CACHED_WORDS = 500_000
 #: Bytes of text that are looked up at once, unless one text has more.
 ENCODED_BYTES = 1 << 20
+#: Latin letters, digits, signs but the apostrophe (which contractions begin with) and a line's end part where both
+#: vocabularies form pre-tokens; words of other characters, or of several line ends in a row, stay whole.
+PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
+PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]++|[0-9]++|[!-&(-/:-@\[-`{-~]++|(?<!\n)\n(?!\n))++")
 #: New words that the library gets as one text, with an added token between them.
 JOINED_WORDS = 64
 
@@ -68,7 +73,8 @@ class Encoder:
     def _forget(self) -> None:
         self.words = _Words()  # that follow a blank
         self.firsts = _Words()
-        self.tables = {id(self.words): self._table(), id(self.firsts): self._table()}
+        self.pieces = _Words()
+        self.tables = {id(w): self._table() for w in (self.words, self.firsts, self.pieces)}
 
     @staticmethod
     def _table() -> dict[str, np.ndarray]:
@@ -90,6 +96,33 @@ class Encoder:
         ends = np.flatnonzero(ids == self.tokenizer.token_to_id(mark))
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
+    def _piece_ids(self, words: list[str], prefix: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and the number of ids of each, from the ids of their pieces, the first of which has the prefix."""
+        numbers: list[int] = []
+        counts = np.empty(len(words), np.int64)
+        look = self.pieces.__getitem__
+        for k, word in enumerate(words):
+            parts = PIECES.findall(word) if PLAIN.fullmatch(word) else [word]
+            parts[0] = prefix + parts[0]
+            counts[k] = len(parts)
+            numbers += map(look, parts)
+        t = self.tables[id(self.pieces)]
+        if self.pieces.new:
+            ids, lengths = self._ids(self.pieces.new)
+            self._append(t, ids, lengths, np.zeros(len(lengths), np.bool_))
+            self.pieces.new = []
+        number = np.array(numbers, np.int64)
+        start, length = t["start"][number], t["length"][number]
+        ends = np.cumsum(length)
+        gathered = t["ids"][np.repeat(start - (ends - length), length) + np.arange(int(length.sum()))]
+        return gathered, common.grouped_sum(length, np.append(0, np.cumsum(counts)))
+
+    @staticmethod
+    def _append(t: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray, whole: np.ndarray) -> None:
+        start = len(t["ids"]) + np.cumsum(lengths) - lengths
+        for name, more in (("ids", ids), ("start", start), ("length", lengths), ("whole", whole)):
+            t[name] = np.concatenate([t[name], more])
+
     def _learn(self, words: _Words, prefix: str) -> dict[str, np.ndarray]:
         t = self.tables[id(words)]
         if words.new:
@@ -98,11 +131,8 @@ class Encoder:
             every = " ".join(new)
             if self.hidden or any(t in every for t in self.added):
                 whole |= np.fromiter((self.hidden or any(t in w for t in self.added) for w in new), np.bool_, len(new))
-                new = ["" if x else w for w, x in zip(new, whole, strict=True)]  # a text with such a word is encoded as a whole
-            ids, lengths = self._ids([prefix + w for w in new])
-            start = len(t["ids"]) + np.cumsum(lengths) - lengths
-            for name, more in (("ids", ids), ("start", start), ("length", lengths), ("whole", whole)):
-                t[name] = np.concatenate([t[name], more])
+            new = ["" if x else w for w, x in zip(new, whole, strict=True)]  # a text with such a word is encoded as a whole
+            self._append(t, *self._piece_ids(new, prefix), whole)
             words.new = []
         return t
 

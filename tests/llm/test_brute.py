@@ -261,6 +261,21 @@ def test_added_tokens(spark, name, end):
         assert found == {i: (sum(map(len, ids[:i])), len(own), c) for i, (own, c) in enumerate(zip(ids, crcs, strict=True))}
 
 
+@pytest.mark.parametrize(("name", "blank"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_on_odd_texts(name, blank):
+    """The ids of the library for texts of odd white space, signs, contractions, marks, several scripts and added tokens."""
+    import pyarrow as pa
+
+    from matchloom.llm import tokens
+
+    rnd = random.Random(name)
+    signs = list("abAB é'’.,!?-_\n\t019ßÀñ漢́½²ªº<|>~`^{}[]@#$%&*()+=/\\") + ["'s", "'re", "'ll", " ", "  ", "don't", "<|endoftext|>", "\n\n", "\r\n", "İ", "ﬁ", "Σ"]
+    texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(1500)] + ["a" * 3000 + "漢", None, ""]
+    encoder = tokens.Encoder(vocabulary(name), blank, cached_words=2000)
+    found = [ids[a:z].tolist() for _, ids, bounds in tokens.encoded(pa.array(texts), encoder) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert found == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_language_model(spark, docs):
     """Against naive Bayes on counted n-grams; in so many buckets that hardly any two n-grams share one."""
     rnd = random.Random(1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, secrets, substrings, tokenstore, toxicity, urls
+from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, periodic, secrets, substrings, tokenstore, toxicity, urls
 
 
 def vocabulary(name: str) -> str:
@@ -197,6 +197,60 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.node = d.doc_id GR
 """
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The documents of the contract: one in ten repeats, from some word on, the words there. A null id counts as empty text."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    cut = docs.withColumn("__w", F.when(h % 10 == 0, words)).withColumn("__n", F.size("__w")).withColumn("__g", F.floor(h / 10))
+    cut = cut.withColumn("__a", F.when(F.col("__n") > 0, F.col("__g") % F.col("__n")).cast("int"))
+    cut = cut.withColumn("__p", (F.floor((F.col("__n") - F.col("__a")) / (3 + F.col("__g") % 8)) + 1).cast("int"))
+    rest = F.col("__n") - F.col("__a")
+    period = F.array_repeat(F.slice("__w", F.col("__a") + 1, F.col("__p")), F.ceil(rest / F.col("__p")).cast("int"))
+    repeated = F.array_join(F.concat(F.slice("__w", 1, F.col("__a")), F.slice(F.flatten(period), 1, rest)), " ")
+    return cut.withColumn("text", F.when(F.col("__n") > 0, repeated).otherwise(F.col("text"))).select(docs.columns)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(with_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = periodic.best()
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: A run of 24 words and three periods has words in common with itself, a period on, over 16 words or more: equal 16-word grams of a text, in pairs, give all runs.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS chars FROM documents),
+h AS (
+  SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(chars, lambda c: list_transform(range(8), lambda b: (c >> CAST(b AS INTEGER)) & 1)))),
+    lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295) AS h FROM t),
+g AS (SELECT doc_id, w, n, h % 10 = 0 AND n > 0 AS planted, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 16], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(n - 15)) AS i FROM d)),
+pairs AS (
+  SELECT a.doc_id, b.i - a.i AS q, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS island
+  FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + 15 + q AS length FROM pairs GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, s, length, min(q) AS q FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, s, length),
+sums AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256 FROM runs GROUP BY doc_id),
+best AS (SELECT r.* FROM runs r LEFT JOIN runs o ON o.doc_id = r.doc_id AND (o.length * r.q > r.length * o.q OR (o.length * r.q = r.length * o.q AND (o.s, o.q) < (r.s, r.q))) WHERE o.doc_id IS NULL),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT * FROM words ANTI JOIN dropped USING (doc_id, i)) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, length, q AS period, 1000 * length // q AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -208,6 +262,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -215,4 +270,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": op3_sql(),
     "op9_secret_scan": op9_sql(),
     "op10_ngram_jaccard": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
 }

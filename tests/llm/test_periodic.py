@@ -60,7 +60,7 @@ def test_every_run(spark, texts, least, exponent):
 
 
 def test_best_run(spark):
-    rows = [(1, [(5, 30, 7), (0, 60, 14), (40, 30, 7)]), (2, []), (3, [(0, 30, 10), (3, 31, 10)])]
+    rows = [(1, [(0, 60, 14), (5, 30, 7), (40, 30, 7)]), (2, []), (3, [(0, 30, 10), (3, 31, 10)])]
     docs = spark.createDataFrame(rows, "i long, runs array<struct<start:long,length:long,period:long>>")
     found = {r["i"]: r["b"] and tuple(r["b"]) for r in docs.select("i", periodic.best().alias("b")).collect()}
     assert found == {1: (0, 60, 14), 2: None, 3: (3, 31, 10)}

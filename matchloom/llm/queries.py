@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, periodic, secrets, substrings, tokenstore, toxicity, urls
+from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, periodic, phrases, secrets, substrings, tokenstore, toxicity, urls
 
 
 def vocabulary(name: str) -> str:
@@ -251,6 +251,34 @@ FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kep
 """
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(common.table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+grams AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, range(1, 5) s(size))),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, c.a, x.f AS l, y.f AS r, k, CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c)) GROUP BY 1, 2),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 80 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -263,6 +291,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_mining": op12_phrase_mining,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -271,4 +300,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_secret_scan": op9_sql(),
     "op10_ngram_jaccard": OP10_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op12_phrase_mining": OP12_SQL,
 }

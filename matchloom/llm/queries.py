@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, packing, periodic, phrases, secrets, substrings, tokenstore, toxicity, urls
+from matchloom.llm import common, decontaminate, jaccard, jpeg, langid, mixing, packing, periodic, phrases, secrets, substrings, tokenstore, toxicity, urls
 
 
 def vocabulary(name: str) -> str:
@@ -279,6 +279,11 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHE
 """
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mixed(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -292,6 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {

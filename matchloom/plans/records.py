@@ -221,13 +221,33 @@ def pair_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("module", "code", "direction", "status").agg(F.count("*").alias("n"))
 
 
-@bank.add()
+LCS = """list_last(list_reduce(list_prepend(list_transform(range(length(b) + 1), lambda z: CAST(0 AS BIGINT)), list_transform(range(1, length(a) + 1), lambda k: [CAST(unicode(a[k]) AS BIGINT)])),
+    lambda p, c: list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, length(b) + 1), lambda k: [CAST(k AS BIGINT)])),
+      lambda n, j: list_append(n, CASE WHEN unicode(b[j[1]]) = c[1] THEN p[j[1]] + 1 ELSE greatest(p[j[1] + 1], n[len(n)]) END))))"""
+INDEL = f"CASE WHEN length(a) + length(b) = 0 THEN 100.0 ELSE 200.0 * {LCS} / (length(a) + length(b)) END"
+
+MATCH = f"""k AS (SELECT DISTINCT o.text AS a, i.text AS b FROM r o JOIN r i ON o.g = i.g AND o.direction = 'Output' AND i.direction = 'Input'), sc AS (SELECT a, b, {INDEL} AS s FROM k),
+    e AS (SELECT o.g, o.id AS o, i.id AS i, s, row_number() OVER (PARTITION BY o.g ORDER BY s DESC, o.ord DESC, o.id DESC, i.ord DESC, i.id DESC) AS k FROM r o JOIN r i ON o.g = i.g AND o.direction = 'Output' AND i.direction = 'Input' JOIN sc ON a = o.text AND b = i.text WHERE s >= 60),
+    t AS (SELECT g, k, o, i, s, [o, i] AS used FROM e WHERE k = 1
+      UNION ALL SELECT g, k, o, i, s, used FROM (SELECT e.g, e.k, e.o, e.i, e.s, t.used || [e.o, e.i] AS used, row_number() OVER (PARTITION BY e.g ORDER BY e.k) AS turn FROM t JOIN e ON e.g = t.g AND e.k > t.k AND NOT list_contains(t.used, e.o) AND NOT list_contains(t.used, e.i)) WHERE turn = 1),
+    p AS (SELECT o AS id, i AS partner, s FROM t UNION ALL SELECT i, o, s FROM t) SELECT r.id, partner, round(s, 6) AS score FROM r LEFT JOIN p USING (id)"""
+
+
+@bank.add(
+    f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_linestatus ORDER BY l_extendedprice, l_suppkey, l_shipdate) AS turn FROM lineitem),
+    q AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_linestatus || '-' || turn AS id, l_orderkey || '/' || l_partkey % 3 AS g, CASE l_linestatus WHEN 'O' THEN 'Output' ELSE 'Input' END AS direction, l_partkey AS ord,
+      array_to_string(list_sort(string_split(p_name || ' ' || p_type, ' ')), ' ') AS text FROM l JOIN part ON p_partkey = l_partkey),
+    n AS (SELECT *, count(*) FILTER (direction = 'Input') OVER w AS n_in, count(*) FILTER (direction = 'Output') OVER w AS n_out FROM q WINDOW w AS (PARTITION BY g)), r AS (SELECT id, g, direction, ord, text FROM n WHERE n_in > 0 AND n_out > 0 AND n_in + n_out > 2), {MATCH}"""
+)
 def pair_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ambiguous groups of an order's lines, matched by the similarity of part names."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    r = records(spark, sf_dir).join(part, "l_partkey").select("id", F.col("l_orderkey").alias("module"), (F.col("l_partkey") % 3).alias("code"), F.when(F.col("l_linestatus") == "O", "Output").otherwise("Input").alias("direction"), "text", F.col("id").alias("ord"))
+    own = ["l_orderkey", "l_linenumber", "l_partkey", "l_linestatus"]
+    turn = F.row_number().over(W.partitionBy(*own).orderBy("l_extendedprice", "l_suppkey", "l_shipdate"))
+    r = table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", *own, turn.cast("string"))).join(part, "l_partkey")
+    r = r.select("id", F.col("l_orderkey").alias("module"), (F.col("l_partkey") % 3).alias("code"), F.when(F.col("l_linestatus") == "O", "Output").otherwise("Input").alias("direction"), "text", F.col("l_partkey").alias("ord"))
     ambiguous = resolve.pair_one_to_one(r, ["module", "code"]).where("status = 'ambiguous'")
-    return resolve.pair_greedy(ambiguous, ["module", "code"])
+    return resolve.pair_greedy(ambiguous, ["module", "code"]).withColumn("score", F.round("score", 6))
 
 
 @bank.add(

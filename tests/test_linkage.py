@@ -89,19 +89,37 @@ def test_pair_greedy(spark):
     assert found == {1: 3, 3: 1, 2: None, 4: None}
 
 
-@pytest.mark.parametrize("kept", [1, 3, 32])
-def test_greedy_matching_with_ties(kept):
+def sequential(rows, minimum):
+    """The pairs of (id, key, side, text, ord) by the sequential rule."""
+    ins, outs = ([r for r in rows if r[2] == side] for side in ("Input", "Output"))
+    near = [(similarity.sorted_tokens(o[3] or "", i[3] or ""), (o[4], o[0]), (i[4], i[0])) for o in outs for i in ins if o[1] == i[1]]
+    used, wanted = set(), {}
+    for s, o, i in sorted(near, reverse=True):
+        if s >= minimum and o[1] not in used and i[1] not in used:
+            used |= {o[1], i[1]}
+            wanted |= {o[1]: (i[1], s), i[1]: (o[1], s)}
+    return {r[0]: wanted.get(r[0], (None, None)) for r in rows}
+
+
+def test_greedy_matching_with_ties(spark):
+    """Many small keys, one of many rows and few texts, and one of many texts."""
     rnd = random.Random(11)
-    for n in range(60):
-        texts = [rnd.choice([None, "", " ".join(rnd.choices(["AB", "AC", "BC", "ABC", "D"], k=rnd.randint(1, 3)))]) for _ in range(rnd.randint(2, 30))]
-        sides = [rnd.choice(["Input", "Output"]) for _ in texts]
-        ins, outs = ([r for r, d in enumerate(sides) if d == side] for side in ("Input", "Output"))
-        used, wanted = set(), set()
-        for s, o, i in sorted(((similarity.sorted_tokens(texts[o] or "", texts[i] or ""), o, i) for o in outs for i in ins), reverse=True):
-            if s >= 60 and o not in used and i not in used:
-                used |= {o, i}
-                wanted.add((i, o, s))
-        assert set(resolve.matched(texts, sides, 60.0, kept)) == wanted
+    words = ["AB", "AC", "BC", "ABC", "D", "DA"]
+    rows = []
+    for key in [*range(60), None]:
+        for _ in range(rnd.randint(2, 20)):
+            rows.append((len(rows), key, rnd.choice(["Input", "Output", "Output", "InputOutput"]), rnd.choice([None, "", " ".join(rnd.choices(words, k=rnd.randint(1, 3)))]), rnd.randint(0, 9)))
+    for _ in range(400):
+        rows.append((len(rows), 777, rnd.choice(["Input", "Output"]), " ".join(rnd.choices(words[:3], k=2)), rnd.randint(0, 300)))
+    for _ in range(150):
+        rows.append((len(rows), 778, rnd.choice(["Input", "Output"]), "".join(rnd.choices("ABCD", k=rnd.randint(4, 9))), 0))
+    frame = spark.createDataFrame(rows, "id long, module long, direction string, text string, ord int").repartition(3)
+    found = resolve.pair_greedy(frame, ["module"]).collect()
+    assert len(found) == len(rows) and {r["id"]: (r["partner"], r["score"]) for r in found} == sequential(rows, 60.0)
+
+
+def test_greedy_matching_of_no_rows(spark):
+    assert not resolve.pair_greedy(spark.createDataFrame([], "id long, module long, direction string, text string, ord int"), ["module"]).collect()
 
 
 def test_pair_greedy_of_a_large_group(spark):

@@ -309,7 +309,10 @@ def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     inner = inner.select("lang", F.array_join(F.slice("w", F.col("at"), F.col("m")), " ").alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     left = lowest.join(inner, ["lang", "phrase"], "left")
     left = left.where(F.coalesce(F.col("longer").cast("decimal(19,0)") * 100 < F.col("a").cast("decimal(19,0)") * percent, F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each share of a language first, so that no task meets more than SALTS * top of them
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    best = left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top).drop("share", "rank")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     words = found.where("size = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -7,8 +7,7 @@ code, ...); results (id, code, score, ord, rank), ranked by score, then by ord.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import similarity
+from matchloom.operators.fuzzy import Index
 
 #: Catalogue rows (or posting rows) up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
@@ -154,26 +154,23 @@ def centroid_affinity(signals: DataFrame, catalogue: DataFrame) -> DataFrame:
 def fuzzy(signals: DataFrame, catalogue: DataFrame, k: int = 5, boost: float = 0.25, limit: int = FUZZY_ROWS) -> DataFrame:
     """Token set similarity of every different text to every catalogue row, plus ``boost`` if the code is a token; 1 at most.
 
-    The catalogue is compared whole, in blocks of about ``limit`` rows.
+    The catalogue is searched whole, in blocks of about ``limit`` rows, through an index that leaves out what cannot be among the best.
     """
-    texts = signals.select("text").distinct()
-    found = _merged([_fuzzy_block(texts, part, k, boost) for part in _in_blocks(catalogue, limit)], k)
-    return signals.select("id", "text").join(found.withColumnRenamed("id", "text"), "text").select("id", "code", "score", "ord", "rank")
+    asked = signals.select("id", F.coalesce("text", F.lit("")).alias("text"))  # null and empty texts find the first rows, with score 0
+    found = _merged([_fuzzy_block(asked.select("text").distinct(), part, k, boost) for part in _in_blocks(catalogue, limit)], k)
+    return asked.join(found.withColumnRenamed("id", "text"), "text").select("id", "code", "score", "ord", "rank")
 
 
 def _fuzzy_block(texts: DataFrame, catalogue: DataFrame, k: int, boost: float) -> DataFrame:
-    """The same for a block; a text is its own id."""
+    """The same for a block; a text is its own id. Each task builds the index of the block once."""
     held = catalogue.select("ord", "code", "text").orderBy("ord").toPandas()  # a block
     shared = texts.sparkSession.sparkContext.broadcast(list(held.itertuples(index=False, name=None)))
 
     @F.pandas_udf("array<struct<ord:long,code:string,score:double>>")
-    def search(said: pd.Series) -> pd.Series:
-        out = []
-        for text in said:
-            own = set((text or "").split())
-            scored = [(-min(1.0, similarity.token_sets(text or "", body or "") / 100 + boost * (code in own)), o, code) for o, code, body in shared.value]
-            out.append([{"ord": int(o), "code": code, "score": -s} for s, o, code in heapq.nsmallest(k, scored)])
-        return pd.Series(out)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(shared.value)
+        for said in batches:
+            yield pd.Series([[{"ord": o, "code": c, "score": s} for s, o, c in index.search(text, k, boost)] for text in said])
 
     found = texts.select(F.col("text").alias("id"), F.posexplode(search("text")).alias("rank", "hit"))
     return found.select("id", "hit.code", "hit.score", "hit.ord", (F.col("rank") + 1).alias("rank"))

@@ -9,7 +9,7 @@ from matchloom.functions import tables as t
 from matchloom.functions import text as x
 from matchloom.operators import analytics, candidates, expand, rules
 from matchloom.plans import ranking, signals
-from matchloom.plans.registry import Bank, table
+from matchloom.plans.registry import Bank, indel_sql, table
 
 bank = Bank()
 
@@ -100,7 +100,12 @@ def qualifier_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.qualifier_taxonomy(ties, _TAGS)
 
 
-@bank.add()
+@bank.add(
+    f"""WITH {signals.SIGNALS}, e AS (SELECT DISTINCT s.id, c.code FROM (SELECT id, unnest(regexp_split_to_array(upper(text), '\\s+')) AS token FROM sig) s JOIN (SELECT DISTINCT upper(code) AS code FROM cat) c ON c.code = s.token),
+    t AS (SELECT DISTINCT upper(text) AS said, array_to_string(list_sort(list_filter(regexp_split_to_array(upper(text), '\\s+'), lambda w: w <> '')), ' ') AS a FROM sig), d AS (SELECT upper(code) AS code, array_to_string(list_sort(list_filter(regexp_split_to_array(upper(description), '\\s+'), lambda w: w <> '')), ' ') AS b FROM cat),
+    n AS (SELECT said, code, a, b FROM t, d WHERE a <> '' AND b <> '' AND 100 * levenshtein(a, b) <= 10 * (length(a) + length(b))), f AS (SELECT DISTINCT said, code FROM n WHERE {indel_sql("a", "b")} > 90)
+    SELECT id, code, 'exact' AS how FROM e UNION ALL SELECT s.id, f.code, 'text' FROM sig s JOIN f ON f.said = upper(s.text) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = s.id AND e.code = f.code)"""
+)
 def catalogue_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals that name a code of the catalogue or nearly spell its description."""
     return analytics.catalogue_probe(signals.signals(spark, sf_dir), signals.catalogue(spark).select("code", F.col("description").alias("text")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text as x
 from matchloom.operators import analytics, calibrate, candidates, expand, route, rules
-from matchloom.plans.registry import Bank, table
+from matchloom.plans.registry import Bank, indel_sql, table
 
 bank = Bank()
 
@@ -173,12 +173,24 @@ def char_ngram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.tfidf(signals.select("id", grams.alias("terms")), names.select("ord", "code", grams.alias("terms"))).withColumn("score", F.round("score", 6))
 
 
-@bank.add()
+@bank.add(
+    f"""WITH c AS (SELECT min(p_partkey) AS ord, p_name AS code, list_distinct(string_split(p_name, ' ')) AS y FROM part GROUP BY p_name),
+    s AS (SELECT min(p_partkey) AS id, list_distinct(string_split(text, ' ')) AS x FROM (SELECT p_partkey, concat_ws(' ', lower(p_type), reverse(p_name), p_name) AS text FROM part) GROUP BY text),
+    w AS (SELECT id, ord, code, x, list_sort(list_intersect(x, y)) AS k, list_sort(list_filter(x, lambda v: NOT list_contains(y, v))) AS l, list_sort(list_filter(y, lambda v: NOT list_contains(x, v))) AS r FROM s, c),
+    j AS (SELECT *, array_to_string(k, ' ') AS base, array_to_string(k || l, ' ') AS one, array_to_string(k || r, ' ') AS two FROM w),
+    t AS (SELECT id, ord, code, CASE WHEN len(k) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 100.0
+      ELSE greatest({indel_sql("one", "two")}, CASE WHEN len(k) > 0 THEN 200.0 * length(base) / (length(base) + least(length(one), length(two))) ELSE 0 END) END / 100 + CASE WHEN list_contains(x, code) THEN 0.25 ELSE 0 END AS score FROM j)
+    SELECT id, code, round(least(1.0, score), 6) AS score, ord, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(least(1.0, score), 9) DESC, ord) AS rank FROM t) WHERE rank <= 5"""
+)
 def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.fuzzy(_labels(spark, sf_dir), _names(spark, sf_dir))
+    return candidates.fuzzy(_labels(spark, sf_dir), _names(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@bank.add()
+@bank.add(
+    f"""WITH v AS (SELECT DISTINCT unnest(string_split(upper(p_name), ' ')) AS term FROM part), t AS (SELECT DISTINCT left(term, 2) || substr(term, 4) AS token FROM v WHERE length(term) > 4),
+    k AS (SELECT token, term, {indel_sql("token", "term")} AS s FROM t JOIN v ON abs(length(token) - length(term)) <= 1 WHERE length(token) > 3 AND NOT regexp_matches(token, '[0-9]') AND token NOT IN (SELECT term FROM v))
+    SELECT token, term FROM k WHERE s >= 85 QUALIFY row_number() OVER (PARTITION BY token ORDER BY s DESC, term) = 1"""
+)
 def typo_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misspelt words of part names (a letter is missing) repaired from the vocabulary of all part names."""
     part = table(spark, sf_dir, "part")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text as x
 from matchloom.operators import discover, gates, project, resolve, structure
-from matchloom.plans.registry import Bank, table
+from matchloom.plans.registry import Bank, indel_sql, table
 
 bank = Bank()
 
@@ -221,12 +221,7 @@ def pair_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("module", "code", "direction", "status").agg(F.count("*").alias("n"))
 
 
-LCS = """list_last(list_reduce(list_prepend(list_transform(range(length(b) + 1), lambda z: CAST(0 AS BIGINT)), list_transform(range(1, length(a) + 1), lambda k: [CAST(unicode(a[k]) AS BIGINT)])),
-    lambda p, c: list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, length(b) + 1), lambda k: [CAST(k AS BIGINT)])),
-      lambda n, j: list_append(n, CASE WHEN unicode(b[j[1]]) = c[1] THEN p[j[1]] + 1 ELSE greatest(p[j[1] + 1], n[len(n)]) END))))"""
-INDEL = f"CASE WHEN length(a) + length(b) = 0 THEN 100.0 ELSE 200.0 * {LCS} / (length(a) + length(b)) END"
-
-MATCH = f"""k AS (SELECT DISTINCT o.text AS a, i.text AS b FROM r o JOIN r i ON o.g = i.g AND o.direction = 'Output' AND i.direction = 'Input'), sc AS (SELECT a, b, {INDEL} AS s FROM k),
+MATCH = f"""k AS (SELECT DISTINCT o.text AS a, i.text AS b FROM r o JOIN r i ON o.g = i.g AND o.direction = 'Output' AND i.direction = 'Input'), sc AS (SELECT a, b, {indel_sql("a", "b")} AS s FROM k),
     e AS (SELECT o.g, o.id AS o, i.id AS i, s, row_number() OVER (PARTITION BY o.g ORDER BY s DESC, o.ord DESC, o.id DESC, i.ord DESC, i.id DESC) AS k FROM r o JOIN r i ON o.g = i.g AND o.direction = 'Output' AND i.direction = 'Input' JOIN sc ON a = o.text AND b = i.text WHERE s >= 60),
     t AS (SELECT g, k, o, i, s, [o, i] AS used FROM e WHERE k = 1
       UNION ALL SELECT g, k, o, i, s, used FROM (SELECT e.g, e.k, e.o, e.i, e.s, t.used || [e.o, e.i] AS used, row_number() OVER (PARTITION BY e.g ORDER BY e.k) AS turn FROM t JOIN e ON e.g = t.g AND e.k > t.k AND NOT list_contains(t.used, e.o) AND NOT list_contains(t.used, e.i)) WHERE turn = 1),

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import analytics, review
 from matchloom.plans import ranking
-from matchloom.plans.registry import Bank, table
+from matchloom.plans.registry import Bank, indel_sql, table
 
 bank = Bank()
 
+#: crc32 of each part name, bit by bit.
+CRC_OF_NAMES = """names AS (SELECT DISTINCT p_name, list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT)) AS chars FROM part),
+    crc AS (SELECT p_name, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(chars, lambda c: list_transform(range(8), lambda b: (c >> CAST(b AS INTEGER)) & 1)))),
+      lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295) AS h FROM names)"""
+
 TWO = f"WITH {ranking.BM25}, {ranking.TFIDF}"
 
 
@@ -158,7 +163,12 @@ def variant_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.variants(texts, cat).withColumn("share", F.round("share", 6))
 
 
-@bank.add()
+@bank.add(
+    f"""WITH {CRC_OF_NAMES}, p AS (SELECT p_name AS code, p_type AS text, p_partkey AS ord, h % 4 = 0 AS missing, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS form FROM part JOIN crc USING (p_name)),
+    u AS (SELECT code, form, count(*) AS n, arg_min(text, ord) AS example FROM p WHERE missing GROUP BY ALL), c AS (SELECT DISTINCT code AS known, form AS k FROM p WHERE NOT missing),
+    m AS (SELECT code, known, s FROM (SELECT code, known, {indel_sql("form", "k")} AS s FROM u, c) WHERE s >= 75 QUALIFY row_number() OVER (PARTITION BY code ORDER BY s DESC, known) = 1)
+    SELECT code, n, example, known AS nearest FROM u LEFT JOIN m USING (code)"""
+)
 def unknown_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names that the catalogue lacks (every fourth), with the most similar name it has."""
     part = table(spark, sf_dir, "part").select(F.col("p_name").alias("code"), F.col("p_type").alias("text"), F.col("p_partkey").alias("ord"))

@@ -1,7 +1,7 @@
 """Candidate generation: top-k joins of signals against a catalogue.
 
-Signals may be of any number; the catalogue is small, and is broadcast only if
-its size, which is checked, allows it. Frames: signals (id, ...), catalogue (ord,
+Signals may be of any number. What is derived from a catalogue is staged once, so that its size is known
+when a join is planned; other sides are broadcast only if a count allows it. Frames: signals (id, ...), catalogue (ord,
 code, ...); results (id, code, score, ord, rank), ranked by score, then by ord.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity
 from matchloom.operators.fuzzy import Index
+from matchloom.session import staged
 
 #: Catalogue rows (or posting rows) up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
@@ -65,23 +66,25 @@ def bm25(signals: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
     totals = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    postings = tf.join(df, "term").join(size, "ord").crossJoin(F.broadcast(totals)).select("term", "ord", "code", weight.alias("weight"))
+    postings = staged(tf.join(df, "term").join(size, "ord").crossJoin(F.broadcast(totals)).select("term", "ord", "code", weight.alias("weight")), "postings")
     query = signals.select("id", F.explode(F.array_distinct("terms")).alias("term"))
-    scored = query.join(small(postings), "term").groupBy("id", "ord", "code").agg(F.round(F.sum("weight"), 9).alias("score"))
+    scored = query.join(postings, "term").groupBy("id", "ord", "code").agg(F.round(F.sum("weight"), 9).alias("score"))
     return top(scored.where("score > 0"), k)
 
 
 def tfidf(signals: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
     """Cosine of smooth tf-idf vectors; signals without a common term get no candidate."""
     n = catalogue.agg(F.count("*").alias("n"))  # one row
-    tf = _terms(catalogue, "ord", "terms").groupBy("ord", "term").agg(F.count("*").alias("tf"))
+    tf = staged(_terms(catalogue, "ord", "terms").groupBy("ord", "term").agg(F.count("*").alias("tf")), "terms")
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(small(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    idf = staged(idf, "idf")
+    weighted = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     postings = weighted.join(norm, "ord").join(catalogue.select("ord", "code"), "ord").select("term", "ord", "code", (F.col("w") / F.col("norm")).alias("w"))
-    query = _terms(signals, "id", "terms").groupBy("id", "term").agg(F.count("*").alias("tf")).join(small(idf), "term").withColumn("q", F.col("tf") * F.col("idf"))
+    postings = staged(postings, "postings")
+    query = _terms(signals, "id", "terms").groupBy("id", "term").agg(F.count("*").alias("tf")).join(idf, "term").withColumn("q", F.col("tf") * F.col("idf"))
     query_norm = query.groupBy("id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
-    dots = query.join(small(postings), "term").groupBy("id", "ord", "code").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
+    dots = query.join(postings, "term").groupBy("id", "ord", "code").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
     return top(dots.join(query_norm, "id").select("id", "ord", "code", F.round(F.col("dot") / F.col("norm"), 9).alias("score")), k)
 
 

@@ -17,7 +17,7 @@ from matchloom.llm import common
 #: Words whose ids one task keeps; more than these are encoded again.
 CACHED_WORDS = 500_000
 #: Bytes of text that are looked up at once, unless one text has more.
-ENCODED_BYTES = 1 << 20
+ENCODED_BYTES = 4 << 20
 #: Latin letters, digits, signs but the apostrophe (which contractions begin with) and a line's end part where both
 #: vocabularies form pre-tokens; words of other characters, or of several line ends in a row, stay whole.
 PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
@@ -67,9 +67,14 @@ class Encoder:
         #: Added tokens that the words of a text may not show: they hold a blank, or are looked for in normalised text.
         self.hidden = any(t.normalized or " " in t.content for t in added)
         self.prefix = " " if blank_belongs_to_word else ""
+        #: Whether the vocabulary lower-cases words anyway, so that pieces differing in case alone have the same ids.
+        self.lower = "A" != self._normalised("A") == "a"
         self.limit = cached_words
         self._forget()
 
+    def _normalised(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
     def _forget(self) -> None:
         self.words = _Words()  # that follow a blank
         self.firsts = _Words()
@@ -101,8 +106,13 @@ class Encoder:
         numbers: list[int] = []
         counts = np.empty(len(words), np.int64)
         look = self.pieces.__getitem__
+        lower = str.lower if self.lower else str
         for k, word in enumerate(words):
-            parts = PIECES.findall(word) if PLAIN.fullmatch(word) else [word]
+            if word.isalpha() and word.isascii():
+                counts[k] = 1
+                numbers.append(look(prefix + lower(word)))
+                continue
+            parts = list(map(lower, PIECES.findall(word))) if PLAIN.fullmatch(word) else [word]
             parts[0] = prefix + parts[0]
             counts[k] = len(parts)
             numbers += map(look, parts)

@@ -101,11 +101,20 @@ def join_codes(text: Column) -> Column:
     return F.regexp_replace(once, r"\b(\d{2,3}) ([A-Z])\b", "$1$2")
 
 
+def canonical_words(text: Column) -> Column:
+    """The words of a description before typos are repaired."""
+    return expand_abbreviations(without_stopwords(tokens(separators_to_blanks(open_parentheses(fold(text))))))
+
+
+def canonical_of(words: Column) -> Column:
+    """The canonical token string of such words, repaired or not."""
+    kept = canonical_units(without_boilerplate(tokens(without_ids(F.array_join(words, " "))[0])))
+    return join_codes(compact_stages(F.array_join(kept, " ")))
+
+
 def canonical(text: Column) -> Column:
-    """The canonical token string of a description (without typo repair)."""
-    words = expand_abbreviations(without_stopwords(tokens(separators_to_blanks(open_parentheses(fold(text))))))
-    words = canonical_units(without_boilerplate(tokens(without_ids(F.array_join(words, " "))[0])))
-    return join_codes(compact_stages(F.array_join(words, " ")))
+    """The canonical token string of a description; `candidates.canonical` repairs typos as well."""
+    return canonical_of(canonical_words(text))
 
 
 # --- context that is read from the raw text -------------------------------------------------------------

@@ -11,6 +11,7 @@ from matchloom.functions import tables as t
 from matchloom.functions import text as x
 from matchloom.functions.similarity import indel_ratio
 from matchloom.operators.candidates import small
+from matchloom.session import staged
 
 #: Ranges of x into which points are dealt before their frontier is sought.
 RANGES = 200
@@ -47,13 +48,24 @@ def accuracy(ranked: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(scored: DataFrame, pcts: list[float], gaps: list[float]) -> DataFrame:
-    """(pct, gap, category or null for all, n, decided, precision) over a grid; scored (category, top, gap, correct)."""
+    """(t_pct, t_gap, category or null for all, n, decided, precision) over a grid; scored (category, top, gap, correct).
+
+    Rows are counted once, by how many thresholds of either kind they reach; the grid is summed from these counts, so its size does not matter to the pass over the rows.
+    """
     spark = scored.sparkSession
-    grid = spark.createDataFrame([(p, g) for p in pcts for g in gaps], "t_pct double, t_gap double")
-    crossed = scored.crossJoin(F.broadcast(grid))  # the grid is given
-    ok = (F.col("top") >= F.col("t_pct")) & (F.col("gap") >= F.col("t_gap"))
-    sets = crossed.groupingSets([["t_pct", "t_gap", "category"], ["t_pct", "t_gap"]], "t_pct", "t_gap", "category")
-    return sets.agg(F.count("*").alias("n"), F.count_if(ok).alias("decided"), F.try_divide(F.count_if(ok & F.col("correct")), F.count_if(ok)).alias("precision"))
+    pcts, gaps = sorted(set(pcts)), sorted(set(gaps))
+    reached = lambda column, limits: sum((F.coalesce(F.col(column) >= v, F.lit(False)).cast("int") for v in limits), F.lit(0))
+    counted = scored.groupBy("category", reached("top", pcts).alias("i"), reached("gap", gaps).alias("j")).agg(F.count("*").alias("n"), F.count_if("correct").alias("good"))
+    counted = staged(counted, "sweep-counts")
+    sets = lambda rows, *keys: rows.groupingSets([[*keys, F.col("category")], [*keys]], *keys, "category")
+    steps = counted.withColumn("p", F.explode(F.sequence(F.lit(1), F.greatest("i", F.lit(1))))).withColumn("q", F.explode(F.sequence(F.lit(1), F.greatest("j", F.lit(1))))).where("p <= i and q <= j")
+    held = sets(steps, F.col("p"), F.col("q")).agg(F.sum("n").alias("decided"), F.sum("good").alias("good"), F.grouping("category").alias("every"))
+    total = sets(counted).agg(F.sum("n").alias("n"), F.grouping("category").alias("every"))
+    grid = spark.createDataFrame([(i, j, p, g) for i, p in enumerate(pcts, 1) for j, g in enumerate(gaps, 1)], "p int, q int, t_pct double, t_gap double")
+    asked = total.crossJoin(F.broadcast(grid))  # one row for each category and place of the given grid
+    both = asked.join(held, (asked["p"] == held["p"]) & (asked["q"] == held["q"]) & asked["category"].eqNullSafe(held["category"]) & (asked["every"] == held["every"]), "left")
+    decided = F.coalesce(held["decided"], F.lit(0))
+    return both.select("t_pct", "t_gap", asked["category"], asked["n"], decided.alias("decided"), F.try_divide(held["good"], held["decided"]).alias("precision"))
 
 
 def weight_simplex(step: int = 20) -> list[tuple[float, float, float]]:
@@ -62,12 +74,17 @@ def weight_simplex(step: int = 20) -> list[tuple[float, float, float]]:
 
 
 def simplex_search(candidates: DataFrame, expected: DataFrame, triples: list[tuple[float, float, float]]) -> DataFrame:
-    """(a, b, c, accuracy): the share of ids whose best weighted code is the expected one; candidates (id, code, s1, s2, s3), a few for each id."""
-    grid = candidates.sparkSession.createDataFrame(triples, "a double, b double, c double")
+    """(a, b, c, accuracy): the share of ids whose best weighted code is the expected one; candidates (id, code, s1, s2, s3), a few for each id.
+
+    All triples are tried within the row of an id; what leaves it is one flag for each.
+    """
+    grid = candidates.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(triples)], "at int, a double, b double, c double")
     offered = candidates.groupBy("id").agg(F.collect_list(F.struct("code", "s1", "s2", "s3")).alias("offered"))
-    asked = offered.join(expected.select("id", F.col("code").alias("wanted")), "id").crossJoin(F.broadcast(grid))  # the grid is given
-    best = F.array_min(F.transform("offered", lambda o: F.struct((-F.round(F.col("a") * o["s1"] + F.col("b") * o["s2"] + F.col("c") * o["s3"], 9)).alias("s"), o["code"].alias("code"))))
-    return asked.groupBy("a", "b", "c").agg(F.avg((best["code"] == F.col("wanted")).cast("double")).alias("accuracy"))
+    asked = offered.join(expected.select("id", F.col("code").alias("wanted")), "id")
+    weights = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in triples))
+    best = lambda w: F.array_min(F.transform("offered", lambda o: F.struct((-F.round(w["a"] * o["s1"] + w["b"] * o["s2"] + w["c"] * o["s3"], 9)).alias("s"), o["code"].alias("code"))))
+    hits = asked.select(F.posexplode(F.transform(weights, lambda w: (best(w)["code"] == F.col("wanted")).cast("double"))).alias("at", "hit"))
+    return hits.groupBy("at").agg(F.avg("hit").alias("accuracy")).join(F.broadcast(grid), "at").select("a", "b", "c", "accuracy")
 
 
 def pareto(points: DataFrame, x: str, y: str, ranges: int = RANGES) -> DataFrame:
@@ -297,8 +314,9 @@ def rewritten(catalogue: DataFrame, names: dict[str, str], suffixes: dict[str, s
     base, suffix = F.regexp_extract("code", r"^(\d{2})", 1), F.regexp_extract("code", r"^\d{2}\d*(.*)$", 1)
     name = x.lookup(base, names)
     told = F.concat(base, F.lit(" - "), name, F.when(suffix != "", F.concat(F.lit(" ("), x.lookup(suffix, suffixes, suffix), F.lit(")"))).otherwise(""))
-    w = Window.partitionBy(base).orderBy("ord")
-    return catalogue.withColumn("description", F.when(name.isNotNull(), told)).withColumn("first", name.isNotNull() & (F.row_number().over(w) == 1))
+    first = catalogue.groupBy(base.alias("__base")).agg(F.min("ord").alias("__first"))  # one row for each two digits
+    held = catalogue.withColumn("__base", base).join(F.broadcast(first), "__base")
+    return held.withColumn("description", F.when(name.isNotNull(), told)).withColumn("first", name.isNotNull() & (F.col("ord") == F.col("__first"))).drop("__base", "__first")
 
 
 def patched(catalogue: DataFrame, changes: DataFrame, added: DataFrame, field: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import similarity
+from matchloom.functions import text as x
 from matchloom.operators.fuzzy import Index
 from matchloom.session import staged
 
@@ -201,6 +202,22 @@ def repaired(words: DataFrame, vocabulary: DataFrame, minimum: float = 85.0) ->
     return scored.groupBy("token").agg(F.min_by("term", F.struct(-F.col("s"), F.col("term"))).alias("term"))
 
 
+def canonical(rows: DataFrame, terms: DataFrame, minimum: float = 85.0, text: str = "text", key: str = "id") -> DataFrame:
+    """``rows`` with ``canonical``: the canonical form of ``text``, typos repaired from ``terms`` (term).
+
+    The different words of all rows are repaired once; rows take the repairs back by word. ``key`` must be unique. A null or an empty text has an empty form.
+    """
+    said = staged(rows.select(F.col(key).alias("__key"), x.canonical_words(F.col(text)).alias("__words")), "words")
+    each = said.select("__key", F.posexplode("__words").alias("at", "token"))
+    mended = staged(repaired(each.select("token"), terms, minimum), "repairs")
+    # only rows with a repaired word change; a frequent word is mostly a known one, which needs no repair
+    fixed = each.join(mended, "token").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("at", "term"))).alias("__fixed"))
+    both = said.join(fixed, "__key", "left")
+    words = F.when(F.col("__fixed").isNull(), F.col("__words")).otherwise(F.transform("__words", lambda w, i: F.coalesce(F.try_element_at("__fixed", i), w)))
+    forms = both.select("__key", x.canonical_of(words).alias("canonical"))
+    return rows.join(forms, rows[key].eqNullSafe(forms["__key"]), "left").drop("__key")
+
+
 # --- texts and vectors of a catalogue ---------------------------------------------------------------------
 
 

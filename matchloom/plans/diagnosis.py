@@ -64,11 +64,13 @@ def anchor_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bank.add(
-    f"""WITH {signals.SIGNALS}, k AS (SELECT code_family AS family, code, coalesce(code_state, 'none') AS state FROM cat WHERE code_family IS NOT NULL AND code <> code_family)
+    """WITH k AS (SELECT p_type AS family, p_brand AS code, CASE p_size % 4 WHEN 0 THEN 'POSICAO' WHEN 1 THEN 'EVENTO' ELSE 'none' END AS state FROM part)
     SELECT family, state, array_to_string(list_sort(list(DISTINCT code)), ',') AS codes FROM k WHERE family IN (SELECT family FROM k GROUP BY family HAVING count(DISTINCT code) >= 2) GROUP BY family, state"""
 )
 def family_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analytics.family_partition(signals.catalogue(spark).withColumn("family", F.col("code_family")))
+    """Brands as the variants of a part's type, by the state that a size stands for."""
+    state = F.when(F.col("p_size") % 4 == 0, "POSICAO").when(F.col("p_size") % 4 == 1, "EVENTO")
+    found = analytics.family_partition(table(spark, sf_dir, "part").select(F.col("p_type").alias("family"), F.col("p_brand").alias("code"), state.alias("code_state")))
     return found.withColumn("codes", F.array_join("codes", ","))
 
 
@@ -171,12 +173,13 @@ SUFFIXES = {"N": "NEUTRO", "A": "FASE A", "F1": "FASE, ESTAGIO 1"}
 
 
 @bank.add(
-    rf"""WITH {signals.SIGNALS}, k AS (SELECT ord, code, regexp_extract(code, '^(\d{{2}})', 1) AS base, regexp_extract(code, '^\d{{2}}\d*(.*)$', 1) AS suffix FROM cat), n AS (SELECT *, {_map(NUMBERS, "base")} AS name FROM k)
+    rf"""WITH c AS (SELECT p_partkey AS ord, {signals._pick(tuple(c[0] for c in signals.CODES), "p_partkey")} AS code FROM part), k AS (SELECT ord, code, regexp_extract(code, '^(\d{{2}})', 1) AS base, regexp_extract(code, '^\d{{2}}\d*(.*)$', 1) AS suffix FROM c), n AS (SELECT *, {_map(NUMBERS, "base")} AS name FROM k)
     SELECT ord, code, base || ' - ' || name || CASE WHEN suffix <> '' THEN ' (' || coalesce({_map(SUFFIXES, "suffix")}, suffix) || ')' ELSE '' END AS description, name IS NOT NULL AND row_number() OVER (PARTITION BY base ORDER BY ord) = 1 AS first FROM n"""
 )
 def number_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptions from the number and suffix of each code; the first row of each number is marked."""
-    return analytics.rewritten(signals.catalogue(spark).select("ord", "code"), NUMBERS, SUFFIXES).select("ord", "code", "description", "first")
+    """Descriptions from the number and suffix of each part's code; the first row of each number is marked."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), signals.pick(tuple(c[0] for c in signals.CODES), "p_partkey").alias("code"))
+    return analytics.rewritten(rows, NUMBERS, SUFFIXES).select("ord", "code", "description", "first")
 
 
 @bank.add(
@@ -240,14 +243,18 @@ def two_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUNCTIONS = ("LIGADO;DESLIGADO", "ATUADO", "HABILITADO;BLOQUEADO", "LOCAL;REMOTO", None)
 
 
+_MAPPINGS = (signals.CODES[0][2], signals.CODES[16][2], None, signals.CODES[30][2], "DIG___LOCAL@REMOTO__4", "X")
+
+
 @bank.add(
-    f"""WITH {signals.SIGNALS}, k AS (SELECT code, mm, code_state AS b, {signals._pick(_FUNCTIONS, "ord")} AS states FROM cat),
-    m AS (SELECT code, b, {signals.the_one(f"list_filter(list_transform(string_split(states, ';'), lambda w: {signals.state_sql('trim(upper(w))')}), lambda v: v IS NOT NULL)")} AS a FROM k)
+    f"""WITH c AS (SELECT p_partkey AS code, {signals._pick(_FUNCTIONS, "p_partkey")} AS states, {signals._pick(_MAPPINGS, "p_size")} AS mm FROM part),
+    m AS (SELECT code, {signals.the_one(f"list_filter(list_transform(string_split(states, ';'), lambda w: {signals.state_sql('trim(upper(w))')}), lambda v: v IS NOT NULL)")} AS a, CASE WHEN mm IS NOT NULL THEN {signals.the_one(signals.MAPPED)} END AS b FROM c)
     SELECT code, a AS function_state, b AS mapping_state FROM m WHERE a <> b"""
 )
 def function_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes whose function and message mapping name different state classes."""
-    return analytics.function_divergence(signals.catalogue(spark).withColumn("states", signals.pick(_FUNCTIONS, "ord")))
+    """Parts whose function and message mapping name different state classes."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), signals.pick(_FUNCTIONS, "p_partkey").alias("states"), signals.pick(_MAPPINGS, "p_size").alias("mm"))
+    return analytics.function_divergence(rows)
 
 
 def state_of(spark: SparkSession) -> DataFrame:

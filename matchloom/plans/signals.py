@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import tables as t
 from matchloom.functions import text as x
-from matchloom.operators import analytics, candidates, funnel, rules
+from matchloom.operators import analytics, candidates, funnel, report, rules
 from matchloom.operators.candidates import small
 from matchloom.plans import ranking
 from matchloom.plans.registry import Bank, table
@@ -387,3 +387,41 @@ def dual_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     affinity = rows.select("id", (F.col("id") % 2 == 0).cast("int").alias("a"), F.lit(0).alias("b"))
     tied = affinity.withColumn("a", F.when(F.col("a") == 1, 1.0).otherwise(0.0)).withColumn("b", F.lit(0.0))
     return funnel.dual(rows.withColumn("category", pick(CATEGORIES, "id")), bundles, tied, SETTINGS)
+
+
+def _polarity_sql(word: str) -> str:
+    return f"CASE {' '.join(f"WHEN starts_with({word}, '{p}') THEN " + (f"'{polarity}'" if polarity else "NULL") for p, _, polarity in t.STATES)} END"
+
+
+_SEMANTIC = f"concat_ws('/', {TEXT_STATE}, CASE WHEN ({TEXT_STATE}) = 'POSICAO' THEN {the_one(f'list_filter(list_transform(tokens, lambda w: {_polarity_sql("w")}), lambda s: s IS NOT NULL)')} END)"
+_THREE = "coalesce(format('{{:.3f}}', round({0}, 3)), '')"
+
+
+def _audit_sql() -> str:
+    at = lambda k, c: f"coalesce(max(CASE WHEN aq.k = {k} THEN aq.{c} END), '')"
+    score = lambda k, c: f"coalesce(max(CASE WHEN aq.k = {k} THEN {_THREE.format(f'aq.{c}')} END), '')"
+    columns = ", ".join(f"{at(k, 'code')} AS c{k}, {score(k, 'bm')} AS t{k}, {score(k, 'ti')} AS v{k}" for k in (1, 2, 3))
+    shown = ", ".join(f"coalesce(c{k}, '') AS \"Candidato {k}\", coalesce(t{k}, '') AS \"Score tfidf {k}\", coalesce(v{k}, '') AS \"Score vetorial {k}\", '' AS \"Score fuzzy {k}\"" for k in (1, 2, 3))
+    return f"""WITH {funnel_sql()},
+    aq AS (SELECT r.id, r.k, r.code, r.moved, bm.score AS bm, ti.score AS ti FROM ranked r LEFT JOIN bm ON bm.id = r.id AND bm.code = r.code LEFT JOIN ti ON ti.id = r.id AND ti.code = r.code WHERE r.k <= 3),
+    aw AS (SELECT id, {columns}, max(CASE WHEN aq.k = 1 THEN moved END) AS top FROM aq GROUP BY id)
+    SELECT d.id, 'S' || (d.id % 7) || ':' || d.id AS "ID Sinal", CASE WHEN d.code IS NOT NULL AND regexp_matches(s.text, '^[A-Z0-9_/-]+$') THEN d.code ELSE s.text END AS "Descrição Bruta", 'Discrete' || coalesce('/' || s.direction, '') AS "Tipo", CAST(d.id * 2 AS VARCHAR) AS "Endereço", CASE WHEN reason = 'decided' THEN 'decided' ELSE 'review' END AS "Status",
+      coalesce(d.code, '') AS "Sigla Decidida", {_THREE.format("aw.top")} AS "Score Final", CASE WHEN reason = 'decided' THEN '' ELSE reason END AS "Motivo Revisão", {shown}, 'S' || (d.id % 7) AS "Sheet Origem", s.text AS "Desc Normalizada",
+      array_to_string(s.tokens, ' ') AS "Desc Canônica", coalesce(s.family, '') AS "Equip Alvo (N0)", '' AS "Nome Equip", '' AS "Barra", coalesce(s.phase, '') AS "Fase", (SELECT {_SEMANTIC.replace("tokens", "s.tokens")}) AS "Estado Semântico", d.rules AS "Regras Aplicadas",
+      {_THREE.format("d.gap")} AS "Gap", CASE WHEN d.gap IS NULL THEN '' ELSE '0.080' END AS "Gap Exigido", coalesce(stage, '') AS "Etapa Decisora", CAST(d.id * 2 AS VARCHAR) AS "Endereço Bruto"
+    FROM decided d JOIN sig s USING (id) LEFT JOIN aw USING (id)"""
+
+
+@bank.add(_audit_sql())
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 33 columns of the audit report for every signal."""
+    rows, cat = signals(spark, sf_dir), catalogue(spark)
+    given = scored(rows, cat)
+    decisions, offered_codes = funnel.decide(rows, cat, given, SETTINGS)
+    none, own = F.lit(None).cast("string"), F.array(F.col("id") * 2)
+    told = rows.select(
+        "id", F.concat(F.lit("S"), F.col("id") % 7, F.lit(":"), "id").alias("label"), "text", F.col("text").alias("normalised"), F.array_join("tokens", " ").alias("canonical"), F.lit("Discrete").alias("category"), "direction",
+        own.alias("addresses"), own.alias("raw_addresses"), "family", none.alias("device"), none.alias("bus"), "phase",
+    )
+    names = F.when(F.col("method") == "lexical", "tfidf").otherwise("vetorial")
+    return report.audit(told, decisions, offered_codes.where("not lost and not outside"), given.withColumn("method", names), SETTINGS.gap)

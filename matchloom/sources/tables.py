@@ -190,9 +190,15 @@ def relative(path: str, base: str) -> str:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of text files; a line's number is its place in the file's partition order."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("line_no"))
-    return rows.select("file", "line_no", "value")
+    """(file, line_no, value) of text files; ``line_no`` grows with the place of a line in its file.
+
+    It is the offset of the line's split in the file and the lines before it there. A split's lines are read in order, and
+    each has a byte at least, so numbers of different lines of a file differ whatever tasks read them.
+    """
+    rows = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value", F.monotonically_increasing_id().alias("at"))
+    own = Window.partitionBy("file_path", "file_block_start")
+    line = F.col("file_block_start") + F.col("at") - F.min("at").over(own)
+    return rows.select(F.col("file_path").alias("file"), line.alias("line_no"), "value")
 
 
 def flag(value: Column) -> Column:

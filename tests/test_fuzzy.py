@@ -54,3 +54,18 @@ def test_blocks_of_a_catalogue(spark):
         for i, text in said:
             own = sorted((r["rank"], r["ord"]) for r in found if r["id"] == i)
             assert own == [(k, o) for k, (_, o, _) in enumerate(nested_loop(rows, text, 4), 1)]
+
+
+def test_canonical_form_with_repairs(spark):
+    """A misspelt description has the form, and so the candidates, of the right one."""
+    right = ["Disjuntor 52-1 aberto", "Seccionadora com defeito", "Transformador de corrente", "Relé 67 N 1 atuado", "DISJUNTR", "", None]
+    wrong = ["Disjuntro 52-1 aberto", "Secionadora com defeito", "Transfromador de corrente", "Relé 67 N 1 atuado", "XYZWQ", "", None]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(right, wrong, strict=True))], "id long, good string, bad string")
+    terms = candidates.vocabulary(spark.createDataFrame([("DISJUNTOR ABERTO SECCIONADORA DEFEITO",), ("TRANSFORMADOR CORRENTE RELE ATUADO",)], "text string"))
+    found = {r["id"]: r for r in candidates.canonical(candidates.canonical(rows, terms, text="good").withColumnRenamed("canonical", "g"), terms, text="bad").collect()}
+    assert len(found) == 7
+    for i in (0, 1, 2, 3):
+        assert found[i]["g"] == found[i]["canonical"] and found[i]["g"]
+    assert found[4]["g"] == "DISJUNTOR" and found[4]["canonical"] == "XYZWQ"
+    assert found[5]["canonical"] == "" and found[6]["canonical"] == ""
+    assert "TRANSFORMADOR" in found[2]["canonical"] and "bad" in found[2].asDict()

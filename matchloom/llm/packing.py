@@ -43,7 +43,7 @@ def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(vocabulary, blank_belongs_to_word=True)
+        encoder = tokens.Encoder(vocabulary)
         for b in batches:
             keys = b.column(0).to_pylist()
             for i, ids, bounds in tokens.encoded(b.column(1), encoder):

@@ -105,7 +105,7 @@ def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     kind = id_type(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(vocabulary, blank_belongs_to_word=False)
+        encoder = tokens.Encoder(vocabulary)
         for b in batches:
             for i, ids, bounds in tokens.encoded(b.column(1), encoder):
                 rows = [np.append(ids[s:e], end_id).astype(kind).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]

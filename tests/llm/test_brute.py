@@ -281,7 +281,7 @@ def test_encoder_on_odd_texts(name, blank):
     rnd = random.Random(name)
     signs = list("abAB é'’.,!?-_\n\t019ßÀñ漢́½²ªº<|>~`^{}[]@#$%&*()+=/\\") + ["'s", "'re", "'ll", " ", "  ", "don't", "<|endoftext|>", "\n\n", "\r\n", "İ", "ﬁ", "Σ"]
     texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(1500)] + ["a" * 3000 + "漢", None, ""]
-    encoder = tokens.Encoder(vocabulary(name), blank, cached_words=2000)
+    encoder = tokens.Encoder(vocabulary(name), cached_words=2000)
     found = [ids[a:z].tolist() for _, ids, bounds in tokens.encoded(pa.array(texts), encoder) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
     assert found == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 

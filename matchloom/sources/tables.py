@@ -5,6 +5,8 @@ from __future__ import annotations
 import tomllib
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def descriptions(read: Callable[[], DataFrame]) -> dict[str, str]:
     """Code to description of a small catalogue that ``read`` gives as sheets, the last row of a code; empty if it can't be read."""
     try:
         found = last_of(catalogue(read()).where(F.col("text").isNotNull()).select("ord", "code", "text"), "code", "text").collect()  # a catalogue's rows
-    except Exception:  # whatever is wrong with the file, the texts of the rows themselves do
+    except (PySparkException, Py4JJavaError, ValueError, OSError):  # no such file, another format, no such columns: the texts of the rows themselves do
         return {}
     return {r["code"]: r["text"] for r in found}
 
@@ -119,12 +121,12 @@ def load_or_build(spark: SparkSession, folder: str, key: str, build: Callable[[]
         held = spark.read.parquet(path)
         held.limit(1).count()
         return held
-    except Exception:  # missing, broken or of another format: build it again
+    except (PySparkException, Py4JJavaError):  # missing, broken or of another format: build it again
         made = build()
     try:
         made.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
-    except Exception:  # a cache that can't be written is no reason to fail
+    except (PySparkException, Py4JJavaError):  # a cache that can't be written is no reason to fail
         return made
 
 

@@ -116,7 +116,7 @@ def test_templates():
         project.fits_template(Frame, ["B"] * 43, "Discrete")
     assert project.fits_template(Frame, ["A"] + [None] * 42, "Discrete")[0] == "A"
     assert [len(c) for c in (project.DISCRETE_COLUMNS, project.ANALOG_COLUMNS, project.DISCRETE_ANALOG_COLUMNS)] == [21, 17, 16]
-    assert project.file_name("TDT", None, "20260101") == "TDT_20260101.xlsx" and project.file_name("TDT", "S", "20260101", 2) == "TDT_S_20260101_v2.xlsx"
+    assert project.file_name("OUT", None, "20260101") == "OUT_20260101.xlsx" and project.file_name("OUT", "S", "20260101", 2) == "OUT_S_20260101_v2.xlsx"
 
 
 def test_review(spark):

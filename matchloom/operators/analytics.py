@@ -133,6 +133,28 @@ def calibration_error(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))) / F.sum("n")).alias("ece"))
 
 
+def divergences(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str = "code") -> DataFrame:
+    """(*keys, ours, theirs): the keys that both have with different values; a missing value differs from any other."""
+    both = ours.select(*keys, F.col(value).alias("ours")).join(theirs.select(*keys, F.col(value).alias("theirs")), keys)
+    return both.where(~F.col("ours").eqNullSafe(F.col("theirs")))
+
+
+def tie_taxonomy(rows: DataFrame, close: float, digits: int = 3) -> DataFrame:
+    """(kind, n, mean_gap): why the two best candidates of rows (gap, first, second, first_text, second_text) are close.
+
+    ``clear`` is a gap of ``close`` or more; else two codes of one description, of one family (the same leading number) or of others; ``alone`` has no second.
+    """
+    family = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"^(\d{2})", 1)
+    kind = (
+        F.when(F.col("second").isNull(), "alone")
+        .when(F.col("gap") >= close, "clear")
+        .when(F.col("first_text").eqNullSafe(F.col("second_text")), "same_description")
+        .when((family(F.col("first")) != "") & (family(F.col("first")) == family(F.col("second"))), "same_family")
+        .otherwise("other_family")
+    )
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("gap"), digits).alias("mean_gap"))
+
+
 def gap_histogram(rows: DataFrame, digits: int = 3) -> DataFrame:
     """(gap, n, same): rounded gaps, and how many have the same description twice; rows (gap, same)."""
     return rows.groupBy(F.round("gap", digits).alias("gap")).agg(F.count("*").alias("n"), F.count_if("same").alias("same"))

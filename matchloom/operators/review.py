@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as x
@@ -39,6 +40,26 @@ def valid_address(value: Column) -> Column:
     return value.try_cast("int").between(0, 65535)
 
 
+def validated(edits: DataFrame, checks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``edits`` with ``valid``: whether the check of its field holds for the value. A field without a check is not editable; a check that is null fails, and null as a value clears the field."""
+    ok = F.when(F.lit(False), False)
+    for field, check in checks.items():
+        ok = ok.when(F.col("field") == field, F.col("value").isNull() | F.coalesce(check(F.col("value")), F.lit(False)))
+    return edits.withColumn("valid", F.coalesce(ok.otherwise(False), F.lit(False)))
+
+
+def edited_if_valid(rows: DataFrame, edits: DataFrame, checks: dict[str, Callable[[Column], Column]], key: str = "id", before: int | None = None) -> DataFrame:
+    """``rows`` with the last valid value of each field that has a check; an invalid edit leaves what was there before it."""
+    return edited(rows, validated(edits, checks).where("valid").drop("valid"), list(checks), key, before)
+
+
+def ranges(places: DataFrame, by: str, place: str) -> DataFrame:
+    """(by, first, last, n): runs of consecutive places of each group; a place that occurs twice counts once."""
+    different = places.select(by, F.col(place).alias("at")).where("at is not null").distinct()
+    run = F.col("at") - F.row_number().over(Window.partitionBy(by).orderBy("at"))
+    return different.withColumn("run", run).groupBy(by, "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).drop("run")
+
+
 def removed(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(ids.select(key), key, "left_anti")
 

@@ -309,6 +309,46 @@ def gate_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.type_gate(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", F.col("l_returnflag") == "N").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "reason")
 
 
+_KINDS, _GATED = ("Status", "Local", None, "Custom", "Alarm"), ("43LR", "43TC", "86", "27")
+
+
+@bank.add(
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 50 * 10 + l_partkey % 10 AS device, CASE WHEN l_linestatus = 'O' THEN 'Discrete' ELSE 'Analog' END AS category, (['Status', 'Local', NULL, 'Custom', 'Alarm'])[CAST(l_orderkey % 5 AS INTEGER) + 1] AS kind,
+      ({list(_GATED)})[CAST(l_partkey % 4 AS INTEGER) + 1] AS code, l_returnflag = 'R' AS protection FROM lineitem),
+    k AS (SELECT *, coalesce(kind, 'Custom') <> 'Custom' AND code <> '43LR' AND NOT protection AND category = 'Discrete' AS due FROM r)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN due AND count(*) FILTER (due) OVER (PARTITION BY device, coalesce(kind, 'Custom')) > 1 THEN 'duplicate_type' END AS reason FROM k"""
+)
+def gate_discrete_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices with one type of discrete signal twice; 43LR, Custom and protection signals may repeat."""
+    at = lambda values, c: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col(c) % len(values) + 1).cast("int"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").select(
+        *keys, (F.col("l_suppkey") % 50 * 10 + F.col("l_partkey") % 10).alias("device"), F.when(F.col("l_linestatus") == "O", "Discrete").otherwise("Analog").alias("category"),
+        at(_KINDS, "l_orderkey").alias("signal_type"), at(_GATED, "l_partkey").alias("code"), (F.col("l_returnflag") == "R").alias("protection"),
+    )
+    return gates.discrete_type_gate(rows).select(*keys, "reason")
+
+
+@bank.add(
+    """WITH r AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE o_orderpriority END AS name, CASE WHEN o_orderkey % 50 = 0 THEN 'X_CMD' ELSE o_orderstatus END AS code, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || o_orderkey % 7 END AS mm FROM orders)
+    SELECT 'repeated_id' AS check, count(*) AS n FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'outside_domain', count(*) FROM r WHERE mm NOT IN (SELECT 'F' || n_nationkey FROM nation)
+    UNION ALL SELECT 'nameless', count(*) FROM r WHERE trim(name) = '' UNION ALL SELECT 'bare_command', count(*) FROM r WHERE ends_with(code, '_CMD')"""
+)
+def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many output rows break each rule of acceptance."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("id"), F.lit("Discrete").alias("table"), F.when(k % 97 == 0, " ").otherwise(F.col("o_orderpriority")).alias("name"), F.when(k % 50 == 0, "X_CMD").otherwise(F.col("o_orderstatus")).alias("code"),
+        F.when(k % 3 == 0, F.concat("o_orderstatus", (k % 7).cast("string"))).alias("mm"),
+    )
+    return gates.acceptance(rows, table(spark, sf_dir, "nation").select(F.concat(F.lit("F"), F.col("n_nationkey").cast("string")).alias("value")))
+
+
+@bank.add("SELECT l_linestatus AS table, l_returnflag AS datatype, CAST(l_linenumber AS VARCHAR) AS direction, count(*) AS n FROM lineitem GROUP BY ALL")
+def output_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.shapes(table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("table"), F.col("l_returnflag").alias("datatype"), F.col("l_linenumber").cast("string").alias("direction")))
+
+
 @bank.add("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def companion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.without_companion(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "P", "F")

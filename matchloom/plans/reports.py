@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.functions.tables import PHASE_CODES
 from matchloom.operators import analytics, review
 from matchloom.plans import ranking
 from matchloom.plans.registry import Bank, indel_sql, table
@@ -77,6 +78,16 @@ def gold_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.compare(lines.groupBy(*keys).agg(F.min("l_returnflag").alias("code")), lines.groupBy(*keys).agg(F.max("l_returnflag").alias("code")), keys)
 
 
+@bank.add(
+    """WITH a AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS ours, max(l_returnflag) AS theirs FROM lineitem GROUP BY 1, 2)
+    SELECT * FROM a WHERE ours <> theirs"""
+)
+def gold_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber"]
+    lines = table(spark, sf_dir, "lineitem")
+    return analytics.divergences(lines.groupBy(*keys).agg(F.min("l_returnflag").alias("code")), lines.groupBy(*keys).agg(F.max("l_returnflag").alias("code")), keys)
+
+
 @bank.add("SELECT c_custkey AS k, c_mktsegment AS expected, s AS code, coalesce(s = c_mktsegment, false) AS passed FROM customer LEFT JOIN (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS s FROM supplier) ON s_suppkey = c_custkey")
 def locked_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("expected"))
@@ -106,6 +117,23 @@ def gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.gap_histogram(table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 0.1).alias("gap"), (F.col("l_returnflag") == "A").alias("same")))
 
 
+_TIES = ("50N", "50A1", "27", "59", "IA")
+
+
+@bank.add(
+    f"""WITH r AS (SELECT round(l_discount * 0.1, 3) AS gap, ({list(_TIES)})[CAST(l_partkey % 5 AS INTEGER) + 1] AS a, CASE WHEN l_linenumber <> 7 THEN ({list(_TIES)})[CAST(l_suppkey % 5 AS INTEGER) + 1] END AS b, l_returnflag AS x, l_linestatus AS y FROM lineitem),
+    k AS (SELECT gap, CASE WHEN b IS NULL THEN 'alone' WHEN gap >= 0.005 THEN 'clear' WHEN x = y THEN 'same_description' WHEN regexp_extract(a, '^[0-9][0-9]') <> '' AND regexp_extract(a, '^[0-9][0-9]') = regexp_extract(b, '^[0-9][0-9]') THEN 'same_family' ELSE 'other_family' END AS kind FROM r)
+    SELECT kind, count(*) AS n, round(avg(gap), 3) AS mean_gap FROM k GROUP BY kind"""
+)
+def tie_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the best two codes of a line are close."""
+    at = lambda c: F.element_at(F.array(*map(F.lit, _TIES)), (F.col(c) % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.round(F.col("l_discount") * 0.1, 3).alias("gap"), at("l_partkey").alias("first"), F.when(F.col("l_linenumber") != 7, at("l_suppkey")).alias("second"), F.col("l_returnflag").alias("first_text"), F.col("l_linestatus").alias("second_text")
+    )
+    return analytics.tie_taxonomy(rows, 0.005)
+
+
 @bank.add("SELECT c_mktsegment AS real, CASE WHEN s_nationkey IS NOT NULL THEN CAST(s_nationkey % 3 AS VARCHAR) END AS ours, count(*) AS n FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey GROUP BY ALL")
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
@@ -218,6 +246,31 @@ def undo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.edited(rows, edits, ["status", "code"], before=500)
 
 
+@bank.add(
+    """WITH e AS (SELECT event_id AS version, user_id * 7 AS id, CASE event_type WHEN 'click' THEN 'phase' WHEN 'view' THEN 'address' ELSE 'owner' END AS field, CASE event_type WHEN 'click' THEN (['A', 'ABC', 'Q', NULL])[CAST(event_id % 4 AS INTEGER) + 1] WHEN 'view' THEN CASE WHEN event_id % 5 = 0 THEN 'x' ELSE CAST(event_id * 37 % 90000 AS VARCHAR) END ELSE event_type END AS value FROM events),
+    g AS (SELECT * FROM e WHERE (field = 'phase' AND (value IS NULL OR value IN ('ABC', 'AB', 'BC', 'AC', 'A', 'B', 'C', 'N'))) OR (field = 'address' AND TRY_CAST(value AS INTEGER) BETWEEN 0 AND 65535)),
+    l AS (SELECT id, field, arg_max([value], version)[1] AS value FROM g GROUP BY ALL)
+    SELECT o_orderkey AS id, CASE WHEN a.id IS NOT NULL THEN a.value ELSE 'N' END AS phase, CASE WHEN b.id IS NOT NULL THEN CAST(b.value AS BIGINT) ELSE o_custkey END AS address FROM orders LEFT JOIN l a ON a.id = o_orderkey AND a.field = 'phase' LEFT JOIN l b ON b.id = o_orderkey AND b.field = 'address'"""
+)
+def checked_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of phases and addresses; those that are no phase or no address change nothing."""
+    kind, k = F.col("event_type"), F.col("event_id")
+    phase = F.element_at(F.array(*(F.lit(v).cast("string") for v in ("A", "ABC", "Q", None))), (k % 4).cast("int") + 1)
+    value = F.when(kind == "click", phase).when(kind == "view", F.when(k % 5 == 0, "x").otherwise((k * 37 % 90000).cast("string"))).otherwise(kind)
+    edits = table(spark, sf_dir, "events").select(k.alias("version"), (F.col("user_id") * 7).alias("id"), F.when(kind == "click", "phase").when(kind == "view", "address").otherwise("owner").alias("field"), value.alias("value"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("N").alias("phase"), F.col("o_custkey").alias("address"))
+    return review.edited_if_valid(rows, edits, {"phase": lambda v: v.isin(*PHASE_CODES), "address": review.valid_address})
+
+
+@bank.add(
+    """WITH d AS (SELECT DISTINCT l_orderkey AS g, l_linenumber AS p FROM lineitem), r AS (SELECT *, p - row_number() OVER (PARTITION BY g ORDER BY p) AS run FROM d)
+    SELECT g AS l_orderkey, min(p) AS first, max(p) AS last, count(*) AS n FROM r GROUP BY g, run"""
+)
+def row_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of consecutive line numbers of each order, as a table's rows are removed."""
+    return review.ranges(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
 @bank.add("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' AND o_totalprice >= 250000 THEN 'T' || o_custkey ELSE NULL END AS code, CASE WHEN o_orderstatus = 'F' OR o_totalprice >= 250000 THEN 'decided' ELSE 'review' END AS status FROM orders")
 def auto_approve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("code"), F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("top_code"), F.col("o_totalprice").alias("top_score"), F.when(F.col("o_orderstatus") == "F", "decided").otherwise("review").alias("status"))

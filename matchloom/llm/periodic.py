@@ -275,7 +275,13 @@ def runs(docs: DataFrame, text: str = "text", min_length: int = 24, min_exponent
         bounds = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
         return [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.ListArray.from_arrays(bounds, structs), pa.array(texts, pa.binary()).cast(pa.string())]
 
-    return common.with_columns_by_batch(docs, [text], [("n_words", T.LongType()), ("runs", T.ArrayType(RUN, False)), ("collapsed", T.StringType())], of_batch)
+    # columns go through the map under plain names: a name with a dot would not
+    adds = [("n_words", T.LongType()), ("runs", T.ArrayType(RUN, False)), ("collapsed", T.StringType())]
+    keep = [c for c in docs.columns if c.lower() not in {name for name, _ in adds}]
+    said = f"c{keep.index(text)}" if text in keep else "said"
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), *([] if text in keep else [F.col(f"`{text}`").alias(said)]))
+    found = common.with_columns_by_batch(plain, [said], adds, of_batch)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *(name for name, _ in adds))
 
 
 def best(found: str = "runs") -> F.Column:

@@ -8,7 +8,7 @@ from matchloom import session
 
 
 def test_staged_tables_are_cleared(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(session, "LOCAL_SHARED", str(tmp_path))
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
     held = session.staged(spark.range(5), "five")
     assert held.count() == 5 and [p.name for p in tmp_path.iterdir()] == [f"matchloom-{spark.sparkContext.applicationId}"]
     assert list(Path(session.own_dir(spark)).iterdir())

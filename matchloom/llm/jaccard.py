@@ -19,9 +19,9 @@ enough grows with the logarithm of the number of sets.
 * Signatures only propose. The sets that have one are joined to the smallest of
   them (never to each other): a star of each set that is the smallest of some
   signature. Any two similar sets are in a common star, so each star is verified
-  on its own, and nothing is chained before it is verified. Signatures are
-  combined within each block of documents before the shuffle, so a signature
-  that a third of all documents has sends one row for each block.
+  on its own, and nothing is chained before it is verified. Every signature goes
+  to its bucket with its set: combined before, within a block of documents, the
+  sets of a block would only meet the smallest of that block.
 * Stars of more than ``GROUP_FEATURES`` features sign again, under another hash
   and within the star, which deals them to smaller stars.
 * Each link is verified on the sets themselves, in a task for each star. Within
@@ -130,8 +130,8 @@ def signatures(features: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
     return np.concatenate(out)
 
 
-def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once with the smallest of its nodes, and the distinct pairs of another node of a key and that smallest."""
+def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a node of a key and the smallest node of that key."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     head = np.ones(len(key), np.bool_)
@@ -139,10 +139,10 @@ def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     least = node[head][np.cumsum(head) - 1]
     differs = node != least
     pairs = np.unique(np.stack([node[differs], least[differs]]), axis=1)
-    return key[head], node[head], pairs[0], pairs[1]
+    return pairs[0], pairs[1]
 
 
-def _sliced(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> dict[int, list[bytes]]:
+def _sliced(bucket: np.ndarray, *columns: np.ndarray) -> dict[int, list[bytes]]:
     """The bytes of the columns' rows for each bucket that has any."""
     order = np.argsort(bucket, kind="stable")
     found, at = np.unique(bucket[order], return_index=True)
@@ -156,7 +156,7 @@ def candidate_edges(sets: DataFrame, n_sets: int, total: int, percent: int, n: i
     n2, k2 = enumeration(percent, n_sets)
     per_feature = 4 * len(list(combinations(range(n2), k2))) * (100 - percent) / ((k2 + 1) * (100 + percent))
     n_buckets = max(64, int(total * per_feature) // BUCKET_SIGNATURES)
-    kinds = (pa.int32(), *[pa.binary()] * 4)
+    kinds = (pa.int32(), pa.binary(), pa.binary())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, n2, k2)
@@ -176,22 +176,18 @@ def candidate_edges(sets: DataFrame, n_sets: int, total: int, percent: int, n: i
         common.trim()
 
     def packed(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        key, least, a, b = stars(sig, node)
-        own = _sliced(((key >> U64(20)) % U64(n_buckets)).astype(np.int64), n_buckets, key, least)
-        ride = _sliced((common.mix64(a.view(np.uint64)) % U64(n_buckets)).astype(np.int64), n_buckets, a, b)  # links within the block ride along
-        rows = [(k, *own.get(k, (b"", b"")), *ride.get(k, (b"", b""))) for k in own.keys() | ride.keys()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "sigs", "nodes", "a", "b"])
+        rows = [(k, *own) for k, own in _sliced(((sig >> U64(20)) % U64(n_buckets)).astype(np.int64), sig, node).items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "sigs", "nodes"])
 
     def link(table: pa.Table) -> pa.Table:
         def numbers(name: str, kind: type) -> np.ndarray:
             return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-        _, _, a, b = stars(numbers("sigs", np.uint64), numbers("nodes", np.int64))
-        pairs = np.unique(np.stack([np.append(a, numbers("a", np.int64)), np.append(b, numbers("b", np.int64))]), axis=1)
+        a, b = stars(numbers("sigs", np.uint64), numbers("nodes", np.int64))
         common.trim()
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        return pa.table({"a": a, "b": b})
 
-    signed = sets.select("id", "component", "text").mapInArrow(sign, "bucket int, sigs binary, nodes binary, a binary, b binary")
+    signed = sets.select("id", "component", "text").mapInArrow(sign, "bucket int, sigs binary, nodes binary")
     return signed.groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
 
 

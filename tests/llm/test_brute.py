@@ -310,3 +310,22 @@ def test_language_model(spark, docs):
     assert small.languages == ["xx", "yy"] and small.prior[0] > small.prior[1]
     kept = hot.where(F.pmod(F.xxhash64("doc_id"), F.lit(langid.SHARES)) < langid.share_of(330, 10)).where("lang = 'xx'").count()
     assert 1 <= kept <= 30 and langid.share_of(10**13, 20_000) > 10**6 and langid.share_of(5, 10) == langid.SHARES
+
+
+def test_every_similar_pair_shares_a_star(spark):
+    """A set whose signatures a smaller set of its own block has as well still meets a smaller one of another block."""
+    rnd = random.Random(5)
+    texts, near = {}, {}
+    for k in range(150):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        texts[300 + 2 * k + 1] = " ".join(words)
+        texts[300 + 2 * k] = " ".join([*words[:-1], "end"])  # comes first in the block of the one above
+        texts[k] = " ".join([*words[:30], "mid", *words[31:]])
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(58)} for i, t in texts.items()}
+    frame = spark.createDataFrame(sorted(texts.items()), "id long, text string").withColumn("component", F.lit(0).cast("long"))
+    for a, b in jaccard.candidate_edges(frame, len(texts), sum(map(len, sets.values())), 90, 3).collect():
+        near.setdefault(b, {b}).add(a)
+    shared = {pair for star in near.values() for pair in combinations(sorted(star), 2)}
+    links = [(k, 300 + 2 * k + 1) for k in range(150)]
+    assert all(100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for a, b in links)
+    assert not [pair for pair in links if pair not in shared]

@@ -17,6 +17,8 @@ SYNONYMS = {"FALHA": "DEFEITO", "DEFEITO": "FALHA", "LIGADO": "FECHADO", "DESLIG
 DEVICES = ("52-1", "52-10", "89-3", "24-1", "TR1")
 SUFFIXES = ("ATUADO", "NORMAL", "LIGADO", "DESLIGADO")
 LEVELS = 5
+#: Variants that a task makes, about.
+TASK_ROWS = 10_000
 
 
 def number(*parts: Column | str | int) -> Column:
@@ -92,6 +94,9 @@ def dataset(pairs: DataFrame, variants: int = 3, seed: int = 0) -> DataFrame:
     rows = pairs.select("code", F.array_join(x.tokens(F.col("text")), " ").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("variant"))
     rows = rows.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS))))
     rows = rows.withColumn("__key", F.concat_ws("|", "code", F.col("level").cast("string"), F.col("variant").cast("string"), F.lit(str(seed))))
+    # a catalogue is a small file and its variants cost time, not space: without this one task makes them all
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)
+    rows = rows.repartition(tasks, "__key")
     for n, changes in CLASSES.items():
         for k, change in enumerate(changes):
             rows = rows.withColumn("text", F.when(F.col("level") >= n, change(F.col("text"), F.col("__key"), f"{n}.{k}")).otherwise(F.col("text")))

@@ -172,3 +172,25 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tables.lines_of(spark, str(tmp_path / "log.txt")).count() == 4
     export = spark.createDataFrame([("S", 4, ["Code", "Addr"]), ("S", 5, ["A", "1;2"]), ("S", 6, ["B", "2"])], "sheet string, row_no long, cells array<string>")
     assert {r["address"]: r["code"] for r in tables.export_values(export, "code", "addr").collect()} == {1: "A", 2: "B"}
+
+
+@pytest.mark.parametrize("method", [candidates.bm25, candidates.tfidf])
+def test_lookup_of_signals(spark, method, monkeypatch):
+    """A small catalogue is looked up where the signals are, without an exchange of them, and finds what the join finds."""
+    rows = [(i, [f"w{(i * k) % 11}" for k in range(1, 2 + i % 7)]) for i in range(60)] + [(100, []), (101, None), (102, ["unknown"]), (103, ["w1", "w1", "w2"])]
+    signals = spark.createDataFrame(rows, "id long, terms array<string>")
+    catalogue = spark.createDataFrame([(o, f"C{o // 2}", [f"w{(o + k) % 11}" for k in range(1 + o % 4)]) for o in range(20)], "ord long, code string, terms array<string>")
+    found = method(signals, catalogue, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    monkeypatch.setattr(candidates, "BROADCAST_ROWS", 1)
+    wanted = method(signals, catalogue, 3)
+    assert [f.dataType for f in found.schema] == [f.dataType for f in wanted.schema]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_variants_are_made_in_several_tasks(spark):
+    from matchloom.operators import corrupt
+
+    pairs = spark.createDataFrame([(f"C{i}", "50 FALHA DISJUNTOR LIGADO") for i in range(40)], "code string, text string").coalesce(1)
+    assert corrupt.dataset(pairs).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

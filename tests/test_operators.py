@@ -194,3 +194,16 @@ def test_variants_are_made_in_several_tasks(spark):
 
     pairs = spark.createDataFrame([(f"C{i}", "50 FALHA DISJUNTOR LIGADO") for i in range(40)], "code string, text string").coalesce(1)
     assert corrupt.dataset(pairs).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_facts_of_rules_are_computed_once(spark):
+    """Each class of states is worked out in one place of the plan of all adjustments; before, in a dozen."""
+    from matchloom.functions import tables as t
+    from matchloom.operators import rules
+
+    columns = "id long, ord long, code string, score double, text string, tokens array<string>, phase string, family string, direction string, side string, mm string, code_direction string, category string, phases string"
+    rows = spark.createDataFrame([(1, 1, "DJF1", 0.5, "DISJUNTOR ABERTO", ["DISJUNTOR", "ABERTO"], None, None, "Input", None, "DIG___ABERTO@FECHADO__1", "Read", "Discrete", None)], columns)
+    found = rules.adjusted(rows, each=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("StartsWith(lambda") <= 2 * len(t.STATES)
+    assert "d_state" in found.columns and "__state" not in found.columns

@@ -207,3 +207,12 @@ def test_facts_of_rules_are_computed_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("StartsWith(lambda") <= 2 * len(t.STATES)
     assert "d_state" in found.columns and "__state" not in found.columns
+
+
+def test_greedy_matching_broadcasts_nothing(spark):
+    """However small the files of staged rows are, no join of the result holds one side on the driver."""
+    rows = spark.createDataFrame([(f"i{k}", 1, k, d, f"text {k % 3}") for k, d in enumerate(["Input", "Output"] * 4)], "id string, g int, ord long, direction string, text string")
+    found = resolve.pair_greedy(rows, ["g"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert found.where("partner is not null").count() == 8

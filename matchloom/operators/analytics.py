@@ -39,12 +39,18 @@ def band(score: Column) -> Column:
 
 
 def accuracy(ranked: DataFrame, expected: DataFrame) -> DataFrame:
-    """Accuracy at 1, recall at 3, decided share and precision of the decided; ranked (id, code, rank), expected (id, code, decided)."""
-    hits = expected.withColumnRenamed("code", "wanted").join(ranked, "id", "left").groupBy("id", "decided").agg(
+    """Accuracy at 1, recall at 3, decided share and precision of the decided; ranked (id, code, rank), expected (id, code, decided).
+
+    A row of ``expected`` with ``n`` stands for so many rows of its id and code.
+    """
+    wanted = expected.withColumnRenamed("code", "wanted")
+    keys = ["id", "wanted", "decided", "n"] if "n" in expected.columns else ["id", "decided"]
+    hits = wanted.join(ranked, "id", "left").groupBy(*keys).agg(
         F.bool_or((F.col("rank") == 1) & (F.col("code") == F.col("wanted"))).alias("first"), F.bool_or((F.col("rank") <= 3) & (F.col("code") == F.col("wanted"))).alias("three")
     )
-    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    return hits.agg(share(F.col("first")).alias("acc_1"), share(F.col("three")).alias("recall_3"), share(F.col("decided")).alias("decided"), F.avg(F.when(F.col("decided"), F.coalesce("first", F.lit(False)).cast("double"))).alias("precision"))
+    n = F.col("n") if "n" in expected.columns else F.lit(1)
+    share = lambda c, of=n: F.sum(F.coalesce(c, F.lit(False)).cast("double") * of) / F.sum(of)
+    return hits.agg(share(F.col("first")).alias("acc_1"), share(F.col("three")).alias("recall_3"), share(F.col("decided")).alias("decided"), share(F.col("first"), F.when(F.col("decided"), n)).alias("precision"))
 
 
 def threshold_sweep(scored: DataFrame, pcts: list[float], gaps: list[float]) -> DataFrame:

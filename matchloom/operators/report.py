@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as x
+from matchloom.operators.candidates import small
+from matchloom.session import staged
 
 # The titles of the report, and the methods whose scores it shows.
 TITLES = (
@@ -37,7 +39,7 @@ def audit(rows: DataFrame, decisions: DataFrame, ranked: DataFrame, scores: Data
 
     rows (id, label, text, normalised, canonical, category, direction, addresses, raw_addresses, family, device, bus, phase),
     decisions (id, code, status, reason, gap, stage, rules), ranked (id, code, score, rank), scores (id, method, code, score).
-    ``label`` is ``sheet:row``.
+    ``label`` is ``sheet:row``. Rows with ``kind`` are members of a kind, whose id the other frames have.
     """
     best = ranked.where("rank <= 3").select("id", "code", "score", "rank")
     own = scores.where(F.col("method").isin(*METHODS)).groupBy("id", "code").agg(*(F.max(F.when(F.col("method") == m, F.col("score"))).alias(m) for m in METHODS))
@@ -45,7 +47,10 @@ def audit(rows: DataFrame, decisions: DataFrame, ranked: DataFrame, scores: Data
     at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
     wide = told.groupBy("id").agg(at(1, "score").alias("first"), *(at(k, c).alias(f"{c}_{k}") for k in (1, 2, 3) for c in ("code", *METHODS)))
     chosen = decisions.select("id", F.col("code").alias("chosen"), "status", "reason", "gap", "stage", "rules")
-    all_ = rows.join(chosen, "id", "left").join(wide, "id", "left")
+    facts, key = chosen.join(wide, "id", "full"), "id"
+    if "kind" in rows.columns:
+        facts, key = small(staged(facts.withColumnRenamed("id", "kind"), "audit-kinds")), "kind"
+    all_ = rows.join(facts, key, "left")
     addresses = lambda c: F.array_join(F.transform(c, lambda a: a.cast("string")), ";")
     columns = {
         "ID Sinal": F.col("label"), "Descrição Bruta": x.display_text(F.col("text"), F.col("chosen")), "Tipo": F.concat_ws("/", "category", "direction"), "Endereço": addresses("addresses"),

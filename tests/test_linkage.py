@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity
 from matchloom.functions import text as x
-from matchloom.operators import candidates, resolve, rules
+from matchloom.operators import analytics, candidates, funnel, resolve, rules
 from matchloom.plans import bank
 from matchloom.sources import tables, workbooks
 from matchloom.streaming import scoring
@@ -171,3 +171,26 @@ def test_stream(spark, tmp_path):
 
 def test_names():
     assert set(bank.ORACLE_SQL) <= set(bank.QUERIES) and len(bank.QUERIES) > 60
+
+
+def test_signals_that_differ_only_in_id_are_decided_once(spark):
+    """Members of a kind, whose values may be null, all get what was found for it; a null id stays."""
+    said = [("A", ["A"], None), ("A", ["A"], "ABC"), (None, None, None)]
+    rows = spark.createDataFrame([(None if i == 7 else i, *said[i % 3]) for i in range(30)], "id long, text string, tokens array<string>, phase string")
+    asked = []
+
+    def found(each):
+        asked.append(each.count())
+        return each.select("id", F.coalesce("phase", F.lit("none")).alias("code"))
+
+    got = funnel.by_kind(rows, found).collect()
+    assert asked == [3]
+    assert sorted((-1 if r["id"] is None else r["id"], r["code"]) for r in got) == sorted((-1 if i == 7 else i, "ABC" if i % 3 == 1 else "none") for i in range(30))
+
+
+def test_accuracy_of_rows_that_stand_for_several(spark):
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "id long, code string, rank int")
+    each = [(1, "a", True)] * 3 + [(1, "b", True)] * 2 + [(2, "x", False)]
+    wanted = spark.createDataFrame([(1, "a", True, 3), (1, "b", True, 2), (2, "x", False, 1)], "id long, code string, decided boolean, n long")
+    found = analytics.accuracy(ranked, wanted).first()
+    assert (found["acc_1"], found["recall_3"], found["decided"], found["precision"]) == (3 / len(each), 5 / len(each), 5 / len(each), 3 / 5)

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom import session
 
@@ -27,3 +28,13 @@ def test_a_cluster_needs_a_named_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_only_counted_sides_are_broadcast_within(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    with session.counted_broadcasts(spark):
+        a, b = spark.range(10), spark.range(10)
+        assert "Broadcast" not in a.join(b, "id")._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in a.join(F.broadcast(b), "id")._jdf.queryExecution().toString()
+    assert spark.conf.get(name) == before

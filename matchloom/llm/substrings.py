@@ -9,10 +9,11 @@
    a block are sent once, for the document with the smallest key; the others
    are covered whole. If more than ``HOT`` documents have a key, its segments
    are cut into their single windows, dealt by their own hash.
-3. A bucket builds the Burrows-Wheeler transform and the common prefixes of its
-   segments column by column (:mod:`matchloom.llm.bwt`). Neighbouring rows with
-   a common prefix of ``WINDOW`` bytes are equal windows; a window is covered if
-   the smallest document of its rows precedes its own.
+3. Segments none of whose windows has a hash that recurs in the bucket cannot
+   match and leave. Of the others the bucket builds the Burrows-Wheeler transform
+   and the common prefixes column by column (:mod:`matchloom.llm.bwt`).
+   Neighbouring rows with a common prefix of ``WINDOW`` bytes are equal windows; a
+   window is covered if the smallest document of its rows precedes its own.
 4. The covered stretches return to the blocks, which cut them from the texts.
 
 The text crosses the network once: the three steps on blocks read one exchange.
@@ -48,6 +49,8 @@ BLOCK, BUCKET = 4 << 20, 8 << 20
 COLLECTION = 640 << 10
 #: Documents that share a key before its segments are cut into windows.
 HOT = 20_000
+#: Segments whose windows are hashed at once.
+HASH_ROWS = 4096
 SPAN = WINDOW - GRAM + 1  # short strings in a window, and windows in a segment at most
 WIDTH = SPAN + WINDOW - 1  # bytes of a segment at most
 U64 = np.uint64
@@ -134,15 +137,40 @@ def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
 
 
+def recurring(strings: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether a string has a window whose hash occurs again among the strings; equal windows have equal hashes."""
+    window = np.arange(SPAN) < (lengths - WINDOW + 1)[:, None]
+    found = []
+    for a in range(0, len(lengths), HASH_ROWS):
+        rows = np.ascontiguousarray(strings[a : a + HASH_ROWS])
+        hashes = np.append(gram_hashes(rows.ravel(), WINDOW), np.zeros(WINDOW - 1, np.uint64)).reshape(rows.shape)[:, :SPAN]
+        found.append(hashes[window[a : a + HASH_ROWS]])
+    hashes = np.concatenate(found)
+    in_order = np.sort(hashes)
+    twice = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
+    out = np.zeros(len(lengths), np.bool_)
+    if len(twice):
+        again = twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
+        out[np.nonzero(window)[0][again]] = True
+    return out
+
+
 def _least(strings: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """:func:`bwt.least_by_window` by collections of about ``COLLECTION`` bytes; strings that share a window are in one."""
+    """:func:`bwt.least_by_window` by collections of about ``COLLECTION`` bytes; strings that share a window are in one.
+
+    A string none of whose windows recurs keeps its own value, and needs no transform.
+    """
     m = len(lengths)
-    grams = np.append(gram_hashes(np.ascontiguousarray(strings[:, :WINDOW]).ravel(), GRAM), np.zeros(GRAM - 1, np.uint64))
-    key = common.mix64(grams.reshape(m, WINDOW)[:, :SPAN].min(1))  # all windows of a segment have this key
-    group = (key % U64(max(1, int(lengths.sum()) // COLLECTION))).astype(np.int64)
+    out = np.where(np.arange(SPAN) < (lengths - WINDOW + 1)[:, None], values[:, None], np.iinfo(np.int64).max)
+    some = np.flatnonzero(recurring(strings, lengths)) if m else np.empty(0, np.int64)
+    if not len(some):
+        return out
+    grams = np.append(gram_hashes(np.ascontiguousarray(strings[some, :WINDOW]).ravel(), GRAM), np.zeros(GRAM - 1, np.uint64))
+    key = common.mix64(grams.reshape(len(some), WINDOW)[:, :SPAN].min(1))  # all windows of a segment have this key
+    group = (key % U64(-(-int(lengths[some].sum()) // COLLECTION))).astype(np.int64)
     order = np.argsort(group, kind="stable")
-    out = np.empty((m, SPAN), np.int64)
-    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+    for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        own = some[at]
         with tempfile.TemporaryDirectory() as folder:
             out[own] = bwt.least_by_window(strings[own], lengths[own], values[own], WINDOW, folder)
     return out

@@ -82,6 +82,28 @@ def test_collections_of_any_size(texts):
     assert bwt and common
 
 
+def test_only_strings_that_share_a_window_are_transformed(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 60 * 80).astype(np.uint8)
+    strings, length = data.reshape(60, 80).copy(), np.full(60, 80)
+    length[::3] = 61
+    strings[::3, 61:] = 0
+    strings[7, 5:56] = strings[31, 20:71]  # 51 bytes, so two windows
+    values = np.arange(100, 160)[::-1].copy()
+    wanted = np.full((60, substrings.SPAN), np.iinfo(np.int64).max)
+    for r in range(60):
+        wanted[r, : length[r] - 49] = values[r]
+    wanted[7, 5:7] = wanted[31, 20:22] = values[31]
+    seen = []
+    plain = substrings.bwt.least_by_window
+    monkeypatch.setattr(substrings.bwt, "least_by_window", lambda rows, *rest: seen.append(len(rows)) or plain(rows, *rest))
+    monkeypatch.setattr(substrings, "gram_hashes", lambda d, n, f=substrings.gram_hashes: f(d, n) if n == substrings.WINDOW else np.zeros(len(d) - n + 1, np.uint64))
+    assert (substrings._least(strings, length, values) == wanted).all()
+    assert seen == [2]
+
+
 @pytest.mark.parametrize(("percent", "n", "limits"), [(90, 3, {}), (80, 5, {"ROUNDS": 1, "GROUP_FEATURES": 2000}), (80, 3, {"ROUNDS": 0, "GROUP_FEATURES": 300, "BLOCK_SIGNATURES": 500})])
 def test_jaccard(spark, texts, percent, n, limits, monkeypatch):
     """Also with groups that sign again, and with groups that are cut into blocks."""

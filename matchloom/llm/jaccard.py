@@ -22,6 +22,10 @@ enough grows with the logarithm of the number of sets.
   on its own, and nothing is chained before it is verified. Every signature goes
   to its bucket with its set: combined before, within a block of documents, the
   sets of a block would only meet the smallest of that block.
+* Members of a star are first compared by sketches, whose distance is never more
+  than that of the sets: those that can be similar to no other leave, and the
+  rest is parted by what can be connected. So members by chance, whose number
+  grows faster than the input, cost 128 bytes each instead of their text.
 * Stars of more than ``GROUP_FEATURES`` features sign again, under another hash
   and within the star, which deals them to smaller stars.
 * Each link is verified on the sets themselves, in a task for each star. Within
@@ -64,6 +68,8 @@ ENUMERATIONS = ((3, 1), (5, 2), (6, 2), (7, 3), (9, 4))
 LEAST_COVERED = 9.0
 #: Features that one task holds at most, about, when links are verified.
 GROUP_FEATURES = 500_000
+#: Bits of a set's sketch, sets of a star that are compared by their sketches at most, and pairs that are compared at once.
+SKETCH_BITS, SKETCHED_SETS, SKETCH_CELLS = 1024, 20_000, 1 << 15
 #: How often stars that are too large sign again.
 ROUNDS = 2
 #: Signatures in a bucket, about, and in a block before the shuffle.
@@ -314,11 +320,67 @@ def _stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("component"), F.col("a").alias("id")).union(edges.select("b", "b").distinct())
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """The parity of the features in each of ``SKETCH_BITS`` places; two sketches differ in no more bits than their sets in features."""
+    place = (common.mix64(features ^ U64(0x3C6EF372FE94F82B)) % U64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=SKETCH_BITS) & 1).astype(np.bool_)).tobytes()
+
+
+def close_groups(sizes: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of a star the first set to which chains of sets lead that may be similar by their sizes and sketches; similar sets always may."""
+    n = len(sizes)
+    first, todo = np.full(n, -1, np.int64), np.arange(n)
+    while len(todo):
+        pivot, found, todo = todo[0], todo[:1], todo[1:]
+        first[pivot] = pivot
+        while len(found) and len(todo):
+            some, found = found[: max(1, SKETCH_CELLS // len(todo))], found[max(1, SKETCH_CELLS // len(todo)) :]
+            apart = np.bitwise_count(sketches[some][:, None] ^ sketches[todo]).sum(2, dtype=np.int64)
+            a, b = sizes[some][:, None], sizes[todo]
+            may = ((100 + percent) * apart <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            hit = may.any(0)
+            first[todo[hit]] = pivot
+            found, todo = np.concatenate([found, todo[hit]]), todo[~hit]
+    return first
+
+
+def narrowed(groups: DataFrame, kept: DataFrame, percent: int, n: int, most: int = SKETCHED_SETS) -> DataFrame:
+    """``groups`` (component, id) without the sets that can be similar to no other of their star, the rest by what can be connected.
+
+    Only sketches travel, so chance members cost no text. Stars of more than ``most`` sets stay as they are.
+    """
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sketch(f) for _, f in feature_sets(b.column(2), n)], pa.binary())], names=["id", "size", "sketch"])
+        common.trim()
+
+    def narrow(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("id", "ascending")])
+        group, ids, sizes = (table[c].to_numpy() for c in ("component", "id", "size"))
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        first = np.empty(len(ids), np.int64)
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1), len(ids)]
+        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+            first[a:z] = a + close_groups(sizes[a:z], sketches[a:z], percent)
+        keep = np.bincount(first, minlength=len(ids))[first] > 1
+        common.trim()
+        return pa.table({"component": ids[first[keep]], "id": ids[keep]})
+
+    sketches = staged(kept.select("id", "size", "text").mapInArrow(drawn, "id long, size long, sketch binary"), "jaccard-sketches")
+    members = groups.groupBy("component").agg(F.count("*").alias("members"))
+    found = groups.join(members, "component")
+    n_tasks = max(64, groups.count() // SKETCHED_SETS)
+    whole = found.where(F.col("members") <= most).select("component", "id").hint("merge").join(sketches, "id")
+    close = whole.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(n_tasks))).groupBy("task").applyInArrow(narrow, "component long, id long")
+    return close.union(found.where(F.col("members") > most).select("component", "id")).distinct()
+
+
 def candidate_groups(kept: DataFrame, percent: int, n: int) -> DataFrame:
-    """(component, id): stars of the sets of ``kept`` (id, size, text); two similar sets are in a star together. A set may be in several."""
+    """(component, id): stars, or parts of them, of the sets of ``kept`` (id, size, text); two similar sets are in a star together. A set may be in several."""
     n_sets, total = kept.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     edges = candidate_edges(kept.withColumn("component", F.lit(0).cast("long")), n_sets, total, percent, n)
-    groups = staged(_stars(edges), "jaccard-stars")
+    groups = staged(narrowed(staged(_stars(edges), "jaccard-stars"), kept, percent, n), "jaccard-stars")
     for seed in range(1, ROUNDS + 1):
         sizes = groups.join(kept.select("id", "size"), "id").groupBy("component").agg(F.sum("size").alias("features"))
         large = staged(sizes.where(F.col("features") > GROUP_FEATURES), "jaccard-large")

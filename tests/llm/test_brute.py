@@ -351,3 +351,35 @@ def test_every_similar_pair_shares_a_star(spark):
     links = [(k, 300 + 2 * k + 1) for k in range(150)]
     assert all(100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for a, b in links)
     assert not [pair for pair in links if pair not in shared]
+
+
+def test_members_of_a_star_by_chance_leave_before_their_texts_travel(spark):
+    common_words = [f"c{k}" for k in range(30)]
+    rows = [(i, 40, " ".join(common_words + [f"o{i}x{k}" for k in range(10)])) for i in range(60)]  # similarity 0.6
+    rows.append((100, 40, rows[20][2].replace("o20x0", "changed")))
+    kept = spark.createDataFrame(rows, "id long, size long, text string")
+    found = {tuple(r) for r in jaccard.candidate_groups(kept, 80, 1).collect()}
+    assert found == {(20, 20), (20, 100)}
+
+
+def test_sketches_part_no_similar_sets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 60, rng.integers(1, 3000)).astype(np.uint64)
+        for _ in range(4):
+            own = base[rng.random(len(base)) > 0.08 * rng.random()]
+            sets.append(np.unique(np.append(own, rng.integers(0, 1 << 60, rng.integers(0, 1 + len(base) // 12)).astype(np.uint64))))
+    sizes = np.array([len(s) for s in sets])
+    sketches = np.frombuffer(b"".join(map(jaccard.sketch, sets)), np.uint64).reshape(len(sets), -1)
+    first = jaccard.close_groups(sizes, sketches, 80)
+    linked = 0
+    for x in range(len(sets)):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * both >= 80 * (sizes[x] + sizes[y] - both):
+                linked += 1
+                assert first[x] == first[y]
+    assert linked > 40 and len(set(first.tolist())) > 20

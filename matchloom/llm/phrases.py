@@ -81,6 +81,33 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(planes[0] + (planes[1] << 8) + (planes[2] << 16))
 
 
+def numbered(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``np.unique`` of numbers below ``top`` with first places and numbers of each, by one sort of value and place together where 63 bits hold both."""
+    n = len(values)
+    bits = n.bit_length()
+    if not n or top.bit_length() + bits > 63:
+        return np.unique(values, return_index=True, return_inverse=True)
+    both = np.sort((values << bits) | np.arange(n))
+    value, at = both >> bits, both & ((1 << bits) - 1)
+    head = np.ones(n, np.bool_)
+    head[1:] = value[1:] != value[:-1]
+    which = np.empty(n, np.int64)
+    which[at] = np.cumsum(head) - 1
+    return value[head], at[head], which
+
+
+def added_up(cell: np.ndarray, n: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different cells, ascending, and the sums of their counts; a sum of at least ``least`` counts as ``least``."""
+    bits = least.bit_length()
+    if width.bit_length() + bits > 63:
+        cell, which = np.unique(cell, return_inverse=True)
+        return cell, np.minimum(np.bincount(which, n, len(cell)), least).astype("<u4")
+    both = np.sort((cell << bits) | np.minimum(n, least))
+    cell, n = both >> bits, both & ((1 << bits) - 1)
+    head = np.flatnonzero(np.diff(cell, prepend=-1))
+    return cell[head], np.minimum(np.add.reduceat(n, head) if len(head) else n, least).astype("<u4")
+
+
 class Block:
     """The words of a block, numbered by language and word, and what n-grams they form."""
 
@@ -101,7 +128,8 @@ class Block:
         self.joined = (self.row[1:] == self.row[:-1]) & (breaks[1:] == breaks[:-1])
         word = word_numbers(data, starts, ends)
         seeds = np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little") for s in self.langs], np.uint64)
-        _, at, self.symbol = np.unique(self.lang * (int(word.max()) + 1 if n else 1) + word, return_index=True, return_inverse=True)
+        words = int(word.max()) + 1 if n else 1
+        _, at, self.symbol = numbered(self.lang * words + word, len(self.langs) * words)
         self.hash = common.span_hashes(data, starts[at], ends[at]) if n else np.empty(0, np.uint64)
         self.lang_hash = seeds[self.lang[at]] if n else self.hash
         self.text = [data[a:z].tobytes() for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
@@ -120,7 +148,7 @@ class Block:
                 go = self.joined[at[at + 1 < n]] if size == 2 else np.ones(int((at + 1 < n).sum()), np.bool_)
                 keep = np.flatnonzero(at + 1 < n)[go & there[at[at + 1 < n] + 1]]
                 last = self.symbol[at[keep] + size - 1]
-                pairs, first, number = np.unique(number[keep] * (len(self.hash) + 1) + last, return_index=True, return_inverse=True)
+                pairs, first, number = numbered(number[keep] * (len(self.hash) + 1) + last, max(top, 1) * (len(self.hash) + 1))
                 at = at[keep]
                 hashes = common.mix64(hashes[pairs // (len(self.hash) + 1)] * U64(31) + self.hash[pairs % (len(self.hash) + 1)])
                 top = len(pairs)
@@ -211,8 +239,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
         hashes, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))  # a count may be 0: context that an n-gram goes on from
         parts, blobs, sums = [], [], []
         for k, seed in enumerate(SEEDS):
-            cell, inverse = np.unique(cells(hashes, seed, width), return_inverse=True)
-            count = np.minimum(np.bincount(inverse, n, len(cell)), least).astype("<u4")
+            cell, count = added_up(cells(hashes, seed, width), n, least, width)
             part = cell // part_cells
             head = np.flatnonzero(np.diff(part, prepend=-1))
             for a, z in zip(head.tolist(), [*head[1:].tolist(), len(cell)], strict=True):

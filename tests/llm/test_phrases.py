@@ -105,3 +105,21 @@ def test_tables(spark):
     assert empty.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and not empty.collect()
     odd = spark.createDataFrame([(None, "p q", 1, "x")] * 30, "lang string, text string, block int, `phrase.a` string")
     assert [tuple(r) for r in phrases.mined(odd).collect()] == [("und", 1, "p q", 30, 30, 30, 60, 1000000)]
+
+
+def test_one_sort_numbers_as_unique_does():
+    import numpy as np
+
+    from matchloom.llm import phrases
+
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 5), (1, 1), (5000, 900), (5000, 1 << 50), (5000, 1 << 62)):
+        values = rng.integers(0, top, n)
+        values = np.append(values, values[: n // 3])
+        for found, wanted in zip(phrases.numbered(values, top), np.unique(values, return_index=True, return_inverse=True), strict=True):
+            assert (found == wanted).all()
+        counts = rng.integers(0, 60, len(values))
+        cell, which = np.unique(values, return_inverse=True)
+        found = phrases.added_up(values, counts, 30, top)
+        assert (found[0] == cell).all()
+        assert (found[1] == np.minimum(np.bincount(which, counts, len(cell)), 30)).all()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity
 from matchloom.functions import text as x
-from matchloom.operators import analytics, candidates, funnel, resolve, rules
+from matchloom.operators import analytics, candidates, expand, funnel, resolve, rules
 from matchloom.plans import bank
 from matchloom.sources import tables, workbooks
 from matchloom.streaming import scoring
@@ -194,3 +194,20 @@ def test_accuracy_of_rows_that_stand_for_several(spark):
     wanted = spark.createDataFrame([(1, "a", True, 3), (1, "b", True, 2), (2, "x", False, 1)], "id long, code string, decided boolean, n long")
     found = analytics.accuracy(ranked, wanted).first()
     assert (found["acc_1"], found["recall_3"], found["decided"], found["precision"]) == (3 / len(each), 5 / len(each), 5 / len(each), 3 / 5)
+
+
+def test_families_offer_codes_without_a_join_on_them(spark):
+    rows = [(1, "A1", 0.5), (1, "A2", 0.7), (1, "X", 0.9), (2, "B1", 0.4), (2, "AB", 0.6), (2, "AB", 0.2), (None, "A1", 0.3), (3, "X", 1.0), (3, None, 0.1)]
+    held = spark.createDataFrame(rows, "id long, code string, score double")
+    families = [("A1", "A"), ("A2", "A"), ("A3", "A"), ("B1", "B"), ("AB", "A"), ("AB", "B"), ("X", None), (None, "A")]
+    cat = spark.createDataFrame(families, "code string, family string")
+    found = expand.by_family(held, cat)
+    best = {}
+    for i, c, s in rows:
+        for f in {f for code, f in families if code == c and c is not None and f is not None}:
+            best[i, f] = max(s, best.get((i, f), 0.0))
+    wanted = [(*r, "direct") for r in rows]
+    wanted += [(i, c, b * 0.9, "family") for (i, f), b in best.items() for c, of in families if of == f and (i is None or c is None or (i, c) not in {r[:2] for r in rows})]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(wanted, key=key)
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()  # all codes of all families would cross the network

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,18 +83,77 @@ def weight_simplex(step: int = 20) -> list[tuple[float, float, float]]:
     return [(a / step, b / step, (step - a - b) / step) for a in range(step + 1) for b in range(step + 1 - a)]
 
 
+#: Cells of scores that one step of the simplex search holds.
+CELLS = 250_000
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """``score`` in billionths, rounded as SQL rounds 9 digits, half away from zero; from a million on as it is."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        y = score * 1e9
+        size = np.abs(y)
+        out = np.where(size < 1e15, np.copysign(np.floor(size + 0.5), y), y)
+        for at in np.argwhere((size < 1e15) & (np.abs(size - np.floor(size) - 0.5) < 1e-6 + 4e-16 * size)):  # near a half the digits decide
+            out[tuple(at)] = float(Decimal(repr(float(score[tuple(at)]))).scaleb(9).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def _wins(side: np.ndarray, s: np.ndarray, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each triple the number of ids (``of``, ascending) whose wanted code (``side`` 0) is ahead of the codes before (-1) and after it (1); each id has both kinds."""
+    score = _rounded(s[:, :1] * weights[:, 0] + s[:, 1:2] * weights[:, 1] + s[:, 2:] * weights[:, 2])
+    starts = lambda ids: np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    own, rival = side == 0, side != 0
+    best = np.maximum.reduceat(score[own], starts(of[own]), axis=0)
+    _, at = np.unique(of[rival], return_inverse=True)
+    held, against = best[at], score[rival]
+    ahead = np.where((side[rival] < 0)[:, None], held > against, held >= against)
+    return np.logical_and.reduceat(ahead, starts(of[rival]), axis=0).sum(axis=0)
+
+
+def _hits(triples: list[tuple[float, float, float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.array(triples, dtype=float)
+        step = max(1, CELLS // max(1, len(triples)))
+        hits, n, any_rows = np.zeros(len(triples), dtype=np.int64), 0, False
+        for batch in batches:
+            any_rows |= batch.num_rows > 0
+            offered = batch.column(0).drop_null()
+            n += len(offered)
+            flat = offered.flatten()
+            if not len(flat):
+                continue
+            of = np.repeat(np.arange(len(offered)), offered.value_lengths().to_numpy(zero_copy_only=False))
+            side, *s = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
+            s = np.stack([c.astype(float) for c in s], axis=1)
+            has, rivals = (np.bincount(of, weights=w, minlength=len(offered)) > 0 for w in (side == 0, side != 0))
+            hits += int((has & ~rivals).sum())
+            due = (has & rivals)[of]
+            side, s, of = side[due], s[due], of[due]
+            begin = 0
+            while begin < len(of):
+                end = int(np.searchsorted(of, of[min(begin + step, len(of)) - 1], side="right"))  # an id stays whole
+                hits += _wins(side[begin:end], s[begin:end], of[begin:end], weights)
+                begin = end
+        if any_rows:
+            yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(triples)), pa.int32()), "hits": pa.array(hits), "n": pa.array([n] * len(triples), pa.int64())})
+
+    return count
+
+
 def simplex_search(candidates: DataFrame, expected: DataFrame, triples: list[tuple[float, float, float]]) -> DataFrame:
     """(a, b, c, accuracy): the share of ids whose best weighted code is the expected one; candidates (id, code, s1, s2, s3), a few for each id.
 
-    All triples are tried within the row of an id; what leaves it is one flag for each.
+    All triples are tried where the codes of an id meet, and only where the expected code has rivals; what leaves a task is one count for each triple.
+
+    Defined results: a code without a score comes last, a null code behind its equals; ids whose expected code is null are not counted.
     """
     grid = candidates.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(triples)], "at int, a double, b double, c double")
-    offered = candidates.groupBy("id").agg(F.collect_list(F.struct("code", "s1", "s2", "s3")).alias("offered"))
+    offered = candidates.groupBy("id").agg(F.collect_list(F.struct("code", *(F.col(c).cast("double").alias(c) for c in ("s1", "s2", "s3")))).alias("offered"))
     asked = offered.join(expected.select("id", F.col("code").alias("wanted")), "id")
-    weights = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in triples))
-    best = lambda w: F.array_min(F.transform("offered", lambda o: F.struct((-F.round(w["a"] * o["s1"] + w["b"] * o["s2"] + w["c"] * o["s3"], 9)).alias("s"), o["code"].alias("code"))))
-    hits = asked.select(F.posexplode(F.transform(weights, lambda w: (best(w)["code"] == F.col("wanted")).cast("double"))).alias("at", "hit"))
-    return hits.groupBy("at").agg(F.avg("hit").alias("accuracy")).join(F.broadcast(grid), "at").select("a", "b", "c", "accuracy")
+    side = lambda code: F.when(code < F.col("wanted"), -1).when(code == F.col("wanted"), 0).otherwise(1)
+    placed = F.transform("offered", lambda o: F.struct(side(o["code"]).alias("side"), o["s1"].alias("s1"), o["s2"].alias("s2"), o["s3"].alias("s3")))
+    counted = asked.select(F.when(F.col("wanted").isNotNull(), placed).alias("offered")).mapInArrow(_hits(triples), "at int, hits long, n long")
+    return counted.groupBy("at").agg(F.try_divide(F.sum("hits"), F.sum("n")).alias("accuracy")).join(F.broadcast(grid), "at").select("a", "b", "c", "accuracy")
 
 
 def pareto(points: DataFrame, x: str, y: str, ranges: int = RANGES) -> DataFrame:

@@ -1,7 +1,9 @@
 """Linkage operators on small fixtures: literals, plain versions, round trips, conservation."""
 
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +213,34 @@ def test_families_offer_codes_without_a_join_on_them(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, found.collect()), key=key) == sorted(wanted, key=key)
     assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()  # all codes of all families would cross the network
+
+
+def test_simplex_counts_hits_where_codes_meet(spark):
+    rnd = random.Random(5)
+    value_of = lambda: rnd.choice([None, 0.0, 0.1, 0.123456789, 0.3, round(rnd.random(), 9), rnd.random(), -0.25])
+    rows = [(i, c, value_of(), value_of(), value_of()) for i in range(60) for c in rnd.sample(["A", "B", "C", "D"], rnd.randint(1, 4))]
+    rows += [(100, "A", 0.1, 0.1, 0.1), (100, "B", 0.1, 0.1, 0.1), (101, "B", 0.1 + 4e-10, 0.0, 0.0), (101, "A", 0.1, 0.0, 0.0)]
+    wanted = [(i, rnd.choice("ABCD")) for i in range(60)] + [(100, "B"), (101, "A"), (102, "A"), (103, None)]
+    triples = analytics.weight_simplex(4)
+    got = analytics.simplex_search(spark.createDataFrame(rows, "id long, code string, s1 double, s2 double, s3 double"), spark.createDataFrame(wanted, "id long, code string"), triples)
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for each triple of an id
+    offered = {}
+    for i, *r in rows:
+        offered.setdefault(i, []).append(r)
+    scored = lambda t, s: None if None in s else Decimal(repr(t[0] * s[0] + t[1] * s[1] + t[2] * s[2])).quantize(Decimal("1e-9"), ROUND_HALF_UP)
+    for a, b, c, accuracy in map(tuple, got.collect()):
+        hits = []
+        for i, w in wanted:
+            if i in offered:
+                first = min(((scored((a, b, c), s) is None, -(scored((a, b, c), s) or 0), code) for code, *s in offered[i]))
+                hits.append(first[2] == w)
+        assert accuracy == sum(hits) / len(hits)
+    assert got.count() == len(triples)
+
+
+def test_simplex_rounds_as_sql(spark):
+    rnd = random.Random(6)
+    values = [0.5e-9, 1.5e-9, -0.5e-9, 2.5e-9, 0.1234567885, 0.0000000015, 1e5 + 0.1234567895, float("nan")] + [round(rnd.uniform(-3, 3), 10) for _ in range(2000)]
+    sql = [r["v"] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(F.round("v", 9).alias("v")).collect()]
+    found = analytics._rounded(np.array(values)[:, None])[:, 0]
+    assert [v / 1e9 for v in found[:7]] == sql[:7] and found[7] == -np.inf and [v / 1e9 for v in found[8:]] == sql[8:]

@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import common, graph, sharing
 from matchloom.llm.wordsets import feature_sets, fingerprint
-from matchloom.session import staged
+from matchloom.session import release, staged
 
 N = 3
 #: Parts of a first-level partition and how many of them may differ: the first pair whose signatures cover enough features is taken.
@@ -74,6 +74,8 @@ SKETCH_BITS, SKETCHED_SETS, SKETCH_CELLS = 1024, 20_000, 1 << 15
 ROUNDS = 2
 #: Signatures in a bucket, about, and in a block before the shuffle.
 BUCKET_SIGNATURES, BLOCK_SIGNATURES = 500_000, 400_000
+#: Keys that are sent to every task at most, 16 bytes each.
+BROADCAST_KEYS = 1_000_000
 #: A group of copies is looked up in so many tasks.
 SALTS = 8
 U64 = np.uint64
@@ -148,13 +150,22 @@ def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[0], pairs[1]
 
 
-def _sliced(bucket: np.ndarray, *columns: np.ndarray) -> dict[int, list[bytes]]:
-    """The bytes of the columns' rows for each bucket that has any."""
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, all first ones before all second ones; those that are the same everywhere compress to nothing."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _sliced(bucket: np.ndarray, sigs: np.ndarray, nodes: np.ndarray) -> dict[int, tuple[bytes, bytes]]:
+    """The signatures, of which 32 bits tell those of a bucket apart, and the nodes of each bucket that has any."""
     order = np.argsort(bucket, kind="stable")
     found, at = np.unique(bucket[order], return_index=True)
     cuts = np.append(at, len(order))
-    columns = tuple(c[order] for c in columns)
-    return {int(k): [c[a:z].tobytes() for c in columns] for k, a, z in zip(found, cuts[:-1], cuts[1:], strict=True)}
+    sigs, nodes = sigs[order].astype("<u4"), nodes[order]
+    return {int(k): (sigs[a:z].tobytes(), _planes(nodes[a:z])) for k, a, z in zip(found, cuts[:-1], cuts[1:], strict=True)}
 
 
 def candidate_edges(sets: DataFrame, n_sets: int, total: int, percent: int, n: int, seed: int = 0) -> DataFrame:
@@ -182,14 +193,12 @@ def candidate_edges(sets: DataFrame, n_sets: int, total: int, percent: int, n: i
         common.trim()
 
     def packed(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        rows = [(k, *own) for k, own in _sliced(((sig >> U64(20)) % U64(n_buckets)).astype(np.int64), sig, node).items()]
+        rows = [(k, *own) for k, own in _sliced(((sig >> U64(32)) % U64(n_buckets)).astype(np.int64), sig, node).items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "sigs", "nodes"])
 
     def link(table: pa.Table) -> pa.Table:
-        def numbers(name: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
-
-        a, b = stars(numbers("sigs", np.uint64), numbers("nodes", np.int64))
+        sigs = np.frombuffer(b"".join(table["sigs"].to_pylist()), "<u4")
+        a, b = stars(sigs, np.concatenate([_of_planes(d) for d in table["nodes"].to_pylist()]))
         common.trim()
         return pa.table({"a": a, "b": b})
 
@@ -380,7 +389,9 @@ def candidate_groups(kept: DataFrame, percent: int, n: int) -> DataFrame:
     """(component, id): stars, or parts of them, of the sets of ``kept`` (id, size, text); two similar sets are in a star together. A set may be in several."""
     n_sets, total = kept.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     edges = candidate_edges(kept.withColumn("component", F.lit(0).cast("long")), n_sets, total, percent, n)
-    groups = staged(narrowed(staged(_stars(edges), "jaccard-stars"), kept, percent, n), "jaccard-stars")
+    found = staged(_stars(edges), "jaccard-stars")
+    release(kept.sparkSession)
+    groups = staged(narrowed(found, kept, percent, n), "jaccard-stars")
     for seed in range(1, ROUNDS + 1):
         sizes = groups.join(kept.select("id", "size"), "id").groupBy("component").agg(F.sum("size").alias("features"))
         large = staged(sizes.where(F.col("features") > GROUP_FEATURES), "jaccard-large")
@@ -473,15 +484,18 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
         for b in batches:
             found = [(len(f), *fingerprint(f)) for _, f in feature_sets(b.column(1), n)]
             numbers = np.array(found, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in numbers.T)], names=["id", "size", "fp", "fp2"])
+            band = np.searchsorted(starts, numbers[:, 0], "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in (*numbers.T, band))], names=["id", "size", "fp", "fp2", "band"])
 
-    measured = staged(rows.mapInArrow(measure, "id long, size long, fp long, fp2 long"), "jaccard-sets")
-    total = measured.agg(F.sum("size")).first()[0] or 0
+    starts = sharing.bands(percent)
+    measured = staged(rows.mapInArrow(measure, "id long, size long, fp long, fp2 long, band long"), "jaccard-sets")
     # one row for each different set
     named = measured.where("id is not null and size > 0")
+    by_band = {r["band"]: r["features"] for r in named.groupBy("band").agg(F.sum("size").alias("features")).collect()}
     sets = named.groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.first("size").alias("size"))
-    kept = sharing.candidates(rows.where("id is not null"), total, percent, n)
+    kept = sharing.candidates(rows.where("id is not null"), sum(by_band.values()), percent, n, by_band=by_band)
     kept = staged(kept.hint("merge").join(sets.select("fp", "fp2", "id"), ["fp", "fp2"]).select("id", "size", "text"), "jaccard-kept")
+    release(rows.sparkSession)  # all texts and features have crossed the network, and are on disk until then
     linked = graph.components(links(kept, candidate_groups(kept, percent, n), percent, n), "id", "least", "jaccard-links")
     found = linked.select(F.col("node").alias("id"), F.col("component").alias("least"))
 
@@ -495,5 +509,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 90, n: int = N) -> DataFrame:
     """``docs`` without the rows that are linked to one of a smaller key; of rows that repeat a key all stay or go."""
     found = components(docs, key, text, percent, n)
-    gone = found.where(F.col("component") < F.col(key)).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    gone = staged(found.where(F.col("component") < F.col(key)).select(F.col(key).alias("__gone")).distinct(), "jaccard-gone")
+    release(docs.sparkSession)
+    # the keys of few go to all tasks, so that no text crosses the network once more; many are joined
+    few = gone.count() <= BROADCAST_KEYS
+    return docs.join(gone.hint("broadcast" if few else "merge"), docs[key] == gone["__gone"], "left_anti")

@@ -153,6 +153,44 @@ def test_shared_features(spark, texts):
         assert set(found) == wanted and len(found) == len(wanted)
 
 
+def test_features_shared_by_chance(spark):
+    """A set whose features occur in larger sets only, or here one and there one, is similar to none and leaves; similar sets stay, in bands of any number of groups."""
+    from matchloom.llm import sharing
+
+    rnd = random.Random(7)
+    words = lambda k: [f"w{rnd.randrange(10**9)}" for _ in range(k)]
+    large = [words(300) for _ in range(20)]
+    inside = [t[40 * k : 40 * k + 40] for t in large for k in range(7)]
+    own = [words(100) for _ in range(40)]
+    near = [[*t[:-1], "end"] for t in own]  # 95 of 97 features of each
+    rows = [(i, " ".join(t)) for i, t in enumerate(large + inside + own + near)]
+    sizes = [len(t.split()) - 4 for _, t in rows]
+    starts, by_band = sharing.bands(80).tolist(), {}
+    for size in sizes:
+        band = max(b for b, s in enumerate(starts) if s <= size)
+        by_band[band] = by_band.get(band, 0) + size
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {" ".join(t) for t in own + near}
+    for limits in ((), (200, 300), (10_000, 50)):
+        found = [r["text"] for r in sharing.candidates(docs, sum(sizes), 80, 5, *limits, by_band=by_band).collect()]
+        assert set(found) == kept and len(found) == len(kept)
+    # of one size: every feature is in about ten sets, a tenth of them in any one group of blocks
+    mixed = [rnd.sample(range(2000), 96) for _ in range(200)]
+    counts = Counter(w for t in mixed for w in t)
+    assert all(100 * sum(counts[w] > 1 for w in t) >= 80 * len(t) for t in mixed)
+    docs = spark.createDataFrame([(i, " ".join(f"v{w}" for w in t)) for i, t in enumerate(mixed)], "doc_id long, text string").repartition(3)
+    band = max(b for b, s in enumerate(starts) if s <= 96)
+    assert sharing.candidates(docs, 96 * 200, 80, 1, 100, 200, by_band={band: 96 * 200}).count() == 0
+
+
+def test_few_keys_that_go_are_sent_to_the_texts(spark):
+    """The texts cross the network once, for the join, and not once more to lose a few of them."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")], "doc_id long, text string")
+    kept = jaccard.keep_one(docs)
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
